@@ -20,12 +20,19 @@ from ..functions.text import clipped_overlap, ngrams, occurrence_tags, rouge_tok
 METRICS = ("rouge1", "rouge2", "rougeL")
 
 
-def prf(overlap: Column, n_gen: Column, n_ref: Column):
-    """Precision / recall / F as the public scorer computes them."""
-    p = overlap / F.greatest(n_gen, F.lit(1))
-    r = overlap / F.greatest(n_ref, F.lit(1))
-    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return p.cast("double"), r.cast("double"), f.cast("double")
+def _prf_columns(df: DataFrame, m: str, overlap: Column, n_gen: Column,
+                 n_ref: Column) -> DataFrame:
+    """Precision / recall / F as the public scorer computes them.
+
+    Overlap, P and R are materialised one after another so the expensive
+    overlap expression is evaluated once per row (not once per use in F).
+    """
+    df = df.withColumn(f"_{m}_o", overlap)
+    df = df.withColumns({
+        f"_{m}_p": (F.col(f"_{m}_o") / F.greatest(n_gen, F.lit(1))).cast("double"),
+        f"_{m}_r": (F.col(f"_{m}_o") / F.greatest(n_ref, F.lit(1))).cast("double")})
+    p, r = F.col(f"_{m}_p"), F.col(f"_{m}_r")
+    return df.withColumn(f"_{m}_f", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
 
 
 def tokenize_pair(df: DataFrame, reference: str = "reference",
@@ -60,13 +67,15 @@ def rouge_scores(df: DataFrame, reference: str = "reference",
             out = (out.withColumn(rs, F.array_sort(ngrams("_ref_tok", n)))
                       .withColumn(gs, F.array_sort(ngrams("_gen_tok", n))))
             ov = clipped_overlap(occurrence_tags(rs), occurrence_tags(gs))
-            p, r, f = prf(ov, F.size(gs), F.size(rs))
+            out = _prf_columns(out, m, ov, F.size(gs), F.size(rs))
             tmp += [rs, gs]
         elif m == "rougeL":
             lcs = lcs_udf(F.col("_ref_tok"), F.col("_gen_tok"))
-            p, r, f = prf(lcs, F.size("_gen_tok"), F.size("_ref_tok"))
+            out = _prf_columns(out, m, lcs, F.size("_gen_tok"), F.size("_ref_tok"))
         else:
             raise ValueError(f"unknown metric {m}")
+        tmp += [f"_{m}_o", f"_{m}_p", f"_{m}_r", f"_{m}_f"]
+        p, r, f = F.col(f"_{m}_p"), F.col(f"_{m}_r"), F.col(f"_{m}_f")
         cols = {m: F.when(null_row, F.lit(None)).otherwise(f)}
         if keep_pr:
             cols[f"{m}_p"] = F.when(null_row, F.lit(None)).otherwise(p)

@@ -137,9 +137,10 @@ def extractive_candidates(docs: DataFrame, systems: DataFrame,
     ``systems`` is a fixed small dimension, broadcast to every partition of
     the documents, so the cross join is a map-side expansion with no shuffle.
     """
-    tk = words(text)
-    return (docs.crossJoin(F.broadcast(systems))
-                .withColumn("generated", F.array_join(F.slice(tk, F.col("off"), F.col("len")), " ")))
+    with_tokens = docs.withColumn("_words", words(text))
+    return (with_tokens.crossJoin(F.broadcast(systems))
+                .withColumn("generated", F.array_join(F.slice("_words", F.col("off"), F.col("len")), " "))
+                .drop("_words"))
 
 
 def constraint_flags(generated) -> dict[str, Column]:
