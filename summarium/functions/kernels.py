@@ -6,6 +6,9 @@ partitions the rows, Arrow moves them in column batches.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,3 +43,22 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [None if (x is None or y is None) else lcs_length(list(x), list(y))
            for x, y in zip(a, b)]
     return pd.Series(out, dtype="Int32")
+
+
+def tf_cosine(a, b) -> float:
+    """Cosine of the term-frequency vectors of two token sequences
+    (0.0 when either is empty)."""
+    if a is None or b is None or len(a) == 0 or len(b) == 0:
+        return 0.0
+    ca, cb = Counter(a), Counter(b)
+    dot = sum(v * cb.get(k, 0) for k, v in ca.items())
+    na = math.sqrt(sum(v * v for v in ca.values()))
+    nb = math.sqrt(sum(v * v for v in cb.values()))
+    return dot / (na * nb)
+
+
+@F.pandas_udf(T.DoubleType())
+def tf_cosine_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = [None if (x is None or y is None) else tf_cosine(list(x), list(y))
+           for x, y in zip(a, b)]
+    return pd.Series(out, dtype="Float64")

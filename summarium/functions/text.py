@@ -41,7 +41,11 @@ def rouge_tokens(text) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Contiguous n-grams joined by a space; empty when fewer than n tokens."""
+    """Contiguous n-grams joined by a space; empty when fewer than n tokens.
+
+    ``tokens`` should name a materialised column: it is read inside the
+    lambda, and Spark does not share sub-expressions across lambda calls.
+    """
     t = col_(tokens)
     if n == 1:
         return t

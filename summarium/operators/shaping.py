@@ -143,19 +143,20 @@ def extractive_candidates(docs: DataFrame, systems: DataFrame,
                 .drop("_words"))
 
 
-def constraint_flags(generated) -> dict[str, Column]:
-    tk = words(generated)
-    n = F.size(tk)
-    return {
+def with_constraint_flags(df: DataFrame, generated: str = "generated") -> DataFrame:
+    """Length within [40, 150] words and number of repeated word trigrams."""
+    t = df.withColumn("_gw", words(generated)).withColumn("_tri", ngrams("_gw", 3))
+    n = F.size("_gw")
+    return t.withColumns({
         "gen_words": n,
         "len_ok": (n >= MIN_SUMMARY_WORDS) & (n <= MAX_SUMMARY_WORDS),
-        "repeated_trigrams": F.size(ngrams(tk, 3)) - F.size(F.array_distinct(ngrams(tk, 3))),
-    }
+        "repeated_trigrams": F.size("_tri") - F.size(F.array_distinct("_tri")),
+    }).drop("_gw", "_tri")
 
 
 def constraint_rates(preds: DataFrame, generated: str = "generated",
                      by: str = "system") -> DataFrame:
-    flagged = preds.withColumns(constraint_flags(generated))
+    flagged = with_constraint_flags(preds, generated)
     return flagged.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("len_ok")).alias("n_len_ok"),
@@ -167,5 +168,5 @@ def constraint_rates(preds: DataFrame, generated: str = "generated",
 
 __all__ = ["multidoc_inputs", "with_task_prefix", "is_long_context", "is_t5_family",
            "token_length", "padded_length", "build_vocabulary", "encode_sequences",
-           "extractive_candidates", "constraint_flags", "constraint_rates",
+           "extractive_candidates", "with_constraint_flags", "constraint_rates",
            "preview", "truncate_chars"]

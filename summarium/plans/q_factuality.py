@@ -1 +1,252 @@
-"""Registered queries."""
+"""Registered queries: factuality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import inputs as I
+from .registry import register
+from .sql_inputs import PREDS, SEED, rtok, with_
+from ..functions.dates import date_mentions, date_mentions_sql
+from ..functions.lexicon import GAZETTEER
+from ..operators import factuality as FX
+from ..sources.tables import read_table
+
+
+# --- SQL helpers --------------------------------------------------------------
+def _types():
+    terms: dict[str, str] = {}
+    for t, term in GAZETTEER:
+        terms.setdefault(term.lower(), t)
+    by_type: dict[str, list[str]] = {}
+    for term, t in terms.items():
+        by_type.setdefault(t, []).append(term)
+    return by_type
+
+
+def etok_sql(x: str) -> str:
+    """Entity tokens of text ``x``; select it into a column before ``ents_sql``."""
+    return f"regexp_extract_all({x}, '[A-Za-z0-9]+', 0)"
+
+
+def ents_sql(x: str, etk: str) -> str:
+    """Typed mentions of text ``x`` whose entity tokens are in column ``etk``."""
+    by_type = _types()
+    allterms = ", ".join(f"'{t}'" for ts in by_type.values() for t in ts)
+    case = " ".join(f"WHEN lower(g) IN ({', '.join(repr(t) for t in ts)}) THEN '{ty}'"
+                    for ty, ts in by_type.items())
+    grams = (f"list_concat({etk}, list_transform(range(1, len({etk})), "
+             f"lambda i: {etk}[i] || ' ' || {etk}[i + 1]))")
+    named = (f"list_transform(list_filter({grams}, lambda g: lower(g) IN ({allterms})), "
+             f"lambda g: {{'ent_type': CASE {case} END, 'ent_text': g}})")
+    dates = (f"list_transform({date_mentions_sql(x, 'loose', 'full', distinct=False)}, "
+             f"lambda d: {{'ent_type': 'DATE', 'ent_text': d}})")
+    return f"list_concat({named}, {dates})"
+
+
+def ent_str_sql(x: str) -> str:
+    return f"array_to_string(list_sort(list_transform({x}, lambda e: e.ent_type || ':' || e.ent_text)), '|')"
+
+
+ENTITY_CONSISTENCY_SQL = """
+CASE WHEN len(se) = 0 THEN 1.0::DOUBLE ELSE least(list_sum(list_transform(se, lambda e:
+  CASE WHEN len(list_filter(sr, lambda s: s.ent_type = e.ent_type AND s.ent_text = e.ent_text)) > 0 THEN 1.0::DOUBLE
+       WHEN len(list_filter(sr, lambda s: s.ent_type = e.ent_type
+                              AND contains(lower(s.ent_text), lower(e.ent_text)))) > 0 THEN 0.5::DOUBLE
+       ELSE 0.0::DOUBLE END)) / len(se), 1.0::DOUBLE) END"""
+
+
+def tf_cosine_cte(name: str, base: str, key: str, a: str, b: str) -> str:
+    """CTE ``name(key, semantic)``: TF cosine of token lists a, b via explode."""
+    return f"""
+{name}_tok AS (
+  SELECT {key}, unnest({rtok(a)}) AS tok, 1 AS side FROM {base}
+  UNION ALL SELECT {key}, unnest({rtok(b)}) AS tok, 2 AS side FROM {base}),
+{name}_tf AS (
+  SELECT {key}, tok, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS ta,
+         sum(CASE WHEN side = 2 THEN 1 ELSE 0 END) AS tb
+  FROM {name}_tok GROUP BY ALL),
+{name}_sum AS (
+  SELECT {key}, sum(ta * tb) AS d, sum(ta * ta) AS na, sum(tb * tb) AS nb FROM {name}_tf GROUP BY ALL),
+{name} AS (
+  SELECT x.{key}, CASE WHEN coalesce(s.na, 0) = 0 OR coalesce(s.nb, 0) = 0 THEN 0.0::DOUBLE
+                       ELSE CAST(s.d AS DOUBLE) / (sqrt(s.na) * sqrt(s.nb)) END AS semantic
+  FROM {base} x LEFT JOIN {name}_sum s USING ({key}))"""
+
+
+def _ent_str(col):
+    return F.array_join(F.array_sort(F.transform(col, lambda e: F.concat(e["ent_type"], F.lit(":"), e["ent_text"]))), "|")
+
+
+def _set_str(col):
+    return F.array_join(F.array_sort(col), "|")
+
+
+# --- E1 / E2 ------------------------------------------------------------------
+PAIR_ENTS = SEED + f""",
+pet AS (SELECT article_id, summary, article, {etok_sql('summary')} AS stk, {etok_sql('article')} AS atk
+        FROM articles),
+pe AS (
+  SELECT article_id AS pair_id, {ents_sql('summary', 'stk')} AS se_all, {ents_sql('article', 'atk')} AS sr_all
+  FROM pet),
+pe2 AS (SELECT pair_id, se_all AS se, list_distinct(sr_all) AS sr, sr_all FROM pe)"""
+
+
+@register("e1_entities", with_(PAIR_ENTS, f"""
+SELECT pair_id, len(se) AS n_summary_entities, {ent_str_sql('se')} AS summary_entities,
+       len(sr_all) AS n_source_entities
+FROM pe2"""))
+def e1_entities(spark, sf):
+    p = I.pairs(spark, sf)
+    d = FX.with_entities(p, "summary", "se")
+    d = FX.with_entities(d, "source", "sr")
+    return d.select("pair_id", F.size("se").cast("bigint").alias("n_summary_entities"),
+                    _ent_str(F.col("se")).alias("summary_entities"),
+                    F.size("sr").cast("bigint").alias("n_source_entities"))
+
+
+@register("e2_entity_consistency", with_(PAIR_ENTS, f"""
+SELECT pair_id, {ENTITY_CONSISTENCY_SQL} AS entity FROM pe2"""))
+def e2_entity_consistency(spark, sf):
+    p = I.pairs(spark, sf)
+    d = FX.with_entities(p, "summary", "se")
+    d = FX.with_entities(d, "source", "sr_all").withColumn("sr", F.array_distinct("sr_all"))
+    return d.select("pair_id", FX.entity_consistency("se", "sr").alias("entity"))
+
+
+# --- E3 / E4 ------------------------------------------------------------------
+def _dates_query(patterns):
+    sql = with_(SEED, f"""
+SELECT article_id AS pair_id,
+       array_to_string(list_sort({date_mentions_sql('summary', patterns)}), '|') AS summary_dates,
+       array_to_string(list_sort({date_mentions_sql('article', patterns)}), '|') AS source_dates,
+       array_to_string(list_sort({date_mentions_sql('summary', patterns, 'full')}), '|') AS summary_dates_full
+FROM articles""")
+
+    def build(spark, sf):
+        a = I.articles(spark, sf)
+        return a.select(F.col("article_id").alias("pair_id"),
+                        _set_str(date_mentions("summary", patterns)).alias("summary_dates"),
+                        _set_str(date_mentions("article", patterns)).alias("source_dates"),
+                        _set_str(date_mentions("summary", patterns, "full")).alias("summary_dates_full"))
+    return build, sql
+
+
+for _p in ("loose", "strict", "extended"):
+    _b, _s = _dates_query(_p)
+    register(f"e3_dates_{_p}", _s)(_b)
+
+
+@register("e4_temporal", with_(SEED, f"""
+SELECT article_id AS pair_id,
+  CASE WHEN len(sd) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(sd, rd)) / len(sd) END AS temporal
+FROM (SELECT article_id, {date_mentions_sql('summary')} AS sd, {date_mentions_sql('article')} AS rd FROM articles)"""))
+def e4_temporal(spark, sf):
+    a = FX.with_dates(I.pairs(spark, sf), {"summary": "sd", "source": "rd"})
+    return a.select("pair_id", FX.temporal_consistency("sd", "rd").alias("temporal"))
+
+
+# --- E5 / E6 ------------------------------------------------------------------
+DENSE_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (
+  SELECT d.doc_id, a.e AS a, b.e AS b
+  FROM documents d JOIN v a ON a.vec_id = d.doc_id JOIN v b ON b.vec_id = d.doc_id + 1),
+n AS (
+  SELECT doc_id,
+    list_reduce(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i]), lambda acc, x: acc + x, 0.0::DOUBLE) AS dt,
+    sqrt(list_reduce(a, lambda acc, x: acc + x * x, 0.0::DOUBLE)) *
+    sqrt(list_reduce(b, lambda acc, x: acc + x * x, 0.0::DOUBLE)) AS den
+  FROM p)
+SELECT doc_id, CASE WHEN den > 0 THEN dt / den ELSE 0.0::DOUBLE END AS cosine FROM n"""
+
+
+@register("e5_dense_cosine", DENSE_SQL)
+def e5_dense_cosine(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    emb = read_table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    a = emb.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("a"))
+    b = emb.select((F.col("vec_id") - 1).alias("doc_id"), F.col("e").alias("b"))
+    j = docs.join(a, "doc_id").join(b, "doc_id")
+    return j.select("doc_id", FX.dense_cosine("a", "b").alias("cosine"))
+
+
+@register("e6_tf_cosine", with_(SEED + "," + tf_cosine_cte("tfc", "articles", "article_id", "summary", "article"),
+                                "SELECT article_id AS pair_id, semantic FROM tfc"))
+def e6_tf_cosine(spark, sf):
+    p = I.pairs(spark, sf)
+    return p.select("pair_id", FX.tf_cosine("summary", "source").alias("semantic"))
+
+
+# --- E7 / E8 ------------------------------------------------------------------
+COMPOSITE = PAIR_ENTS + "," + tf_cosine_cte("tfc", "articles", "article_id", "summary", "article") + f""",
+parts AS (
+  SELECT e.pair_id, {ENTITY_CONSISTENCY_SQL} AS entity,
+    CASE WHEN len(d.sd) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(d.sd, d.rd)) / len(d.sd) END AS temporal,
+    t.semantic
+  FROM pe2 e
+  JOIN (SELECT article_id AS pair_id, {date_mentions_sql('summary')} AS sd,
+               {date_mentions_sql('article')} AS rd FROM articles) d USING (pair_id)
+  JOIN (SELECT article_id AS pair_id, semantic FROM tfc) t USING (pair_id))"""
+
+
+@register("e7_composite", with_(COMPOSITE, """
+SELECT pair_id, round(entity, 3) AS entity, round(temporal, 3) AS temporal,
+       round(semantic, 3) AS semantic,
+       round(0.4::DOUBLE * entity + 0.3::DOUBLE * temporal + 0.3::DOUBLE * semantic, 3) AS overall
+FROM parts"""))
+def e7_composite(spark, sf):
+    s = FX.factuality_scores(I.pairs(spark, sf))
+    return s.select("pair_id", "entity", "temporal", "semantic", "overall")
+
+
+@register("e8_threshold", with_(COMPOSITE, "SELECT pair_id, semantic >= 0.5 AS semantic_ok FROM parts"))
+def e8_threshold(spark, sf):
+    return FX.factuality_scores(I.pairs(spark, sf)).select("pair_id", "semantic_ok")
+
+
+# --- E17 / E18 ------------------------------------------------------------------
+SYS_PAIRS = PREDS + f""",
+sp AS (
+  SELECT p.system || '#' || CAST(p.article_id AS VARCHAR) AS k, p.system, p.article_id AS pair_id,
+         a.article AS source, p.generated AS summary
+  FROM preds2 p JOIN articles a USING (article_id) WHERE p.status = 'ok'),
+spt AS (SELECT *, {etok_sql('summary')} AS stk, {etok_sql('source')} AS atk FROM sp),
+spe AS (SELECT k, system, {ents_sql('summary', 'stk')} AS se, list_distinct({ents_sql('source', 'atk')}) AS sr,
+               {date_mentions_sql('summary')} AS sd, {date_mentions_sql('source')} AS rd FROM spt),
+""" + tf_cosine_cte("stf", "sp", "k", "summary", "source") + f""",
+sparts AS (
+  SELECT e.system, e.k, {ENTITY_CONSISTENCY_SQL} AS entity,
+    CASE WHEN len(sd) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(sd, rd)) / len(sd) END AS temporal,
+    t.semantic, len(se) AS nse, len(sd) AS nsd
+  FROM spe e JOIN stf t USING (k)),
+sscored AS (
+  SELECT system, round(entity, 3) AS entity, round(temporal, 3) AS temporal, round(semantic, 3) AS semantic,
+         round(0.4::DOUBLE * entity + 0.3::DOUBLE * temporal + 0.3::DOUBLE * semantic, 3) AS overall,
+         semantic >= 0.5 AS semantic_ok, nse, nsd
+  FROM sparts)"""
+
+
+@register("e17_system_factuality", with_(SYS_PAIRS, """
+SELECT system, count(*) AS pairs, round(avg(entity), 6) AS entity, round(avg(temporal), 6) AS temporal,
+       round(avg(semantic), 6) AS semantic, round(avg(overall), 6) AS overall,
+       count(*) FILTER (WHERE nse > 0) AS entity_applicable,
+       count(*) FILTER (WHERE nsd > 0) AS temporal_applicable
+FROM sscored GROUP BY system"""))
+def e17_system_factuality(spark, sf):
+    s = FX.system_factuality(FX.factuality_scores(I.system_pairs(spark, sf)))
+    return s.select("system", "pairs", *[F.round(c, 6).alias(c) for c in ("entity", "temporal", "semantic", "overall")],
+                    "entity_applicable", "temporal_applicable")
+
+
+@register("e18_masked_errors", with_(SYS_PAIRS, """
+SELECT system, count(*) AS pairs, count(*) FILTER (WHERE semantic_ok) AS similar,
+       count(*) FILTER (WHERE semantic_ok AND (entity < 1.0 OR temporal < 1.0)) AS masked_errors,
+       round(CASE WHEN count(*) FILTER (WHERE semantic_ok) > 0
+             THEN count(*) FILTER (WHERE semantic_ok AND (entity < 1.0 OR temporal < 1.0))
+                  / count(*) FILTER (WHERE semantic_ok) ELSE 0.0 END, 6) AS masked_rate
+FROM sscored GROUP BY system"""))
+def e18_masked_errors(spark, sf):
+    m = FX.masked_errors(FX.factuality_scores(I.system_pairs(spark, sf)))
+    return m.select("system", "pairs", "similar", "masked_errors", F.round("masked_rate", 6).alias("masked_rate"))
