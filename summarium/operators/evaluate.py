@@ -42,6 +42,7 @@ def build_predictions(articles: DataFrame, systems: DataFrame,
               .otherwise(F.lit(None).cast("string")))
     return cand.select(
         "system", "model_id", "article_id",
+        F.col("article").alias("source"),
         model_input.alias("model_input"),
         F.col("summary").alias("reference"),
         F.when(status == "ok", F.col("generated")).alias("generated"),

@@ -52,7 +52,21 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def system_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(system, pair_id, source, summary): candidates against their source."""
     p = predictions(spark, sf_dir).filter(F.col("status") == "ok")
-    a = articles(spark, sf_dir).select(F.col("article_id"), F.col("article").alias("source"))
-    return p.join(a, "article_id").select(
-        "system", F.col("article_id").alias("pair_id"), "source",
-        F.col("generated").alias("summary"))
+    return p.select("system", F.col("article_id").alias("pair_id"), "source",
+                    F.col("generated").alias("summary"))
+
+
+STAGE_BY_MOD3 = ["warmup", "factuality", "refinement"]
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training-step log stand-in: one step per article, stage by id mod 3,
+    batch index id div 3, epoch 1, cross-entropy from the id; the step's
+    source and generated texts are the seeded article and summary."""
+    a = articles(spark, sf_dir)
+    stage = F.element_at(F.array(*[F.lit(s) for s in STAGE_BY_MOD3]),
+                         (F.col("article_id") % 3 + 1).cast("int"))
+    return a.select(stage.alias("stage"), F.lit(1).cast("bigint").alias("epoch"),
+                    F.floor(F.col("article_id") / 3).cast("bigint").alias("batch_idx"),
+                    (F.lit(0.5) + (F.col("article_id") % 11) / F.lit(10.0)).alias("ce"),
+                    F.col("article").alias("source"), F.col("summary").alias("generated"))
