@@ -145,16 +145,17 @@ def resume(predictions: DataFrame, scores: DataFrame, run_id: str,
     return scores.unionByName(new.select(*scores.columns))
 
 
-def run_summary(aggregates: DataFrame, test_samples: int) -> DataFrame:
+def run_summary(aggregates: DataFrame) -> DataFrame:
     """Nested run summary (A8): one row with metadata, results, failed names.
-    A system with zero successful samples counts as failed."""
+    A system with zero successful samples counts as failed.  The input has
+    one row per system, so the collected list is bounded by the registry."""
     ok = F.col("successful_samples") > 0
     return aggregates.agg(
         F.struct(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("date"),
             F.count_if(ok).alias("num_models_evaluated"),
             F.count_if(~ok).alias("num_models_failed"),
-            F.lit(test_samples).alias("test_samples"),
+            F.max("total_samples").alias("test_samples"),
         ).alias("experiment_metadata"),
         F.filter(F.collect_list(F.struct(*aggregates.columns)),
                  lambda r: r["successful_samples"] > 0).alias("results"),

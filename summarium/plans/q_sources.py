@@ -1 +1,109 @@
-"""Registered queries."""
+"""Registered queries: sources / sinks (S*), resume and streaming.
+
+The S* and A7 queries write derived data to a fresh scratch folder under the
+shared checkpoint location and return the DataFrame read back from it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import inputs as I
+from .registry import register
+from .sql_inputs import PREDS, with_
+from ..operators import corpus as C
+from ..operators import evaluate as EV
+from ..sources import files as S
+from ..streaming.resume import score_stream
+
+# The dump's header spelling: stray spaces and a newline, as found in the wild.
+DUMP_HEADERS = {"article_id": "article_id", "article": " article_text", "summary": "human_summary\n",
+                "headline": "headline ", "category": "news_category", "date": "published_date"}
+
+
+def _dump_csv(spark, sf):
+    raw = I.raw_articles(spark, sf).select(*[F.col(k).alias(v) for k, v in DUMP_HEADERS.items()])
+    path = S.scratch_path(spark, "articles-csv")
+    S.write_csv(raw, path)
+    return path
+
+
+@register("s1_csv")
+def s1_csv(spark, sf):
+    path = _dump_csv(spark, sf)
+    schema = S.T.StructType([S.T.StructField("article_id", S.T.LongType())] +
+                            [S.T.StructField(n, S.T.StringType()) for n in
+                             ("article_text", "human_summary", "headline", "news_category", "published_date")])
+    return S.read_articles_csv(spark, path, schema)
+
+
+@register("p2_headers")
+def p2_headers(spark, sf):
+    path = _dump_csv(spark, sf)
+    return C.rename_columns(S.read_articles_csv(spark, path))
+
+
+@register("s2_json")
+def s2_json(spark, sf):
+    base = S.scratch_path(spark, "scores-json")
+    agg = I.aggregates(spark, sf).withColumn("folder", F.lower(F.regexp_replace("model_name", "-", "_")))
+    S.write_json(agg, base, partition_by="folder")
+    return S.read_score_folders(spark, base)
+
+
+@register("s5_csv_sink")
+def s5_csv_sink(spark, sf):
+    from ..operators import leaderboard as L
+    path = S.scratch_path(spark, "leaderboard-csv")
+    S.write_csv(L.summary(I.ranked(spark, sf)), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("s6_json_sink")
+def s6_json_sink(spark, sf):
+    path = S.scratch_path(spark, "leaderboard-json")
+    S.write_json(I.ranked(spark, sf), path)
+    return spark.read.json(path)
+
+
+@register("s7_append")
+def s7_append(spark, sf):
+    path = S.scratch_path(spark, "scores-table")
+    scores = I.scores(spark, sf).select("system", "article_id", "run_id", "rouge1", "rouge2", "rougeL")
+    S.append_partitioned(scores.filter(F.col("article_id") % 2 == 0), path)
+    S.append_partitioned(scores.filter(F.col("article_id") % 2 == 1), path)
+    return spark.read.parquet(path)
+
+
+@register("s8_ignore")
+def s8_ignore(spark, sf):
+    path = S.scratch_path(spark, "sample-cache")
+    clean = C.clean(I.raw_articles(spark, sf))
+    S.write_if_absent(C.seeded_sample(clean, 100).select("article_id", "sample_key"), path)
+    # a second write with a different seed leaves the cached sample untouched
+    S.write_if_absent(C.seeded_sample(clean, 100, seed=7).select("article_id", "sample_key"), path)
+    return spark.read.parquet(path)
+
+
+@register("a6_resume", with_(PREDS, """
+SELECT system, article_id, CASE WHEN article_id % 2 = 0 THEN 'run-1' ELSE 'run-2' END AS run_id,
+       status, rouge1, rouge2, rougeL
+FROM scores"""))
+def a6_resume(spark, sf):
+    preds = I.predictions(spark, sf)
+    previous = EV.score_predictions(preds.filter(F.col("article_id") % 2 == 0))   # interrupted run
+    full = EV.resume(preds, previous, "run-2")
+    return full.select("system", "article_id", "run_id", "status", "rouge1", "rouge2", "rougeL")
+
+
+@register("a7_stream")
+def a7_stream(spark, sf):
+    base = S.scratch_path(spark, "stream")
+    preds = I.predictions(spark, sf)
+    preds.repartition(4, "article_id").write.parquet(f"{base}/predictions")
+    return score_stream(spark, f"{base}/predictions", f"{base}/scores", f"{base}/_checkpoint")
+
+
+@register("a8_run_summary")
+def a8_run_summary(spark, sf):
+    return EV.run_summary(I.aggregates(spark, sf))
