@@ -92,8 +92,11 @@ def build_vocabulary(df: DataFrame, text: str, max_chars: int | None = None,
         tk = F.slice(tk, 1, max_tokens)
     counts = (df.select(F.explode(tk).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    w = Window.orderBy(F.desc("freq"), F.asc("token"))
-    return counts.withColumn("token_id", (F.row_number().over(w) + 1).cast("int"))
+    # ids follow a total order of the vocabulary; positions are assigned with
+    # a range-partitioned sort, not a single-partition window
+    from .corpus import global_positions
+    ranked = global_positions(counts, [F.col("freq").desc(), F.col("token").asc()], "_pos")
+    return ranked.select("token", "freq", (F.col("_pos") + UNK_ID).cast("int").alias("token_id"))
 
 
 def encode_sequences(df: DataFrame, key: str, text: str, vocab: DataFrame,
