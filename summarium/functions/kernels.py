@@ -62,3 +62,52 @@ def tf_cosine_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [None if (x is None or y is None) else tf_cosine(list(x), list(y))
            for x, y in zip(a, b)]
     return pd.Series(out, dtype="Float64")
+
+
+def ngram_counts(tokens, n: int) -> Counter:
+    if n == 1:
+        return Counter(tokens)
+    return Counter(zip(*(tokens[i:] for i in range(n))))
+
+
+def clipped_overlap(a, b, n: int) -> int:
+    """sum over n-grams g of min(count_a g, count_b g)."""
+    ca, cb = ngram_counts(a, n), ngram_counts(b, n)
+    if len(cb) < len(ca):
+        ca, cb = cb, ca
+    return sum(min(v, cb.get(k, 0)) for k, v in ca.items())
+
+
+ROUGE_COUNTS_TYPE = T.StructType([T.StructField("o1", T.IntegerType()),
+                                  T.StructField("o2", T.IntegerType()),
+                                  T.StructField("lcs", T.IntegerType())])
+
+
+def _rouge_counts(orders: tuple, want_lcs: bool):
+    @F.pandas_udf(ROUGE_COUNTS_TYPE)
+    def rouge_counts(ref: pd.Series, gen: pd.Series) -> pd.DataFrame:
+        o1, o2, lc = [], [], []
+        for r, g in zip(ref, gen):
+            if r is None or g is None:
+                o1.append(None); o2.append(None); lc.append(None)  # noqa: E702
+                continue
+            r, g = list(r), list(g)
+            o1.append(clipped_overlap(r, g, 1) if 1 in orders else None)
+            o2.append(clipped_overlap(r, g, 2) if 2 in orders else None)
+            lc.append(lcs_length(r, g) if want_lcs else None)
+        return pd.DataFrame({"o1": pd.array(o1, dtype="Int32"), "o2": pd.array(o2, dtype="Int32"),
+                             "lcs": pd.array(lc, dtype="Int32")})
+    return rouge_counts
+
+
+_ROUGE_UDFS: dict = {}
+
+
+def rouge_counts_udf(orders=(1, 2), want_lcs: bool = True):
+    """Arrow UDF: (reference tokens, candidate tokens) -> struct(o1, o2, lcs)
+    with the clipped unigram / bigram overlaps and the LCS length.  One call
+    per row computes every requested count, so tokens cross Arrow once."""
+    key = (tuple(sorted(orders)), want_lcs)
+    if key not in _ROUGE_UDFS:
+        _ROUGE_UDFS[key] = _rouge_counts(*key)
+    return _ROUGE_UDFS[key]

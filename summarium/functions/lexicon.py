@@ -50,7 +50,10 @@ def terms_substring(lower_text) -> Column:
     """
     t = col_(lower_text)
     arr = F.array(*[F.lit(x) for x in LEXICON_TERMS])
-    return F.filter(arr, lambda term: t.contains(term))
+    # ``t`` is referenced outside the lambda too: a column read only inside a
+    # lambda would be inlined there by the optimizer and recomputed per term.
+    return F.when(t.isNull(), F.array().cast("array<string>")) \
+            .otherwise(F.filter(arr, lambda term: t.contains(term)))
 
 
 def terms_word(tokens: str) -> Column:

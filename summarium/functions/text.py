@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 WS = r"\s+"
 # ROUGE tokenizer: lower-case, anything outside [a-z0-9] is a separator.
 ROUGE_NON_ALNUM = "[^a-z0-9]+"
-# Tag separator for multiset -> set encoding (a control char never in tokens).
-TAG_SEP = "\u0001"
 
 
 def col_(c) -> Column:
@@ -63,23 +61,6 @@ def all_ngrams(tokens, max_n: int) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def occurrence_tags(sorted_arr) -> Column:
-    """Turn a *sorted* array into unique tags ``x<SEP>k`` (k-th copy of x).
-
-    With unique tags, multiset intersection becomes set intersection:
-    ``size(array_intersect(tags(a), tags(b))) = sum_x min(count_a x, count_b x)``.
-    ``sorted_arr`` must be a materialised column (it is read once per element).
-    """
-    s = col_(sorted_arr)
-    return F.transform(
-        s, lambda x, i: F.concat(x, F.lit(TAG_SEP),
-                                 (i + 1 - F.array_position(s, x)).cast("string")))
-
-
-def clipped_overlap(tags_a, tags_b) -> Column:
-    return F.size(F.array_intersect(col_(tags_a), col_(tags_b)))
-
-
 def truncate_chars(text, n: int) -> Column:
     """Python ``s[:n]`` in code points."""
     return F.substring(col_(text), 1, n)

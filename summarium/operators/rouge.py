@@ -1,12 +1,13 @@
-"""ROUGE-1/2/L (Lin 2004) as row-local Spark expressions -- no shuffle.
+"""ROUGE-1/2/L (Lin 2004) scored row by row -- no shuffle.
 
-Clipped n-gram overlap is computed inside each row: the n-grams of both sides
-are sorted and tagged with their occurrence number (``the#1, the#2``), which
-turns the multiset intersection into a set intersection that the built-in
-``array_intersect`` evaluates with a hash set.  A (system, article) pair
-therefore never leaves its partition, whatever the corpus size; the
-explode + group-by formulation would shuffle every token of every pair.
-ROUGE-L needs an LCS, done by the bit-parallel kernel in ``lcs_udf``.
+Every (system, article) pair carries both texts in one row, so all the work
+is row-local: the texts are tokenised with built-in expressions (lower-case,
+non-alphanumeric -> space, split), one Arrow-batched kernel returns the
+clipped 1-/2-gram overlaps and the LCS length, and precision / recall / F are
+built-in arithmetic.  An explode + group-by formulation would shuffle every
+token of every pair; the built-in higher-order-function formulation
+(sorted, occurrence-tagged arrays + ``array_intersect``) was measured 5x
+slower than the kernel at sf0.1.
 """
 
 from __future__ import annotations
@@ -14,23 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import lcs_udf
-from ..functions.text import clipped_overlap, ngrams, occurrence_tags, rouge_tokens
+from ..functions.kernels import rouge_counts_udf
+from ..functions.text import rouge_tokens
 
 METRICS = ("rouge1", "rouge2", "rougeL")
 
 
 def _prf_columns(df: DataFrame, m: str, overlap: Column, n_gen: Column,
                  n_ref: Column) -> DataFrame:
-    """Precision / recall / F as the public scorer computes them.
-
-    Overlap, P and R are materialised one after another so the expensive
-    overlap expression is evaluated once per row (not once per use in F).
-    """
-    df = df.withColumn(f"_{m}_o", overlap)
+    """Precision / recall / F as the public scorer computes them (P and R
+    materialised first so F reuses them)."""
     df = df.withColumns({
-        f"_{m}_p": (F.col(f"_{m}_o") / F.greatest(n_gen, F.lit(1))).cast("double"),
-        f"_{m}_r": (F.col(f"_{m}_o") / F.greatest(n_ref, F.lit(1))).cast("double")})
+        f"_{m}_p": (overlap / F.greatest(n_gen, F.lit(1))).cast("double"),
+        f"_{m}_r": (overlap / F.greatest(n_ref, F.lit(1))).cast("double")})
     p, r = F.col(f"_{m}_p"), F.col(f"_{m}_r")
     return df.withColumn(f"_{m}_f", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
 
@@ -52,33 +49,32 @@ def rouge_scores(df: DataFrame, reference: str = "reference",
                  generated: str = "generated",
                  metrics=METRICS, use_stemmer: bool = False,
                  keep_pr: bool = False) -> DataFrame:
-    """Append ``<metric>`` F-measure columns (and P/R when ``keep_pr``).
-
-    Rows whose reference or candidate is null get null scores; empty token
-    lists score 0 as in the public scorer.
-    """
+    """Append ``<metric>`` F-measure columns (and ``_p`` / ``_r`` when
+    ``keep_pr``).  Null reference or candidate -> null scores; empty token
+    lists score 0 as in the public scorer."""
+    for m in metrics:
+        if m not in METRICS:
+            raise ValueError(f"unknown metric {m}")
     out = tokenize_pair(df, reference, generated, use_stemmer)
-    tmp = ["_ref_tok", "_gen_tok"]
+    orders = tuple(int(m[-1]) for m in metrics if m != "rougeL")
+    kernel = rouge_counts_udf(orders, "rougeL" in metrics)
+    out = out.withColumn("_cnt", kernel(F.col("_ref_tok"), F.col("_gen_tok")))
+    n_ref, n_gen = F.size("_ref_tok"), F.size("_gen_tok")
+    sizes = {
+        "rouge1": (n_gen, n_ref),
+        "rouge2": (F.greatest(n_gen - 1, F.lit(0)), F.greatest(n_ref - 1, F.lit(0))),
+        "rougeL": (n_gen, n_ref),
+    }
+    field = {"rouge1": "o1", "rouge2": "o2", "rougeL": "lcs"}
+    tmp = ["_ref_tok", "_gen_tok", "_cnt"]
     null_row = F.col(reference).isNull() | F.col(generated).isNull()
     for m in metrics:
-        if m in ("rouge1", "rouge2"):
-            n = int(m[-1])
-            rs, gs = f"_rs{n}", f"_gs{n}"
-            out = (out.withColumn(rs, F.array_sort(ngrams("_ref_tok", n)))
-                      .withColumn(gs, F.array_sort(ngrams("_gen_tok", n))))
-            ov = clipped_overlap(occurrence_tags(rs), occurrence_tags(gs))
-            out = _prf_columns(out, m, ov, F.size(gs), F.size(rs))
-            tmp += [rs, gs]
-        elif m == "rougeL":
-            lcs = lcs_udf(F.col("_ref_tok"), F.col("_gen_tok"))
-            out = _prf_columns(out, m, lcs, F.size("_gen_tok"), F.size("_ref_tok"))
-        else:
-            raise ValueError(f"unknown metric {m}")
-        tmp += [f"_{m}_o", f"_{m}_p", f"_{m}_r", f"_{m}_f"]
-        p, r, f = F.col(f"_{m}_p"), F.col(f"_{m}_r"), F.col(f"_{m}_f")
-        cols = {m: F.when(null_row, F.lit(None)).otherwise(f)}
+        g, r = sizes[m]
+        out = _prf_columns(out, m, F.col("_cnt")[field[m]], g, r)
+        tmp += [f"_{m}_p", f"_{m}_r", f"_{m}_f"]
+        cols = {m: F.when(null_row, F.lit(None)).otherwise(F.col(f"_{m}_f"))}
         if keep_pr:
-            cols[f"{m}_p"] = F.when(null_row, F.lit(None)).otherwise(p)
-            cols[f"{m}_r"] = F.when(null_row, F.lit(None)).otherwise(r)
+            cols[f"{m}_p"] = F.when(null_row, F.lit(None)).otherwise(F.col(f"_{m}_p"))
+            cols[f"{m}_r"] = F.when(null_row, F.lit(None)).otherwise(F.col(f"_{m}_r"))
         out = out.withColumns(cols)
     return out.drop(*tmp)
