@@ -18,12 +18,13 @@ MAX_ERRORS_PER_SYSTEM = 5
 
 def build_predictions(articles: DataFrame, systems: DataFrame,
                       failing_system: str | None = None,
-                      failing_modulus: int = 13) -> DataFrame:
+                      failing_modulus: int = 13, carry: tuple = ()) -> DataFrame:
     """(system, article_id) rows with the model input, reference, candidate,
     lengths, timing and status -- the table a generation job would write.
 
     A null/empty article or reference marks the row failed (the reference
-    scored the string 'nan'; that is a documented fix).
+    scored the string 'nan'; that is a documented fix).  ``carry`` names
+    per-article columns computed before the fan-out to systems.
     """
     cand = extractive_candidates(articles, systems, text="article")
     long_ctx = is_long_context(F.col("model_id"))
@@ -50,7 +51,7 @@ def build_predictions(articles: DataFrame, systems: DataFrame,
         padded_length(token_length(model_input, long_ctx), long_ctx).alias("padded_length"),
         ((F.col("article_id") % 7) * 0.5).cast("double").alias("seconds"),
         status.alias("status"), error.alias("error"),
-        F.lit("run-1").alias("run_id"))
+        F.lit("run-1").alias("run_id"), *carry)
 
 
 def score_predictions(preds: DataFrame, use_stemmer: bool = False) -> DataFrame:

@@ -52,8 +52,9 @@ def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
     Mentions are word n-grams (original case) whose lower-case form is a
     gazetteer term, plus DATE mentions from the loose date patterns;
     duplicates are kept.  ``gazetteer`` is a list of (type, term) or a
-    DataFrame ``(ent_type, term)``.  Small gazetteers are looked up per row
-    from a literal map (no shuffle); large ones need ``key`` and are joined.
+    DataFrame ``(ent_type, term)``.  Gazetteers up to LITERAL_GAZETTEER_MAX
+    terms are looked up per row through hash-set IN lists (no shuffle);
+    larger ones need ``key`` and go through an n-gram explode + join.
     """
     rows = gazetteer if gazetteer is not None else GAZETTEER
     if isinstance(rows, DataFrame):
@@ -95,7 +96,8 @@ def _with_entities_join(df, text, out, gaz: DataFrame, key, n_terms):
         g = F.broadcast(g)
     max_words = 4
     toks = df.select(key, F.regexp_extract_all(F.col(text), F.lit(ENTITY_TOKEN), F.lit(0)).alias("_t"))
-    grams = toks.select(key, F.posexplode(all_ngrams("_t", max_words)).alias("_pos", "_g"))
+    grams = (toks.select(key, F.posexplode_outer(all_ngrams("_t", max_words)).alias("_pos", "_g"))
+                 .filter(F.col("_g").isNotNull()))
     hits = grams.join(g, F.lower(grams["_g"]) == g["_term"])
     ents = hits.groupBy(key).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_pos", "ent_type", "_g"))),
@@ -155,18 +157,33 @@ def tf_cosine(a_text, b_text, a_chars: int | None = None, b_chars: int | None =
 
 
 # E7 / E8 --------------------------------------------------------------------
+SOURCE_FEATURES = ("_src_ents", "_src_dates", "_src_tok")
+
+
+def with_source_features(df: DataFrame, source: str = "source", gazetteer=None) -> DataFrame:
+    """Source-side inputs of the factuality scores: distinct typed mentions,
+    the loose date set and the ROUGE tokens.  Compute them once per source
+    document -- before fanning a document out to many candidate summaries."""
+    d = with_entities(df, source, "_src_ents_all", gazetteer)
+    return d.withColumns({
+        "_src_ents": F.array_distinct("_src_ents_all"),
+        "_src_dates": date_mentions(source, "loose"),
+        "_src_tok": rouge_tokens(source)}).drop("_src_ents_all")
+
+
 def factuality_scores(pairs: DataFrame, summary: str = "summary", source: str = "source",
                       gazetteer=None, weights: dict[str, float] = FACTUALITY_WEIGHTS) -> DataFrame:
     """Adds entity, temporal, semantic, overall (each rounded to 3, overall
-    from the unrounded parts) and the ``semantic_ok`` threshold flag."""
-    d = with_entities(pairs, summary, "_sum_ents", gazetteer)
-    d = with_entities(d, source, "_src_ents_all", gazetteer)
-    d = d.withColumn("_src_ents", F.array_distinct("_src_ents_all"))
-    d = with_dates(d, {summary: "_sum_dates", source: "_src_dates"}, "loose")
+    from the unrounded parts) and the ``semantic_ok`` threshold flag.  Source
+    features already present (``with_source_features``) are reused."""
+    d = pairs if all(c in pairs.columns for c in SOURCE_FEATURES) \
+        else with_source_features(pairs, source, gazetteer)
+    d = with_entities(d, summary, "_sum_ents", gazetteer)
+    d = d.withColumn("_sum_dates", date_mentions(summary, "loose"))
     d = d.withColumns({
         "_entity": entity_consistency("_sum_ents", "_src_ents"),
         "_temporal": temporal_consistency("_sum_dates", "_src_dates"),
-        "_semantic": tf_cosine(summary, source)})
+        "_semantic": tf_cosine_udf(rouge_tokens(summary), F.col("_src_tok"))})
     overall = (F.lit(weights["entity"]) * F.col("_entity") +
                F.lit(weights["temporal"]) * F.col("_temporal") +
                F.lit(weights["semantic"]) * F.col("_semantic"))
@@ -175,8 +192,7 @@ def factuality_scores(pairs: DataFrame, summary: str = "summary", source: str =
         "semantic": F.round("_semantic", 3), "overall": F.round(overall, 3),
         "n_summary_entities": F.size("_sum_ents"), "n_summary_dates": F.size("_sum_dates")})
     d = d.withColumn("semantic_ok", F.col("_semantic") >= SEMANTIC_THRESHOLD)
-    return d.drop("_sum_ents", "_src_ents_all", "_src_ents", "_sum_dates", "_src_dates",
-                  "_entity", "_temporal", "_semantic")
+    return d.drop("_sum_ents", "_sum_dates", "_entity", "_temporal", "_semantic", *SOURCE_FEATURES)
 
 
 # E17 / E18 ------------------------------------------------------------------

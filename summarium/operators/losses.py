@@ -82,8 +82,11 @@ def drop_report(df: DataFrame, source_terms: str, summary_terms: str, lexicon: D
     and the counts combine map-side, so a term present in every article is
     one row per map partition before the shuffle.
     """
-    ex = df.select(F.explode(source_terms).alias("term"),
-                   F.col(summary_terms).alias("_sum"))
+    # explode_outer + filter keeps the optimizer from pushing an inferred
+    # size(terms) > 0 predicate (and the term matching) below this projection
+    ex = (df.select(F.explode_outer(source_terms).alias("term"),
+                    F.col(summary_terms).alias("_sum"))
+            .filter(F.col("term").isNotNull()))
     ex = ex.withColumn("kept", F.array_contains("_sum", F.col("term")))
     j = ex.join(F.broadcast(lexicon), "term")
     return (j.groupBy("category", "term").agg(
@@ -98,10 +101,6 @@ def most_dropped(report: DataFrame, k: int = 10) -> DataFrame:
 
 
 # E14 ------------------------------------------------------------------------
-def _present(w: dict[str, float], part: str) -> bool:
-    return any(v[part] != 0 for v in w.values()) if isinstance(next(iter(w.values())), dict) else w[part] != 0
-
-
 def component_losses(df: DataFrame, source: str, generated: str,
                      parts=("entity", "temporal", "semantic")) -> DataFrame:
     """entity / temporal / semantic loss columns for (source, generated)."""

@@ -90,7 +90,11 @@ def build_vocabulary(df: DataFrame, text: str, max_chars: int | None = None,
     tk = words(t)
     if max_tokens:
         tk = F.slice(tk, 1, max_tokens)
-    counts = (df.select(F.explode(tk).alias("token"))
+    # explode_outer + explicit filter: a plain explode makes the optimizer
+    # infer size(tokens) > 0 and push it below the projection, re-running
+    # the tokenizer inside that predicate.
+    counts = (df.select(F.explode_outer(tk).alias("token"))
+                .filter(F.col("token").isNotNull())
                 .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     # ids follow a total order of the vocabulary; positions are assigned with
     # a range-partitioned sort, not a single-partition window
@@ -111,7 +115,8 @@ def encode_sequences(df: DataFrame, key: str, text: str, vocab: DataFrame,
     t = col_(text)
     if max_chars:
         t = truncate_chars(t, max_chars)
-    toks = df.select(key, F.posexplode(F.slice(words(t), 1, max_len)).alias("pos", "token"))
+    toks = (df.select(key, F.posexplode_outer(F.slice(words(t), 1, max_len)).alias("pos", "token"))
+              .filter(F.col("token").isNotNull()))
     ids = (toks.join(vocab.select("token", "token_id"), "token", "left")
                .select(key, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid")))
     seq = ids.groupBy(key).agg(

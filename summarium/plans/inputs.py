@@ -50,10 +50,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def system_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(system, pair_id, source, summary): candidates against their source."""
-    p = predictions(spark, sf_dir).filter(F.col("status") == "ok")
-    return p.select("system", F.col("article_id").alias("pair_id"), "source",
-                    F.col("generated").alias("summary"))
+    """(system, pair_id, source, summary) + source features: candidates
+    against their source, with the source-side factuality inputs computed
+    once per article before the fan-out to systems."""
+    from ..operators.factuality import SOURCE_FEATURES, with_source_features
+    a = articles(spark, sf_dir).select("article_id", "article", "summary")
+    a = with_source_features(a, "article")
+    p = evaluate.build_predictions(a, T.systems(spark), T.FAILING_SYSTEM, T.FAILING_MODULUS,
+                                   carry=SOURCE_FEATURES)
+    return p.filter(F.col("status") == "ok").select(
+        "system", F.col("article_id").alias("pair_id"), "source",
+        F.col("generated").alias("summary"), *SOURCE_FEATURES)
 
 
 STAGE_BY_MOD3 = ["warmup", "factuality", "refinement"]
