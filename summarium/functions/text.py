@@ -55,9 +55,16 @@ def ngrams(tokens, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def bigrams(tokens) -> Column:
+    """Adjacent word pairs joined by a space (``tokens`` materialised)."""
+    t = col_(tokens)
+    k = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, k), F.slice(t, 2, k), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def all_ngrams(tokens, max_n: int) -> Column:
     """Every 1..max_n gram of a token array (used for dictionary lookups)."""
-    parts = [ngrams(tokens, n) for n in range(1, max_n + 1)]
+    parts = [bigrams(tokens) if n == 2 else ngrams(tokens, n) for n in range(1, max_n + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

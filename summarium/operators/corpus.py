@@ -118,18 +118,23 @@ def clean(raw: DataFrame, id_col: str = "article_id") -> DataFrame:
 
 
 # P9 / P13 / P14 / P16 -------------------------------------------------------
-def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos") -> DataFrame:
+def global_positions(df: DataFrame, order: list[Column], keep: list[str],
+                     pos_col: str = "pos") -> DataFrame:
     """1-based position of every row in the total order ``order``.
 
-    ``order`` must be a unique key.  Rows are range-partitioned and sorted,
-    the layout is frozen with a reliable checkpoint (so a recomputed partition
-    gets the same numbers), and each row gets its partition's offset (a table
-    with one row per partition, broadcast) plus its index in the partition.
+    ``order`` must be a unique key.  Only the columns in ``keep`` (the key
+    and the order columns) travel through the sort; callers join the
+    positions back by key when they need more.  Rows are range-partitioned
+    (boundaries sampled on the unique key, so a hot date is split over many
+    tasks) and sorted; the layout is frozen with a reliable checkpoint so a
+    recomputed partition gets the same numbers; each row then gets its
+    partition's offset (one row per partition, broadcast) plus its index.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    frozen = (df.repartitionByRange(n_parts, *order)
+    frozen = (df.select(*keep)
+                .repartitionByRange(n_parts, *order)
                 .sortWithinPartitions(*order)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))

@@ -46,7 +46,7 @@ def _entity_struct(t, x) -> Column:
 
 
 def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
-                  key: str | None = None) -> DataFrame:
+                  key: str | None = None, distinct: bool = False) -> DataFrame:
     """Typed entity mentions ``array<struct<ent_type, ent_text>>`` of ``text``.
 
     Mentions are word n-grams (original case) whose lower-case form is a
@@ -55,6 +55,8 @@ def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
     DataFrame ``(ent_type, term)``.  Gazetteers up to LITERAL_GAZETTEER_MAX
     terms are looked up per row through hash-set IN lists (no shuffle);
     larger ones need ``key`` and go through an n-gram explode + join.
+    ``distinct=True`` returns each (type, text) mention once and dedups the
+    n-grams before the lookup -- much less work on long documents.
     """
     rows = gazetteer if gazetteer is not None else GAZETTEER
     if isinstance(rows, DataFrame):
@@ -70,8 +72,9 @@ def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
         by_type.setdefault(t, []).append(term)
     max_words = max(len(t.split()) for t in terms)
     tmp_tok, tmp_grams = f"_{out}_tok", f"_{out}_grams"
+    grams = all_ngrams(tmp_tok, max_words)
     d = (df.withColumn(tmp_tok, F.regexp_extract_all(F.col(text), F.lit(ENTITY_TOKEN), F.lit(0)))
-           .withColumn(tmp_grams, all_ngrams(tmp_tok, max_words)))
+           .withColumn(tmp_grams, F.array_distinct(grams) if distinct else grams))
 
     def type_of(g):
         # IN-lists above ten literals are planned as hash-set lookups (InSet)
@@ -81,9 +84,10 @@ def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
             expr = F.when(lg.isin(*by_type[t]), F.lit(t)).otherwise(expr)
         return expr
 
-    typed = F.transform(tmp_grams, lambda g: _entity_struct(type_of(g), g))
-    named = F.filter(typed, lambda e: e["ent_type"].isNotNull())
-    dates = F.transform(date_mentions(F.col(text), "loose", "full", distinct=False),
+    all_terms = list(terms)
+    hits = F.filter(tmp_grams, lambda g: F.lower(g).isin(*all_terms))
+    named = F.transform(hits, lambda g: _entity_struct(type_of(g), g))
+    dates = F.transform(date_mentions(F.col(text), "loose", "full", distinct=distinct),
                         lambda x: _entity_struct(F.lit("DATE"), x))
     return d.withColumn(out, F.concat(named, dates)).drop(tmp_tok, tmp_grams)
 
@@ -164,7 +168,7 @@ def with_source_features(df: DataFrame, source: str = "source", gazetteer=None)
     """Source-side inputs of the factuality scores: distinct typed mentions,
     the loose date set and the ROUGE tokens.  Compute them once per source
     document -- before fanning a document out to many candidate summaries."""
-    d = with_entities(df, source, "_src_ents_all", gazetteer)
+    d = with_entities(df, source, "_src_ents_all", gazetteer, distinct=True)
     return d.withColumns({
         "_src_ents": F.array_distinct("_src_ents_all"),
         "_src_dates": date_mentions(source, "loose"),

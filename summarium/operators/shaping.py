@@ -99,7 +99,8 @@ def build_vocabulary(df: DataFrame, text: str, max_chars: int | None = None,
     # ids follow a total order of the vocabulary; positions are assigned with
     # a range-partitioned sort, not a single-partition window
     from .corpus import global_positions
-    ranked = global_positions(counts, [F.col("freq").desc(), F.col("token").asc()], "_pos")
+    ranked = global_positions(counts, [F.col("freq").desc(), F.col("token").asc()],
+                              ["token", "freq"], "_pos")
     return ranked.select("token", "freq", (F.col("_pos") + UNK_ID).cast("int").alias("token_id"))
 
 

@@ -47,7 +47,7 @@ def _clean(spark, sf):
 
 
 def _positioned(spark, sf):
-    return C.global_positions(_clean(spark, sf), C.chronological(None))
+    return C.global_positions(_clean(spark, sf), C.chronological(None), ["article_id", "date"])
 
 
 def _splits(spark, sf):

@@ -110,7 +110,7 @@ SELECT pair_id, {ENTITY_CONSISTENCY_SQL} AS entity FROM pe2"""))
 def e2_entity_consistency(spark, sf):
     p = I.pairs(spark, sf)
     d = FX.with_entities(p, "summary", "se")
-    d = FX.with_entities(d, "source", "sr_all").withColumn("sr", F.array_distinct("sr_all"))
+    d = FX.with_entities(d, "source", "sr", distinct=True)
     return d.select("pair_id", FX.entity_consistency("se", "sr").alias("entity"))
 
 
