@@ -13,6 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,11 +134,14 @@ def global_positions(df: DataFrame, order: list[Column], keep: list[str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    frozen = (df.select(*keep)
-                .repartitionByRange(n_parts, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    # the range partitioner samples its input before shuffling it: keep the
+    # narrow key columns so the upstream pipeline runs once, not twice
+    keys = df.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    frozen = (keys.repartitionByRange(n_parts, *order)
+                  .sortWithinPartitions(*order)
+                  .withColumn("_mid", F.monotonically_increasing_id())
+                  .checkpoint(eager=True))
+    keys.unpersist()
     pid = F.shiftright(F.col("_mid"), 33)
     counts = frozen.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
