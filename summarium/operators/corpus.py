@@ -129,7 +129,7 @@ def global_positions(df: DataFrame, order: list[Column], keep: list[str],
     (boundaries sampled on the unique key, so a hot date is split over many
     tasks) and sorted; the layout is frozen with a reliable checkpoint so a
     recomputed partition gets the same numbers; each row then gets its
-    partition's offset (one row per partition, broadcast) plus its index.
+    partition's offset (from the per-partition row counts) plus its index.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -143,14 +143,17 @@ def global_positions(df: DataFrame, order: list[Column], keep: list[str],
                   .checkpoint(eager=True))
     keys.unpersist()
     pid = F.shiftright(F.col("_mid"), 33)
-    counts = frozen.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    return (frozen.withColumn("_pid", pid)
-                  .join(F.broadcast(offsets), "_pid")
-                  .withColumn(pos_col, (F.col("_off") + local + 1).cast("long"))
-                  .drop("_pid", "_off", "_mid"))
+    # rows per partition: one small row per partition reaches the driver
+    # (as in RDD.zipWithIndex); offsets become a literal array
+    sizes = dict(frozen.groupBy(pid.alias("_pid")).count().collect())
+    offsets, acc = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(acc)
+        acc += sizes.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets] or [F.lit(0).cast("long")]),
+                       (pid + 1).cast("int"))
+    local = F.col("_mid") - F.shiftleft(pid, 33)
+    return frozen.withColumn(pos_col, (off + local + 1).cast("long")).drop("_mid")
 
 
 def chronological(df: DataFrame, date: str = "date", id_col: str = "article_id") -> list[Column]:

@@ -54,7 +54,7 @@ def build_predictions(articles: DataFrame, systems: DataFrame,
         F.lit("run-1").alias("run_id"), *carry)
 
 
-def score_predictions(preds: DataFrame, use_stemmer: bool = False) -> DataFrame:
+def score_predictions(preds: DataFrame, use_stemmer: bool = True) -> DataFrame:
     """Per-pair result rows (M6): ids, preview, lengths, unrounded and
     4-dp scores.  Failed rows are kept with null scores."""
     ok = F.col("status") == "ok"
@@ -138,7 +138,7 @@ def resume_todo(predictions: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def resume(predictions: DataFrame, scores: DataFrame, run_id: str,
-           use_stemmer: bool = False) -> DataFrame:
+           use_stemmer: bool = True) -> DataFrame:
     """Existing scores plus the newly scored remainder; resuming twice equals
     running once because completed pairs are never rescored."""
     todo = resume_todo(predictions, scores).withColumn("run_id", F.lit(run_id))

@@ -33,7 +33,7 @@ def _prf_columns(df: DataFrame, m: str, overlap: Column, n_gen: Column,
 
 
 def tokenize_pair(df: DataFrame, reference: str = "reference",
-                  generated: str = "generated", use_stemmer: bool = False,
+                  generated: str = "generated", use_stemmer: bool = True,
                   ref_tokens: str = "_ref_tok", gen_tokens: str = "_gen_tok"
                   ) -> DataFrame:
     out = (df.withColumn(ref_tokens, rouge_tokens(reference))
@@ -47,11 +47,12 @@ def tokenize_pair(df: DataFrame, reference: str = "reference",
 
 def rouge_scores(df: DataFrame, reference: str = "reference",
                  generated: str = "generated",
-                 metrics=METRICS, use_stemmer: bool = False,
+                 metrics=METRICS, use_stemmer: bool = True,
                  keep_pr: bool = False) -> DataFrame:
     """Append ``<metric>`` F-measure columns (and ``_p`` / ``_r`` when
     ``keep_pr``).  Null reference or candidate -> null scores; empty token
-    lists score 0 as in the public scorer."""
+    lists score 0 as in the public scorer.  Tokens longer than three
+    characters are Porter-stemmed unless ``use_stemmer`` is False."""
     for m in metrics:
         if m not in METRICS:
             raise ValueError(f"unknown metric {m}")

@@ -27,7 +27,7 @@ def _metric_query(metric):
         from ..operators.rouge import rouge_scores
         p = I.predictions(spark, sf)
         p = p.withColumn("generated", F.when(F.col("status") == "ok", F.col("generated")))
-        s = rouge_scores(p, metrics=(metric,), keep_pr=True)
+        s = rouge_scores(p, metrics=(metric,), keep_pr=True, use_stemmer=False)
         return s.select("system", "article_id", f"{metric}_p", f"{metric}_r", metric)
     sql = with_(PREDS, f"SELECT system, article_id, {metric}_p, {metric}_r, {metric} FROM scores")
     return build, sql
@@ -96,3 +96,18 @@ def a5_throughput(spark, sf):
 @register("a9_sweep", with_(PREDS, "SELECT * FROM aggregates"))
 def a9_sweep(spark, sf):
     return I.aggregates(spark, sf)
+
+
+@register("m2_stem")
+def m2_stem(spark, sf):
+    """Distinct vocabulary of the reference summaries with its Porter stems."""
+    from ..functions.stem import stem_vocabulary
+    a = I.articles(spark, sf)
+    toks = a.select(F.explode_outer(rouge_tokens("summary")).alias("token"))
+    return stem_vocabulary(toks)
+
+
+@register("m2_rouge_stemmed")
+def m2_rouge_stemmed(spark, sf):
+    """The sweep with stemmed tokens, as the reference scorer is configured."""
+    return I.aggregates(spark, sf, use_stemmer=True)

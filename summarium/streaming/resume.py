@@ -31,7 +31,7 @@ def read_scores(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 def score_stream(spark: SparkSession, predictions_path: str, scores_path: str,
                  checkpoint_path: str, max_files_per_trigger: int = 1,
-                 use_stemmer: bool = False) -> DataFrame:
+                 use_stemmer: bool = True) -> DataFrame:
     """Run the stream until the folder is drained (``availableNow``) and
     return the scores table."""
     pschema = spark.read.parquet(predictions_path).schema
