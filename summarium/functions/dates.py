@@ -46,12 +46,19 @@ def _group(pattern: str, mode: str) -> int:
     return 1 if (mode == "reference" and "(" in pattern) else 0
 
 
+def _flagged(pattern: str) -> str:
+    """Case-insensitive flag, only where the pattern has letters to fold
+    (digit-only patterns match the same either way, and faster without)."""
+    return "(?i)" + pattern if any(c.isalpha() for c in pattern.replace("\\d", "").replace("\\s", "")
+                                   .replace("\\b", "")) else pattern
+
+
 def date_mentions(text, patterns: str = "loose", mode: str = "reference",
                   distinct: bool = True) -> Column:
     """Array of date mentions; a set (``array_distinct``) unless ``distinct``
     is False, which keeps every mention in pattern order."""
     t = col_(text)
-    parts = [F.regexp_extract_all(t, F.lit("(?i)" + p), F.lit(_group(p, mode)))
+    parts = [F.regexp_extract_all(t, F.lit(_flagged(p)), F.lit(_group(p, mode)))
              for p in PATTERN_SETS[patterns]]
     allm = F.concat(*parts)
     return F.array_distinct(allm) if distinct else allm
@@ -60,7 +67,7 @@ def date_mentions(text, patterns: str = "loose", mode: str = "reference",
 def date_mentions_sql(x: str, patterns: str = "loose", mode: str = "reference",
                       distinct: bool = True) -> str:
     """The same extraction as DuckDB SQL (for oracle queries)."""
-    parts = [f"regexp_extract_all({x}, '(?i){p}', {_group(p, mode)})" for p in PATTERN_SETS[patterns]]
+    parts = [f"regexp_extract_all({x}, '{_flagged(p)}', {_group(p, mode)})" for p in PATTERN_SETS[patterns]]
     allm = "list_concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
     if len(parts) > 2:
         allm = parts[0]

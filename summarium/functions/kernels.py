@@ -111,3 +111,41 @@ def rouge_counts_udf(orders=(1, 2), want_lcs: bool = True):
     if key not in _ROUGE_UDFS:
         _ROUGE_UDFS[key] = _rouge_counts(*key)
     return _ROUGE_UDFS[key]
+
+
+ENTITY_ARRAY_TYPE = T.ArrayType(T.StructType([T.StructField("ent_type", T.StringType()),
+                                              T.StructField("ent_text", T.StringType())]))
+
+
+def gazetteer_mentions(text: str, token_re, terms: dict, max_words: int, distinct: bool) -> list:
+    """(type, text) for every word n-gram whose lower case is a gazetteer
+    term: unigrams first, then bigrams, ... in text order; ``distinct`` keeps
+    the first occurrence of each (type, text)."""
+    toks = token_re.findall(text)
+    out, seen = [], set()
+    for n in range(1, max_words + 1):
+        for i in range(len(toks) - n + 1):
+            g = toks[i] if n == 1 else " ".join(toks[i:i + n])
+            t = terms.get(g.lower())
+            if t is None:
+                continue
+            if distinct:
+                if (t, g) in seen:
+                    continue
+                seen.add((t, g))
+            out.append({"ent_type": t, "ent_text": g})
+    return out
+
+
+def gazetteer_udf(terms: dict, max_words: int, token_pattern: str, distinct: bool):
+    """Arrow UDF: text -> array<struct<ent_type, ent_text>> of gazetteer
+    mentions.  ``terms`` (lower-case term -> type) travels with the function,
+    so it is meant for gazetteers of bounded size."""
+    import re
+    token_re = re.compile(token_pattern)
+
+    @F.pandas_udf(ENTITY_ARRAY_TYPE)
+    def mentions(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else
+                          gazetteer_mentions(t, token_re, terms, max_words, distinct) for t in texts])
+    return mentions

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.barrier import materialize
 from ..functions.text import words
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -32,16 +33,10 @@ DATE_TEXT_FORMAT = "MMMM d, yyyy"
 
 
 def as_table(df: DataFrame) -> DataFrame:
-    """Make a derived view behave like a stored table for the optimizer.
-
-    When a filter is pushed below a projection, Catalyst substitutes each
-    derived column by its defining expression, so a predicate on e.g. a word
-    count of a constructed article re-runs the whole construction (measured:
-    the tokenizer 20x per row in the corpus filters).  Predicates cannot cross
-    a generator's outputs, so a one-row ``inline`` ends the derivation: the
-    columns are computed once per row and later filters read the values.
-    """
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    """End a derived view so it behaves like a stored table: later filters
+    and projections read its columns as values (see ``functions.barrier``;
+    without it the corpus filters re-ran the tokenizer 20x per row)."""
+    return materialize(df)
 
 
 def _seed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
