@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rouge import rouge_scores
-from .shaping import (extractive_candidates, is_long_context, padded_length,
-                      token_length, with_task_prefix)
+from .shaping import (extractive_candidates, is_long_context, is_t5_family,
+                      padded_length, token_length, with_task_prefix)
 from ..functions.text import preview
 
 ERROR_CHARS = 100
@@ -29,6 +29,9 @@ def build_predictions(articles: DataFrame, systems: DataFrame,
     cand = extractive_candidates(articles, systems, text="article")
     long_ctx = is_long_context(F.col("model_id"))
     model_input = with_task_prefix(F.col("article"), F.col("model_id"))
+    # the prefix ends in a space, so it adds exactly one word to the article's
+    input_words = F.col("source_words") + F.when(is_t5_family(F.col("model_id")), 1).otherwise(0)
+    n_in = token_length(model_input, long_ctx, input_words)
     failed_gen = F.lit(False)
     if failing_system is not None:
         failed_gen = (F.col("system") == failing_system) & \
@@ -47,8 +50,8 @@ def build_predictions(articles: DataFrame, systems: DataFrame,
         model_input.alias("model_input"),
         F.col("summary").alias("reference"),
         F.when(status == "ok", F.col("generated")).alias("generated"),
-        token_length(model_input, long_ctx).alias("input_length"),
-        padded_length(token_length(model_input, long_ctx), long_ctx).alias("padded_length"),
+        n_in.alias("input_length"),
+        padded_length(n_in, long_ctx).alias("padded_length"),
         ((F.col("article_id") % 7) * 0.5).cast("double").alias("seconds"),
         status.alias("status"), error.alias("error"),
         F.lit("run-1").alias("run_id"), *carry)

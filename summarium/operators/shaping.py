@@ -60,9 +60,10 @@ def with_task_prefix(text, model_id) -> Column:
 
 
 # I6 / I7 --------------------------------------------------------------------
-def token_length(text, long_context: Column) -> Column:
-    """Token count after truncation (token = whitespace word)."""
-    n = F.size(words(text))
+def token_length(text, long_context: Column, n_words: Column | None = None) -> Column:
+    """Token count after truncation (token = whitespace word).  ``n_words``
+    may pass a count already known for ``text``."""
+    n = F.size(words(text)) if n_words is None else n_words
     cap = F.when(long_context, F.lit(MAX_INPUT_TOKENS_LONG)).otherwise(F.lit(MAX_INPUT_TOKENS))
     return F.least(n, cap)
 
@@ -145,10 +146,13 @@ def extractive_candidates(docs: DataFrame, systems: DataFrame,
 
     ``systems`` is a fixed small dimension, broadcast to every partition of
     the documents, so the cross join is a map-side expansion with no shuffle.
+    The text is split once per document, before the fan-out; its word count
+    is kept as ``source_words``.
     """
     with_tokens = docs.withColumn("_words", words(text))
     return (with_tokens.crossJoin(F.broadcast(systems))
                 .withColumn("generated", F.array_join(F.slice("_words", F.col("off"), F.col("len")), " "))
+                .withColumn("source_words", F.size("_words"))
                 .drop("_words"))
 
 
