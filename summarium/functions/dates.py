@@ -64,6 +64,31 @@ def date_mentions(text, patterns: str = "loose", mode: str = "reference",
     return F.array_distinct(allm) if distinct else allm
 
 
+def date_match_parts(text, patterns: str = "loose") -> Column:
+    """Full matches of each pattern: ``array<array<string>>``, one scan per
+    pattern.  Both modes derive from it (``mentions_from_parts``), so a text
+    needing full and reference-mode mentions is scanned once."""
+    t = col_(text)
+    return F.array(*[F.regexp_extract_all(t, F.lit(_flagged(p)), F.lit(0)) for p in PATTERN_SETS[patterns]])
+
+
+def mentions_from_parts(parts: str, patterns: str = "loose", mode: str = "reference",
+                        distinct: bool = True) -> Column:
+    """Mentions from a materialised ``date_match_parts`` column.  A capture
+    group is re-extracted from each (short) full match: the pattern matches
+    its own full match from the first character, so the group is the same."""
+    def regroup(p: str, g: int):
+        return lambda m: F.regexp_extract(m, _flagged(p), g)
+
+    cols = []
+    for i, p in enumerate(PATTERN_SETS[patterns]):
+        part = F.col(parts)[i]
+        g = _group(p, mode)
+        cols.append(part if g == 0 else F.transform(part, regroup(p, g)))
+    allm = F.concat(*cols)
+    return F.array_distinct(allm) if distinct else allm
+
+
 def date_mentions_sql(x: str, patterns: str = "loose", mode: str = "reference",
                       distinct: bool = True) -> str:
     """The same extraction as DuckDB SQL (for oracle queries)."""

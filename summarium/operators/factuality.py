@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.barrier import materialize
-from ..functions.dates import date_mentions
+from ..functions.dates import date_match_parts, date_mentions, mentions_from_parts
 from ..functions.kernels import gazetteer_udf, tf_cosine_udf
 from ..functions.lexicon import ENTITY_TOKEN, GAZETTEER
 from ..functions.text import all_ngrams, col_, rouge_tokens, truncate_chars
@@ -47,7 +47,8 @@ def _entity_struct(t, x) -> Column:
 
 
 def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
-                  key: str | None = None, distinct: bool = False) -> DataFrame:
+                  key: str | None = None, distinct: bool = False,
+                  date_parts: str | None = None) -> DataFrame:
     """Typed entity mentions ``array<struct<ent_type, ent_text>>`` of ``text``.
 
     Mentions are word n-grams (original case) whose lower-case form is a
@@ -58,8 +59,8 @@ def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
     n-grams up in a dict (row-local, no shuffle; measured 3x faster than the
     same lookup as a higher-order function); larger ones need ``key`` and go
     through an n-gram explode + join.
-    ``distinct=True`` returns each (type, text) mention once and dedups the
-    n-grams before the lookup -- much less work on long documents.
+    ``distinct=True`` returns each (type, text) mention once.  ``date_parts``
+    names a materialised ``date_match_parts`` column to reuse.
     """
     rows = gazetteer if gazetteer is not None else GAZETTEER
     if isinstance(rows, DataFrame):
@@ -72,8 +73,9 @@ def with_entities(df: DataFrame, text: str, out: str, gazetteer=None,
         terms.setdefault(term.lower(), t)          # first type listed wins
     max_words = max(len(t.split()) for t in terms)
     kernel = gazetteer_udf(terms, max_words, ENTITY_TOKEN, distinct)
-    dates = F.transform(date_mentions(F.col(text), "loose", "full", distinct=distinct),
-                        lambda x: _entity_struct(F.lit("DATE"), x))
+    found = (mentions_from_parts(date_parts, "loose", "full", distinct) if date_parts
+             else date_mentions(F.col(text), "loose", "full", distinct=distinct))
+    dates = F.transform(found, lambda x: _entity_struct(F.lit("DATE"), x))
     return df.withColumn(out, F.concat(kernel(F.col(text)), dates))
 
 
@@ -153,11 +155,12 @@ def with_source_features(df: DataFrame, source: str = "source", gazetteer=None)
     """Source-side inputs of the factuality scores: distinct typed mentions,
     the loose date set and the ROUGE tokens.  Compute them once per source
     document -- before fanning a document out to many candidate summaries."""
-    d = with_entities(df, source, "_src_ents_all", gazetteer, distinct=True)
+    d = materialize(df.withColumn("_src_dparts", date_match_parts(source, "loose")))
+    d = with_entities(d, source, "_src_ents_all", gazetteer, distinct=True, date_parts="_src_dparts")
     return d.withColumns({
         "_src_ents": F.array_distinct("_src_ents_all"),
-        "_src_dates": date_mentions(source, "loose"),
-        "_src_tok": rouge_tokens(source)}).drop("_src_ents_all")
+        "_src_dates": mentions_from_parts("_src_dparts", "loose"),
+        "_src_tok": rouge_tokens(source)}).drop("_src_ents_all", "_src_dparts")
 
 
 def factuality_scores(pairs: DataFrame, summary: str = "summary", source: str = "source",
@@ -167,8 +170,9 @@ def factuality_scores(pairs: DataFrame, summary: str = "summary", source: str =
     features already present (``with_source_features``) are reused."""
     d = pairs if all(c in pairs.columns for c in SOURCE_FEATURES) \
         else with_source_features(pairs, source, gazetteer)
-    d = with_entities(d, summary, "_sum_ents", gazetteer)
-    d = d.withColumn("_sum_dates", date_mentions(summary, "loose"))
+    d = materialize(d.withColumn("_sum_dparts", date_match_parts(summary, "loose")))
+    d = with_entities(d, summary, "_sum_ents", gazetteer, date_parts="_sum_dparts")
+    d = d.withColumn("_sum_dates", mentions_from_parts("_sum_dparts", "loose")).drop("_sum_dparts")
     # the scores below read the mention arrays inside lambdas; materialise
     # them so they are not re-derived per element
     d = materialize(d)

@@ -56,3 +56,8 @@ def test_stream_scores_each_pair_once(spark, sf):
     assert out.select("system", "article_id").distinct().count() == n
     again = score_stream(spark, f"{base}/p", f"{base}/s", f"{base}/c")   # resume: nothing new
     assert again.count() == n
+
+
+def test_first_k_per_group_is_limited_before_the_shuffle(spark, sf):
+    plan = E.queries()["a3_failures"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
