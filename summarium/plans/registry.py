@@ -25,7 +25,16 @@ def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql)
+
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ensure_checkpoint_dir, ship_package
+            ensure_checkpoint_dir(spark)
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        build.__name__ = build.__qualname__ = fn.__name__
+        build.__doc__ = fn.__doc__
+        REGISTRY[name] = Query(name, build, sql)
         return fn
     return deco
 

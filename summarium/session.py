@@ -35,6 +35,7 @@ def get_spark(master: str | None = None, app: str = "summarium",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``summarium`` importable in Python workers (UDFs are pickled by
+    module reference): zip the package once per application and register it
+    with ``addPyFile``, which distributes it to every executor."""
+    import shutil
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="summarium-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "summarium"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="summarium")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
