@@ -23,6 +23,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core rows of a small, CPU-heavy text table.
+
+    A file of one row group is read by one task however it is split, and the
+    per-row text work (tokenising, scoring) then runs on one core.  When the
+    scan yields fewer partitions than the default parallelism the rows are
+    hash-partitioned on ``key`` (deterministic on retry, no sort).  A large
+    input already scans into many more partitions and is left as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, key)
+    return df
+
+
 # ---------------------------------------------------------------------------
 # Fixed values of the seeded view (FIXTURES.md section 3).
 SEED_EPOCH = "2023-01-01"
@@ -40,8 +55,8 @@ def as_table(df: DataFrame) -> DataFrame:
 
 
 def _seed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(
-        "doc_id", "text", "lang", "source")
+    docs = spread(read_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", "source"), "doc_id")
     d = F.date_add(F.lit(SEED_EPOCH).cast("date"),
                    (F.col("doc_id") % SEED_DAY_CYCLE).cast("int"))
     return docs.withColumn("tk", words("text")).withColumn("pub_date", d)
@@ -110,5 +125,5 @@ def systems(spark: SparkSession) -> DataFrame:
 
 
 def candidate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.withColumn("tk", words("text"))
