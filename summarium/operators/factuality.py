@@ -147,6 +147,46 @@ def tf_cosine(a_text, b_text, a_chars: int | None = None, b_chars: int | None =
     return tf_cosine_udf(rouge_tokens(a), rouge_tokens(b))
 
 
+def idf_table(corpus: DataFrame, text: str) -> DataFrame:
+    """``(tok, idf)`` over a corpus: smooth idf = ln((1 + N) / (1 + df)) + 1.
+
+    Each document contributes its distinct tokens; counts combine map-side,
+    so a token present in every document is one row per map partition.
+    """
+    toks = corpus.select(F.array_distinct(rouge_tokens(text)).alias("_t"))
+    dfreq = (toks.select(F.explode_outer("_t").alias("tok")).filter(F.col("tok").isNotNull())
+                 .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
+    return (dfreq.crossJoin(F.broadcast(n))
+                 .select("tok", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
+
+
+def tfidf_cosine(pairs: DataFrame, key: str, a_text: str, b_text: str,
+                 idf: DataFrame) -> DataFrame:
+    """``(key, tfidf_cosine)`` of the two texts of each pair (0 when a side
+    has no tokens).
+
+    Unlike the TF cosine this needs a corpus statistic per token, so it is a
+    join: tokens of both sides are exploded with their pair key, counted per
+    (pair, token), joined to the idf table on the token (AQE broadcasts it
+    when it is small and splits skewed token partitions otherwise) and summed
+    per pair.  Pairs without tokens are restored by a left join.
+    """
+    side_a = pairs.select(key, F.explode_outer(rouge_tokens(a_text)).alias("tok"), F.lit(1).alias("side"))
+    side_b = pairs.select(key, F.explode_outer(rouge_tokens(b_text)).alias("tok"), F.lit(2).alias("side"))
+    tf = (side_a.unionByName(side_b).filter(F.col("tok").isNotNull())
+                .groupBy(key, "tok").agg(F.count_if(F.col("side") == 1).alias("ta"),
+                                         F.count_if(F.col("side") == 2).alias("tb")))
+    w = tf.join(idf, "tok")
+    sums = w.groupBy(key).agg(
+        F.sum(F.col("ta") * F.col("tb") * F.col("idf") * F.col("idf")).alias("_dot"),
+        F.sum(F.pow(F.col("ta") * F.col("idf"), 2)).alias("_na"),
+        F.sum(F.pow(F.col("tb") * F.col("idf"), 2)).alias("_nb"))
+    cos = F.when((F.coalesce("_na", F.lit(0.0)) > 0) & (F.coalesce("_nb", F.lit(0.0)) > 0),
+                 F.col("_dot") / (F.sqrt("_na") * F.sqrt("_nb"))).otherwise(F.lit(0.0))
+    return pairs.select(key).join(sums, key, "left").select(key, cos.alias("tfidf_cosine"))
+
+
 # E7 / E8 --------------------------------------------------------------------
 SOURCE_FEATURES = ("_src_ents", "_src_dates", "_src_tok")
 

@@ -179,6 +179,27 @@ def e6_tf_cosine(spark, sf):
     return p.select("pair_id", FX.tf_cosine("summary", "source").alias("semantic"))
 
 
+@register("e6_tfidf_cosine", with_(SEED + f""",
+idt AS (SELECT list_distinct({rtok('article')}) AS t FROM articles),
+dfq AS (SELECT tok, count(*) AS df FROM (SELECT unnest(t) AS tok FROM idt) GROUP BY tok),
+idf AS (SELECT tok, ln((1 + (SELECT count(*) FROM articles)) / (1 + df)) + 1 AS idf FROM dfq),
+pt AS (SELECT article_id, unnest({rtok('summary')}) AS tok, 1 AS side FROM articles
+       UNION ALL SELECT article_id, unnest({rtok('article')}) AS tok, 2 AS side FROM articles),
+tf AS (SELECT article_id, tok, count(*) FILTER (WHERE side = 1) AS ta, count(*) FILTER (WHERE side = 2) AS tb
+       FROM pt GROUP BY article_id, tok),
+sums AS (SELECT article_id, sum(ta * tb * idf * idf) AS d, sum(pow(ta * idf, 2)) AS na, sum(pow(tb * idf, 2)) AS nb
+         FROM tf JOIN idf USING (tok) GROUP BY article_id)""", """
+SELECT a.article_id AS pair_id,
+       round(CASE WHEN coalesce(s.na, 0) > 0 AND coalesce(s.nb, 0) > 0
+                  THEN s.d / (sqrt(s.na) * sqrt(s.nb)) ELSE 0.0 END, 6) AS tfidf_cosine
+FROM articles a LEFT JOIN sums s USING (article_id)"""))
+def e6_tfidf_cosine(spark, sf):
+    a = I.articles(spark, sf)
+    idf = FX.idf_table(a, "article")
+    r = FX.tfidf_cosine(a, "article_id", "summary", "article", idf)
+    return r.select(F.col("article_id").alias("pair_id"), F.round("tfidf_cosine", 6).alias("tfidf_cosine"))
+
+
 # --- E7 / E8 ------------------------------------------------------------------
 COMPOSITE = PAIR_ENTS + "," + tf_cosine_cte("tfc", "articles", "article_id", "summary", "article") + f""",
 parts AS (

@@ -60,3 +60,13 @@ def test_step_log_sampling_semantics(spark):
     assert (u["sampled"], u["entity"], u["total"]) == (False, 0.0, 2.0)   # unweighted ce
     m = {r["stage"]: r for r in LS.epoch_means(LS.step_log(steps, LS.stage_weights_df(spark))).collect()}
     assert m["factuality"]["entity_mean"] == 0.5 and m["factuality"]["entity_mean_sampled"] == 1.0
+
+
+def test_tfidf_cosine(spark):
+    corpus = spark.createDataFrame([(1, "the cat sat", "the cat sat"), (2, "a dog ran", "the bird flew"),
+                                    (3, "", "the end")], "id int, s string, src string")
+    idf = FX.idf_table(corpus, "src")
+    got = {r["id"]: r["tfidf_cosine"] for r in FX.tfidf_cosine(corpus, "id", "s", "src", idf).collect()}
+    assert abs(got[1] - 1.0) < 1e-12 and got[2] == 0.0 and got[3] == 0.0
+    w = {r["tok"]: r["idf"] for r in idf.collect()}
+    assert w["the"] < w["cat"]                    # common tokens weigh less
