@@ -62,8 +62,7 @@ def with_selected(board: DataFrame, mark: str = SELECTED_MARK) -> DataFrame:
 def best(ranked: DataFrame) -> DataFrame:
     """Best overall row (rank 1) plus the best model per metric."""
     def best_of(metric):
-        key = F.struct(F.col(f"`{metric}`"), F.col("Model"))
-        # highest metric, ties -> alphabetically first (negate name order via min_by)
+        # highest metric first, ties -> alphabetically first model
         return F.min_by("Model", F.struct((-F.col(f"`{metric}`")).alias("m"), F.col("Model")))
     return ranked.agg(
         F.min_by("Model", "Rank").alias("best_model"),
@@ -127,14 +126,17 @@ def phase_compare(long_metrics: DataFrame, baseline: str, proposed: str) -> Data
 
 
 def size_pairs(board: DataFrame, sizes: DataFrame, metric: str = "ROUGE-2") -> DataFrame:
-    """Compare the smaller and larger member of each family.
-    ``sizes(Model, family, size)`` is a small dimension; self-join on family."""
+    """Each model against the next larger model of its family.
+
+    ``sizes(Model, family, size)`` is a small dimension.  ``lead`` over the
+    family ordered by size pairs neighbours only (no self-join, no all-pairs).
+    """
     b = board.join(F.broadcast(sizes), "Model")
-    a = b.alias("a")
-    c = b.alias("c")
-    m = f"`{metric}`"
-    j = a.join(c, (F.col("a.family") == F.col("c.family")) & (F.col("a.size") < F.col("c.size")))
-    return j.select(F.col("a.family").alias("family"),
-                    F.col("a.Model").alias("small_model"), F.col("c.Model").alias("large_model"),
-                    F.col(f"a.{m}").alias("small_score"), F.col(f"c.{m}").alias("large_score"),
-                    F.round(F.col(f"c.{m}") - F.col(f"a.{m}"), 2).alias("delta"))
+    w = Window.partitionBy("family").orderBy("size", "Model")
+    m = F.col(f"`{metric}`")
+    nxt = (b.withColumn("large_model", F.lead("Model").over(w))
+            .withColumn("large_score", F.lead(m).over(w)))
+    return nxt.filter(F.col("large_model").isNotNull()).select(
+        "family", F.col("Model").alias("small_model"), "large_model",
+        m.alias("small_score"), "large_score",
+        F.round(F.col("large_score") - m, 2).alias("delta"))

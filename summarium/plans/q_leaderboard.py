@@ -109,10 +109,14 @@ def l12_phase_compare(spark, sf):
 @register("l13_size_pair", with_(PREDS + """,
 sizes AS (SELECT system AS "Model", CASE WHEN off = 1 THEN 'lead' ELSE 'offset' END AS family,
                  len AS size FROM systems),
-bs AS (SELECT * FROM board JOIN sizes USING ("Model"))""", """
-SELECT a.family, a."Model" AS small_model, c."Model" AS large_model, a."ROUGE-2" AS small_score,
-       c."ROUGE-2" AS large_score, round(c."ROUGE-2" - a."ROUGE-2", 2) AS delta
-FROM bs a JOIN bs c ON a.family = c.family AND a.size < c.size"""))
+bs AS (SELECT * FROM board JOIN sizes USING ("Model")),
+nx AS (SELECT family, "Model" AS small_model, "ROUGE-2" AS small_score,
+              lead("Model") OVER (PARTITION BY family ORDER BY size, "Model") AS large_model,
+              lead("ROUGE-2") OVER (PARTITION BY family ORDER BY size, "Model") AS large_score
+       FROM bs)""", """
+SELECT family, small_model, large_model, small_score, large_score,
+       round(large_score - small_score, 2) AS delta
+FROM nx WHERE large_model IS NOT NULL"""))
 def l13_size_pair(spark, sf):
     from ..sources.tables import systems
     sizes = systems(spark).select(
