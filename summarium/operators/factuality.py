@@ -172,11 +172,18 @@ def tfidf_cosine(pairs: DataFrame, key: str, a_text: str, b_text: str,
     when it is small and splits skewed token partitions otherwise) and summed
     per pair.  Pairs without tokens are restored by a left join.
     """
-    side_a = pairs.select(key, F.explode_outer(rouge_tokens(a_text)).alias("tok"), F.lit(1).alias("side"))
-    side_b = pairs.select(key, F.explode_outer(rouge_tokens(b_text)).alias("tok"), F.lit(2).alias("side"))
-    tf = (side_a.unionByName(side_b).filter(F.col("tok").isNotNull())
-                .groupBy(key, "tok").agg(F.count_if(F.col("side") == 1).alias("ta"),
-                                         F.count_if(F.col("side") == 2).alias("tb")))
+    # all tokens of a pair come out of one row: hash-partition the pairs by
+    # key first, so the per-(pair, token) and per-pair aggregations below need
+    # no further exchange (Spark reuses an existing matching partitioning)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = pairs.repartition(n, key)
+    toks = keyed.select(key, F.explode_outer(F.concat(
+        F.transform(rouge_tokens(a_text), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))),
+        F.transform(rouge_tokens(b_text), lambda t: F.struct(t.alias("tok"), F.lit(2).alias("side")))))
+        .alias("_e")).select(key, "_e.tok", "_e.side")
+    tf = (toks.filter(F.col("tok").isNotNull())
+              .groupBy(key, "tok").agg(F.count_if(F.col("side") == 1).alias("ta"),
+                                       F.count_if(F.col("side") == 2).alias("tb")))
     w = tf.join(idf, "tok")
     sums = w.groupBy(key).agg(
         F.sum(F.col("ta") * F.col("tb") * F.col("idf") * F.col("idf")).alias("_dot"),
