@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from summarium.functions.dates import date_mentions
 from summarium.functions.lexicon import LEXICON_TERMS

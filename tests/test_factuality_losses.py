@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from summarium.operators import factuality as FX
 from summarium.operators import losses as LS

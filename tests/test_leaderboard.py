@@ -1,7 +1,6 @@
 """Golden test: the reference's ten aggregate-score records must produce its
 leaderboard and summary table (values below are the published results)."""
 
-from pyspark.sql import functions as F
 
 from summarium.operators import leaderboard as L
 

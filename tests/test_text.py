@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from summarium.functions.text import all_ngrams, bigrams, ngrams, rouge_tokens, word_count
 
