@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (license_votes, poisson_mix, secret_lex, spaced_seeds, sql, virtual_slots)
+from . import (collinear, html_mincut, license_votes, ngram_join, nra_topk, poisson_mix,
+               quality_fm, secret_lex, spaced_seeds, sql, virtual_slots)
 from .common import read_table, ready
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,28 @@ def query(name: str):
     return add
 
 
+@query("op1_quality_fm")
+def op1(spark, sf_dir):
+    """Quality score of every document, fitted outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    machine = quality_fm.fit(docs, read_table(spark, sf_dir, "labels"))
+    score = quality_fm.score_documents(docs, machine)
+    return (docs.select("doc_id", quality_fm.held_out().alias("held_out"), score.alias("score"))
+                .withColumn("predicted", (F.col("score") >= quality_fm.THRESHOLD).cast("int")))
+
+
+@query("op2_ngram_join")
+def op2(spark, sf_dir):
+    """Jaccard links of 4-word shingle sets, as components."""
+    return ngram_join.linked_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_html_mincut")
+def op3(spark, sf_dir):
+    """Main text of every page."""
+    return html_mincut.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 @query("op4_virtual_slots")
 def op4(spark, sf_dir):
     """All documents in eight shards of near equal bytes, over 4,096 slots."""
@@ -49,6 +72,12 @@ def op6(spark, sf_dir):
     return poisson_mix.mix(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_collinear")
+def op7(spark, sf_dir):
+    """Passages of 50 words and more that another document repeats."""
+    return collinear.shared_passages(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_secret_lex")
 def op8(spark, sf_dir):
     """Secrets of every document: base patterns and literals of sensitive names."""
@@ -59,3 +88,9 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """License phrases and notices of every document."""
     return license_votes.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_nra_topk")
+def op10(spark, sf_dir):
+    """The five best inner products for every fiftieth vector."""
+    return nra_topk.top_k(read_table(spark, sf_dir, "embeddings"))
