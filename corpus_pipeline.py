@@ -9,13 +9,26 @@ tables and extra columns pass as the operators' modules define.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from summarium.llm import poisson_mix, spaced_seeds, virtual_slots
+from summarium.llm import ngram_join, poisson_mix, quality_fm, spaced_seeds, virtual_slots
 from summarium.llm.common import read_table, ready, staged
 
 SHARDS = 8
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    machine = quality_fm.fit(docs, read_table(ready(spark), sf_dir, "labels"))
+    return docs.where(quality_fm.score_documents(docs, machine) >= F.lit(quality_fm.THRESHOLD))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join."""
+    ready(spark)
+    return ngram_join.keep_one(docs)
+
+
 def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return spaced_seeds.decontaminate(docs, read_table(ready(spark), sf_dir, "benchmark"))
@@ -35,6 +48,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", keep_one_of_each),
     ("benchmark_decontamination", leave_out_benchmark),
     ("source_mixing", mix_sources),
     ("sharding", shard),

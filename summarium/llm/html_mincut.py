@@ -60,7 +60,7 @@ BOILER_ZONE, FORM_ZONE, MAIN_ZONE, HEADER_ZONE = -9.0, -4.5, 5.0, -9.0
 BIAS, PER_LENGTH, PER_LINKS, SENTENCE, HEADING = -1.0, 0.7, -5.0, 0.8, 0.6
 RIGHTS = -3.0
 # Smoothness: neighbours in the same parent, and its fall with tree distance.
-SMOOTH = 1.2
+SMOOTH = 2.0
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)
     | <!\[CDATA\[.*?(?:\]\]>|\Z)
@@ -247,7 +247,7 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for j, b in enumerate(blocks):
         if j:
             d = tree_distance(blocks[j - 1].element, b.element)
-            out.append((j - 1, j, SMOOTH / max(1, d - 1)))
+            out.append((j - 1, j, SMOOTH / max(1, d - 1) ** 1.5))
         parent = id(b.element.parent or b.element)
         i = last.get(parent)
         if i is not None and i != j - 1:

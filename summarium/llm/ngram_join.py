@@ -297,24 +297,21 @@ def _search(percent: int, k: int):
     return run
 
 
-def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                     percent: int = PERCENT, k: int = SHINGLE,
-                     task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(key, n_shingles, component_id, n_links, set_name) for every row of ``docs``.
-
-    ``component_id`` is the smallest id reachable by links; ``n_links`` counts the other
-    rows that a row links with, equal ones included."""
+def _linked_classes(docs: DataFrame, key: str, text: str, percent: int, k: int,
+                    task_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, th, name, n_shingles), and its classes (name, component_id,
+    kept, n_links): ``kept`` is the (doc_id, th) that stands for the component."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(text).alias("th"),
                        F.col(text).alias("text"))
     # one shuffle by signature; rows that are no signature are dealt by their name
     emitted = (rows.mapInArrow(_emit(percent, k), _EMIT)
                    .withColumn("part", F.coalesce("sig", F.xxhash64("name", "doc_id"))))
     least = F.min("name").over(W.partitionBy("part", "sig"))
+    signed = F.col("sig").isNotNull()
     seen = (emitted.withColumn("least", least)
-                   .where(F.col("sig").isNull() | (F.col("name") != F.col("least")))
-                   .select(F.when(F.col("sig").isNotNull(), F.lit(-1)).otherwise(F.col("n")).alias("n"),
-                           "name", "th", F.when(F.col("sig").isNotNull(), F.col("least"))
-                           .otherwise(F.col("doc_id")).alias("other")))
+                   .where(~signed | (F.col("name") != F.col("least")))
+                   .select(F.when(signed, F.lit(-1)).otherwise(F.col("n")).alias("n"), "name", "th",
+                           F.when(signed, F.col("least")).otherwise(F.col("doc_id")).alias("other")))
     seen = staged(seen, "shingle-sets")
     every = seen.where("n >= 0").select(F.col("other").alias("doc_id"), "th", "name",
                                         F.col("n").alias("n_shingles"))
@@ -334,14 +331,25 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = found.groupBy("name").agg(F.sum("n_links").alias("n_links"))
     parts = connected_components(found.where("name <> root")
                                       .select(F.col("name").alias("u"), F.col("root").alias("v")))
-    rooted = (sets.join(parts.withColumnRenamed("node", "name"), "name", "left")
-                  .join(links, "name", "left")
-                  .select("name", "least_id", "copies", F.coalesce("root", "name").alias("root"),
-                          F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    rooted = staged(rooted, "linked-classes")
-    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select(
-        "name", "component_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"))
+    rooted = staged(sets.join(parts.withColumnRenamed("node", "name"), "name", "left")
+                        .join(links, "name", "left")
+                        .select("name", "least_id", "bearer", "copies",
+                                F.coalesce("root", "name").alias("root"),
+                                F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked-classes")
+    whole = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"),
+                                       F.min("bearer").alias("kept"))
+    return every, rooted.join(whole, "root").select(
+        "name", "component_id", "kept", (F.col("n_links") + F.col("copies") - 1).alias("n_links"))
+
+
+def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                     percent: int = PERCENT, k: int = SHINGLE,
+                     task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """(key, n_shingles, component_id, n_links, set_name) for every row of ``docs``.
+
+    ``component_id`` is the smallest id reachable by links; ``n_links`` counts the other
+    rows that a row links with, equal ones included."""
+    every, classes = _linked_classes(docs, key, text, percent, k, task_shingles)
     full = every.where(F.col("name").isNotNull()).join(classes, "name").select(
         "doc_id", "n_shingles", "component_id", "n_links", F.col("name").alias("set_name"))
     empty = every.where(F.col("name").isNull()).select(
@@ -350,6 +358,29 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return full.unionByName(empty).withColumnRenamed("doc_id", key)
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
+             k: int = SHINGLE, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """``docs`` with one row of each component: the one of smallest id.  Empty sets stay.
+
+    The ids that go are broadcast while they are few, so texts are not shuffled."""
+    every, classes = _linked_classes(docs, key, text, percent, k, task_shingles)
+    rows = every.where(F.col("name").isNotNull()).join(classes, "name")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th"))
+    marked = staged(rows.groupBy("doc_id", "th").agg(F.max(stays).alias("stays"),
+                                                     F.count("*").alias("copies"))
+                        .where(~F.col("stays") | (F.col("copies") > 1)), "linked-rows")
+    n = marked.groupBy("stays").count().collect()
+    few = sum(r["count"] for r in n) <= BROADCAST_MEMBERS
+    gone = marked.select(F.col("doc_id").alias("gone__id"), F.col("th").alias("gone__th"))
+    keyed = docs.withColumn("row__th", row_key(text))
+    same = F.col(key).eqNullSafe(F.col("gone__id")) & (F.col("row__th") == F.col("gone__th"))
+    out = keyed.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if any(r["stays"] for r in n):  # a kept row that stands in the table more than once
+        again = marked.where("stays").select(F.col("doc_id").alias("gone__id"), F.col("th").alias("gone__th"))
+        out = out.unionByName(keyed.join(again, same, "left_semi").dropDuplicates([key, "row__th"]))
+    return out.drop("row__th")
+
+
 def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows repeated in id and text leave a batch once."""
     for rows in batches:

@@ -83,14 +83,14 @@ def replicate(df: DataFrame, tables: DataFrame, seed: str = SEED, key: str = "do
               source: str = "source", text: str = "text") -> DataFrame:
     """Every row as often as its inverted Poisson draw says, with ``copy`` (from 1)
     and ``shuffle_key``; the rows are not yet shuffled."""
-    t = tables.select(F.col("source").alias("mix_source"), F.col("cdf").alias("mix_cdf"))
+    t = tables.select(F.col("source").alias("mix__source"), F.col("cdf").alias("mix__cdf"))
     kept = [c for c in df.columns if c not in ("copy", "shuffle_key")]
     drawn = (df.select(*kept)
-               .withColumn("mix_u", unit_hash(F.lit(seed), doc_key(key, text)))
-               .join(t, F.col(source).eqNullSafe(F.col("mix_source"))))
-    copies = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
-    out = (drawn.withColumn("mix_n", copies).where(F.col("mix_n") > 0)
-                .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))))
+               .withColumn("mix__u", unit_hash(F.lit(seed), doc_key(key, text)))
+               .join(t, F.col(source).eqNullSafe(F.col("mix__source"))))
+    copies = F.size(F.filter("mix__cdf", lambda c: c <= F.col("mix__u")))
+    out = (drawn.withColumn("mix__n", copies).where(F.col("mix__n") > 0)
+                .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix__n")))))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), doc_key(key, text),
                                F.col("copy").cast("string")).cast("binary"))
     order = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")

@@ -190,6 +190,12 @@ def training_ids(labels: DataFrame, key: str = "doc_id", label: str = "quality",
     return known
 
 
+def _given(docs: DataFrame, metadata: tuple[str, ...]) -> Column:
+    """Struct of the metadata columns; null where the table has none of that name."""
+    return F.struct(F.lit(0).alias("none"), *[
+        (F.col(m) if m in docs.columns else F.lit(None)).cast("double").alias(m) for m in metadata])
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
         label: str = "quality", metadata: tuple[str, ...] = ("n_chars",),
         most: int = TRAIN_ROWS) -> Machine:
@@ -200,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     size = dimension(metadata)
     ids = training_ids(labels, key, label, most)
     # at most ``most`` ids of 16 bytes: the bound is the parameter
-    chosen = docs.join(F.broadcast(ids), key).select(
-        "label", features(F.col(text), [F.col(m) for m in metadata]).alias("f"))
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), _given(docs, metadata).alias("m"))
+    chosen = own.join(F.broadcast(ids.withColumnRenamed(key, "id")), "id").select(
+        "label", features(F.col("t"), [F.col("m")[m] for m in metadata]).alias("f"))
     vector = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
     rows = staged(chosen.select(F.col("label").cast("double").alias("label"), "f.idx", "f.val"),
                   "quality-features")
@@ -221,6 +228,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
-    """The score column of a table that has the machine's metadata columns."""
-    return machine.column(F.col(text), [F.col(m) if m in docs.columns else F.lit(None)
-                                        for m in machine.metadata])
+    """The score column of a table."""
+    given = _given(docs, machine.metadata)
+    return machine.column(F.col(text), [given[m] for m in machine.metadata])

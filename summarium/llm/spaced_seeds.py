@@ -134,9 +134,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     """``df`` without the rows that hold a benchmark passage.
 
     The ids to remove are staged, so the anti join is broadcast while they are few."""
-    bad = staged(leaks(df, benchmark, key, text, **names).select("id", "th").distinct(),
+    bad = staged(leaks(df, benchmark, key, text, **names)
+                 .select(F.col("id").alias("leak__id"), F.col("th").alias("leak__th")).distinct(),
                  "benchmark-leaks")
-    keyed = df.withColumn("decon_th", row_key(text))
-    return (keyed.join(bad, F.col(key).eqNullSafe(F.col("id"))
-                       & (F.col("decon_th") == F.col("th")), "left_anti")
-                 .drop("decon_th"))
+    return (df.withColumn("row__th", row_key(text))
+              .join(bad, F.col(key).eqNullSafe(F.col("leak__id"))
+                    & (F.col("row__th") == F.col("leak__th")), "left_anti")
+              .drop("row__th"))
