@@ -2,10 +2,10 @@
 
 All rolling word 2-grams of every text are hashed and joined to the positions of
 the license templates.  A match votes for the diagonal (text position minus
-template position); votes are summed by diagonal, neighbouring diagonals of longer
-templates are merged (a missing or extra word shifts the diagonal), and the merged
-span is verified: enough distinct template positions, over about the template's
-length.  Phrases are templates that must match whole on one diagonal.  Everything is
+template position); votes are summed by diagonal, and where the template is longer the
+neighbouring diagonals are merged into the one of most votes (a missing or extra word
+shifts the diagonal).  The merged span is verified: enough of the distinct template
+positions must have voted.  Phrases are templates that must match whole on one diagonal.  Everything is
 built-in columns.
 
 Scale: the template table is fixed and small (broadcast); texts are read once and
@@ -61,8 +61,8 @@ COMMON = ("a", "and", "any", "are", "as", "at", "by", "can", "for", "from", "in"
           "may", "not", "of", "on", "or", "that", "the", "this", "to", "under", "use", "with",
           "you")
 GRAM = 2
-#: Words by which a diagonal may drift inside one span, and its length over the template's.
-SHIFT, STRETCH = 2, 1.5
+#: Diagonals merged with one of most votes, on either side, where the template is no phrase.
+SHIFT = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -76,7 +76,7 @@ def _gram(words: str, at: Column) -> Column:
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(gram, template, label, base, tpos, n_grams, least): one row per voting
+    """(gram, template, label, base, tpos, least, n_grams): one row per voting
     template position."""
     rows = [(i, t, label, True, 1.0) for i, (t, label) in enumerate(phrases)]
     rows += [(len(phrases) + i, t, label, False, float(least))
@@ -90,8 +90,7 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
     voting = every.where(F.col("base") | ~both)
     return voting.select(_gram("w", F.col("tpos")).alias("gram"), "template", "label", "base",
                          "tpos", "least",
-                         F.count("*").over(W.partitionBy("template")).alias("n_grams"),
-                         F.size("w").alias("t_words"))
+                         F.count("*").over(W.partitionBy("template")).alias("n_grams"))
 
 
 def votes(df: DataFrame, tmpl: DataFrame, key: str, text: str) -> DataFrame:
@@ -110,28 +109,29 @@ def votes(df: DataFrame, tmpl: DataFrame, key: str, text: str) -> DataFrame:
     hit = flat.join(F.broadcast(tmpl), "gram", "left")
     return (hit.where((F.col("p") == 0) | F.col("template").isNotNull())
                .select("id", "th", "n_words", (F.col("p") - 1).alias("pos"), "template", "label",
-                       "base", "tpos", "n_grams", "least", "t_words"))
+                       "base", "tpos", "n_grams", "least"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
     """Verified spans: (id, th, label, base, start, end, share)."""
     v = (voted.where(F.col("pos") >= 0)
-              .dropDuplicates(["id", "th", "template", "tpos", "pos"])
-              .withColumn("diag", F.col("pos") - F.col("tpos")))
-    per_template = W.partitionBy("id", "th", "template").orderBy("diag", "pos")
-    gap = F.col("diag") - F.lag("diag").over(per_template)
-    drift = F.when(F.col("base"), 0).otherwise(SHIFT)
-    banded = v.withColumn("band", F.sum((F.coalesce(gap, F.lit(1 << 30)) > drift).cast("int"))
-                          .over(per_template))
-    one = (banded.groupBy("id", "th", "template", "band")
-           .agg(F.first("label").alias("label"), F.first("base").alias("base"),
-                F.first("n_grams").alias("n_grams"), F.first("least").alias("least"),
-                F.first("t_words").alias("t_words"), F.countDistinct("tpos").alias("n_votes"),
-                F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("end")))
+              .withColumn("diag", F.col("pos") - F.col("tpos"))
+              .groupBy("id", "th", "template", "diag")
+              .agg(F.first("label").alias("label"), F.first("base").alias("base"),
+                   F.first("n_grams").alias("n_grams"), F.first("least").alias("least"),
+                   F.collect_set("tpos").alias("voters"),
+                   F.min("pos").alias("first"), F.max("pos").alias("last")))
+    near = (W.partitionBy("id", "th", "template").orderBy("diag").rangeBetween(-SHIFT, SHIFT))
+    merged = F.size(F.array_distinct(F.flatten(F.collect_list("voters").over(near))))
+    rank = F.struct(F.size("voters").alias("n"), (-F.col("diag")).alias("d"))
+    one = v.select(
+        "id", "th", "label", "base", "n_grams", "least",
+        F.when(F.col("base"), F.size("voters")).otherwise(merged).alias("n_votes"),
+        F.when(F.col("base"), F.col("first")).otherwise(F.min("first").over(near)).alias("start"),
+        (F.when(F.col("base"), F.col("last")).otherwise(F.max("last").over(near)) + GRAM).alias("end"),
+        (F.col("base") | (rank == F.max(rank).over(near))).alias("peak"))
     share = F.col("n_votes") / F.col("n_grams")
-    return (one.withColumn("share", share)
-               .where((F.col("share") >= F.col("least"))
-                      & (F.col("end") - F.col("start") <= STRETCH * F.col("t_words")))
+    return (one.where("peak").withColumn("share", share).where(F.col("share") >= F.col("least"))
                .select("id", "th", "label", "base", "start", "end", "share"))
 
 

@@ -95,7 +95,7 @@ ORACLES["op9_license_votes"] = rf"""
 WITH raw(template, t, label, base, least) AS (VALUES {_TEMPLATES}),
 tw AS (SELECT *, string_split(t, ' ') AS w FROM raw),
 tg AS (
-  SELECT template, label, base, least, len(w) AS t_words, p - 1 AS tpos, w[p] AS a, w[p + 1] AS b
+  SELECT template, label, base, least, p - 1 AS tpos, w[p] AS a, w[p + 1] AS b
   FROM tw, LATERAL (SELECT unnest(range(1, len(w))) AS p)),
 tv AS (
   SELECT *, count(*) OVER (PARTITION BY template) AS n_grams FROM tg
@@ -106,16 +106,19 @@ d AS (
   FROM documents),
 g AS (SELECT r, p - 1 AS pos, w[p] AS a, w[p + 1] AS b FROM d, LATERAL (SELECT unnest(range(1, len(w))) AS p)),
 v AS (SELECT g.r, g.pos, tv.*, g.pos - tv.tpos AS diag FROM g JOIN tv ON g.a = tv.a AND g.b = tv.b),
-gapped AS (SELECT *, diag - lag(diag) OVER (PARTITION BY r, template ORDER BY diag, pos) AS gap FROM v),
-banded AS (
-  SELECT *, sum(CASE WHEN gap IS NULL OR gap > (CASE WHEN base THEN 0 ELSE {lic.SHIFT} END) THEN 1 ELSE 0 END)
-            OVER (PARTITION BY r, template ORDER BY diag, pos) AS band FROM gapped),
+diagonal AS (
+  SELECT r, template, diag, any_value(label) AS label, any_value(base) AS base, any_value(least) AS least,
+         any_value(n_grams) AS n_grams, list(DISTINCT tpos) AS voters, min(pos) AS s
+  FROM v GROUP BY r, template, diag),
+merged AS (
+  SELECT *, list(voters) OVER near AS all_voters, max(len(voters)) OVER near AS most, min(s) OVER near AS first
+  FROM diagonal
+  WINDOW near AS (PARTITION BY r, template ORDER BY diag RANGE BETWEEN {lic.SHIFT} PRECEDING AND {lic.SHIFT} FOLLOWING)),
 span AS (
-  SELECT r, template, band, any_value(label) AS label, any_value(base) AS base, any_value(least) AS least,
-         any_value(t_words) AS t_words, count(DISTINCT tpos) / any_value(n_grams) AS share,
-         min(pos) AS s, max(pos) + {lic.GRAM} AS e
-  FROM banded GROUP BY r, template, band),
-ok AS (SELECT * FROM span WHERE share >= least AND e - s <= {lic.STRETCH} * t_words)
+  SELECT r, label, base, least, CASE WHEN base THEN s ELSE first END AS s,
+         (CASE WHEN base THEN len(voters) ELSE len(list_distinct(flatten(all_voters))) END) / n_grams AS share
+  FROM merged WHERE base OR len(voters) = most),
+ok AS (SELECT * FROM span WHERE share >= least)
 SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words,
        count(CASE WHEN base THEN 1 END) AS n_base,
        CAST(min(CASE WHEN base THEN s END) AS BIGINT) AS first_word,
