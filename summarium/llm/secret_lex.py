@@ -200,10 +200,10 @@ def secret_values(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     one = (spans.where(F.col("spans") != "")
                 .select(key, text, F.explode(F.split("spans", ",")).alias("span"))
                 .select(key, text, F.split("span", ":").alias("p")))
-    return one.select(key, F.col("p")[0].alias("kind"), F.col("p")[1].cast("long").alias("start"),
-                      F.col("p")[2].cast("long").alias("end"),
-                      F.substring(text, F.col("p")[1].cast("int") + 1,
-                                  (F.col("p")[2] - F.col("p")[1]).cast("int")).alias("value"))
+    start, end = F.col("p")[1].cast("int"), F.col("p")[2].cast("int")
+    return one.select(key, F.col("p")[0].alias("kind"), start.cast("long").alias("start"),
+                      end.cast("long").alias("end"),
+                      F.substring(F.col(text), start + 1, end - start).alias("value"))
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = "<SECRET>") -> DataFrame:
