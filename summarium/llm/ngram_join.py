@@ -69,10 +69,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHash(dict):
-    """Word to 64-bit hash; forgets all when it holds too many."""
+    """Word to 64-bit hash; forgets all when it holds too many (some 40 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
