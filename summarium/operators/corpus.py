@@ -2,9 +2,10 @@
 length filters, chronological head and split, profile, sampling.
 
 Scale notes
-* Dedup groups by a SHA-256 of the content columns, so only (hash, id) pairs
-  are shuffled, never the article text; ``min`` combines map-side, so a text
-  copied millions of times costs one row per map partition.
+* Cleaning decides on narrow rows: one scan computes the content hash, the null
+  flags and the word counts, and one aggregation by the hash (``min`` combines
+  map-side, so a text copied millions of times costs one row per map partition)
+  deduplicates them.  Text is fetched by id only where it is written out.
 * Chronological positions come from a range-partitioned sort (balanced by
   sampling on the unique key (date, id), so a hot date is split across tasks),
   frozen with a reliable checkpoint, plus per-partition offsets -- no window
@@ -46,8 +47,8 @@ TEST_CAP = 200
 
 # P1 -------------------------------------------------------------------------
 def content_hash(cols: list[str]) -> Column:
-    """SHA-256 over the content columns; null and '' stay distinct."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]
+    """SHA-256 over the content columns (sorted by name); null and '' stay distinct."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in sorted(cols)]
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
@@ -60,14 +61,6 @@ def dedup_keep_first(df: DataFrame, content_cols: list[str], id_col: str) -> Dat
     return df.join(keep, id_col, "inner")
 
 
-def first_copy_flag(df: DataFrame, content_cols: list[str], id_col: str,
-                    flag: str = "is_first") -> DataFrame:
-    keep = (df.select(id_col, content_hash(content_cols).alias("_h"))
-              .groupBy("_h").agg(F.min(id_col).alias("_keep")).select("_keep"))
-    return (df.join(keep, df[id_col] == keep["_keep"], "left")
-              .withColumn(flag, F.col("_keep").isNotNull()).drop("_keep"))
-
-
 # P2 / P3 --------------------------------------------------------------------
 def normalise_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().replace("\n", "") for c in df.columns])
@@ -83,10 +76,14 @@ def na_to_null(c) -> Column:
     return F.when(c.isin(*PANDAS_NA_VALUES), F.lit(None).cast("string")).otherwise(c)
 
 
+def markers_to_null(df: DataFrame) -> DataFrame:
+    """Missing-value markers of every string column become nulls, as reading
+    the dump does before any other step."""
+    return df.withColumns({c: na_to_null(c) for c, t in df.dtypes if t == "string"})
+
+
 def drop_missing(df: DataFrame, subset: list[str] = REQUIRED, map_na_tokens: bool = True) -> DataFrame:
-    if map_na_tokens:
-        df = df.withColumns({c: na_to_null(c) for c in subset})
-    return df.na.drop(subset=subset)
+    return (markers_to_null(df) if map_na_tokens else df).na.drop(subset=subset)
 
 
 # P5-P8 ----------------------------------------------------------------------
@@ -97,25 +94,54 @@ def with_word_counts(df: DataFrame) -> DataFrame:
 
 
 def length_predicates() -> dict[str, Column]:
+    """Over the columns of ``content_keys``."""
     return {
         "summary_len_ok": F.col("summary_word_count").between(SUMMARY_MIN_WORDS, SUMMARY_MAX_WORDS),
         "article_len_ok": F.col("article_word_count") >= ARTICLE_MIN_WORDS,
-        "headline_ok": F.length("headline") >= HEADLINE_MIN_CHARS,
+        "headline_ok": F.col("headline_chars") >= HEADLINE_MIN_CHARS,
     }
 
 
-def apply_length_filters(df: DataFrame) -> DataFrame:
-    preds = length_predicates()
-    return (df.filter(preds["summary_len_ok"])
-              .filter(preds["article_len_ok"])
-              .filter(preds["headline_ok"]))
+# Small columns that travel with the key of a deduplicated row.
+CARRIED = ["category", "date"]
+
+
+def content_keys(raw: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """One narrow row per distinct content (P1): the smallest id, ``copies``,
+    ``complete`` (P4), the word counts (P5), ``headline_chars``, category, date.
+
+    Rows of equal content agree in everything derived from it, so a single
+    aggregation by the content hash is the whole dedup."""
+    d = markers_to_null(raw)
+    complete = F.lit(True)
+    for c in REQUIRED:
+        complete = complete & F.col(c).isNotNull()
+    narrow = with_word_counts(d).select(
+        id_col, content_hash([c for c in raw.columns if c != id_col]).alias("_h"),
+        complete.alias("complete"), "summary_word_count", "article_word_count",
+        F.length("headline").alias("headline_chars"), *[c for c in CARRIED if c in raw.columns])
+    rest = [c for c in narrow.columns if c not in (id_col, "_h")]
+    return (narrow.groupBy("_h").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"),
+                                     *[F.first(c).alias(c) for c in rest]).drop("_h"))
+
+
+def clean_keys(raw: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """P1 -> P8 on narrow rows: dedup, dropna, length filters."""
+    k = content_keys(raw, id_col).filter("complete")
+    for ok in length_predicates().values():
+        k = k.filter(ok)
+    return k.drop("complete")
+
+
+def with_text(keys: DataFrame, raw: DataFrame, cols: list[str], id_col: str = "article_id") -> DataFrame:
+    """Fetch text columns of ``raw`` for the rows of ``keys``."""
+    return keys.join(markers_to_null(raw.select(id_col, *cols)), id_col)
 
 
 def clean(raw: DataFrame, id_col: str = "article_id") -> DataFrame:
-    """P1 -> P8 in the reference order: dedup, dropna, counts, filters."""
-    content = [c for c in raw.columns if c != id_col]
-    d = dedup_keep_first(raw, content, id_col).drop("copies")
-    return apply_length_filters(with_word_counts(drop_missing(d)))
+    """The cleaned corpus with its texts and word counts."""
+    keys = clean_keys(raw, id_col).select(id_col, "summary_word_count", "article_word_count")
+    return with_text(keys, raw, [c for c in raw.columns if c != id_col], id_col)
 
 
 # P9 / P13 / P14 / P16 -------------------------------------------------------
@@ -207,19 +233,14 @@ def funnel(raw: DataFrame, id_col: str = "article_id", head_n: int = TARGET_ARTI
 
     The head-by-date step keeps min(n, head_n) rows of what survives.
     """
-    content = [c for c in raw.columns if c != id_col]
-    f = first_copy_flag(raw, content, id_col, "s_dedup")
-    f = f.withColumns({c: na_to_null(c) for c in REQUIRED})
-    f = with_word_counts(f)
     preds = length_predicates()
-    s1 = F.col("s_dedup")
-    s2 = s1 & F.col("article").isNotNull() & F.col("summary").isNotNull() & F.col("headline").isNotNull()
+    s2 = F.col("complete")
     s3 = s2 & F.coalesce(preds["summary_len_ok"], F.lit(False))
     s4 = s3 & F.coalesce(preds["article_len_ok"], F.lit(False))
     s5 = s4 & F.coalesce(preds["headline_ok"], F.lit(False))
-    counts = f.agg(
-        F.count(F.lit(1)).alias("initial"),
-        F.count_if(s1).alias("dedup"), F.count_if(s2).alias("dropna"),
+    counts = content_keys(raw, id_col).agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("initial"),
+        F.count(F.lit(1)).alias("dedup"), F.count_if(s2).alias("dropna"),
         F.count_if(s3).alias("summary_length"), F.count_if(s4).alias("article_length"),
         F.count_if(s5).alias("headline_length"))
     counts = counts.withColumn("head_by_date", F.least(F.col("headline_length"), F.lit(head_n).cast("long")))
@@ -246,7 +267,7 @@ def target_check(prof: DataFrame, targets: DataFrame) -> DataFrame:
         "stack(4, 'total_articles', CAST(total_articles AS DOUBLE), "
         "'avg_words_article', avg_words_article, 'avg_words_summary', avg_words_summary, "
         "'compression_ratio', compression_ratio) AS (metric, value)"))
-    j = long.join(F.broadcast(targets), "metric")
+    j = long.join(targets, "metric")
     ok = F.when(F.col("exact"), F.col("value") == F.col("target")) \
           .otherwise(F.abs(F.col("value") - F.col("target")) < F.col("tol"))
     return j.select("metric", "value", "target", "tol", ok.alias("matches"))
@@ -263,11 +284,23 @@ def category_profile(df: DataFrame, by: str = "category") -> DataFrame:
 
 # P15 ------------------------------------------------------------------------
 def seeded_sample(df: DataFrame, n: int, id_col: str = "article_id", seed: int = SAMPLE_SEED) -> DataFrame:
-    """n rows without replacement, deterministic for a seed.
-
-    Order by md5(seed:id) and take n: Spark plans this as a top-k per
-    partition (TakeOrderedAndProject), so no global sort; ``sample_key`` is
-    returned so callers can reproduce the order.
-    """
+    """n rows without replacement, deterministic for a seed: the first n in the
+    order of md5(seed:id), by a range-partitioned sort of (key, id), so that a
+    sample of any size never meets in one task.  ``sample_key`` is returned so
+    callers can reproduce the order."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    return df.withColumn("sample_key", key).orderBy("sample_key").limit(n)
+    order = [F.col("sample_key"), F.col(id_col)]
+    keys = global_positions(df.select(id_col, key.alias("sample_key")), order,
+                            [id_col, "sample_key"], "_pos").filter(F.col("_pos") <= n).drop("_pos")
+    return keys if df.columns == [id_col] else df.join(keys, id_col)
+
+
+# P13 / S5 -------------------------------------------------------------------
+def split_corpus(splits: DataFrame, raw: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """The split corpus with its texts (article, summary), as it is written out."""
+    return with_text(splits.select(id_col, "split", "split_pos"), raw, ["article", "summary"], id_col)
+
+
+def write_splits(corpus: DataFrame, path: str) -> None:
+    """One folder per split; each split is as many files as tasks hold it."""
+    corpus.write.mode("overwrite").partitionBy("split").parquet(path)

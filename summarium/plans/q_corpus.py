@@ -8,22 +8,26 @@ from . import inputs as I
 from .registry import register
 from .sql_inputs import RAW, words, with_
 from ..operators import corpus as C
+from ..sources import files as S
 from ..sources.tables import read_table
 
 _NA = ", ".join("'" + v + "'" for v in C.PANDAS_NA_VALUES)
 
-CLEAN = RAW + f""",
+# The date head: its published size, and one below the row count of the small tables.
+HEADS = {"": C.TARGET_ARTICLES, "_n500": 500}
+
+
+def clean_sql(n: int = C.TARGET_ARTICLES) -> str:
+    """CTEs of the cleaned corpus, its first n rows by date and their splits."""
+    marked = ", ".join(f"CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END AS {c}" for c in
+                       ("headline", "article", "summary", "category", "date", "lang"))
+    return RAW + f""",
+marked AS (SELECT * REPLACE ({marked}) FROM raw_articles),
 dedup AS (
   SELECT min(article_id) AS article_id, count(*) AS copies
-  FROM raw_articles GROUP BY headline, article, summary, category, date, lang),
-d AS (SELECT r.* FROM raw_articles r JOIN dedup USING (article_id)),
-nn AS (
-  SELECT * REPLACE (
-    CASE WHEN article IN ({_NA}) THEN NULL ELSE article END AS article,
-    CASE WHEN summary IN ({_NA}) THEN NULL ELSE summary END AS summary,
-    CASE WHEN headline IN ({_NA}) THEN NULL ELSE headline END AS headline)
-  FROM d),
-dn AS (SELECT * FROM nn WHERE article IS NOT NULL AND summary IS NOT NULL AND headline IS NOT NULL),
+  FROM marked GROUP BY headline, article, summary, category, date, lang),
+d AS (SELECT r.* FROM marked r JOIN dedup USING (article_id)),
+dn AS (SELECT * FROM d WHERE article IS NOT NULL AND summary IS NOT NULL AND headline IS NOT NULL),
 wc AS (
   SELECT *, len({words('summary')}) AS summary_word_count,
             len({words('article')}) AS article_word_count
@@ -33,25 +37,40 @@ clean AS (
   WHERE summary_word_count BETWEEN 50 AND 250 AND article_word_count >= 100
     AND length(headline) >= 10),
 pos AS (SELECT *, row_number() OVER (ORDER BY date ASC NULLS LAST, article_id) AS pos FROM clean),
-ntot AS (SELECT count(*) AS total FROM pos),
+head AS (SELECT * FROM pos WHERE pos <= {n}),
+ntot AS (SELECT count(*) AS total FROM head),
 cuts AS (SELECT total, floor(0.9::DOUBLE * total) AS e1,
                 floor(0.9::DOUBLE * total) + floor(0.05::DOUBLE * total) AS e2 FROM ntot),
 splits AS (
   SELECT p.*, CASE WHEN pos <= e1 THEN 'train' WHEN pos <= e2 THEN 'val' ELSE 'test' END AS split,
          CAST(pos - CASE WHEN pos <= e1 THEN 0 WHEN pos <= e2 THEN e1 ELSE e2 END AS BIGINT) AS split_pos
-  FROM pos p CROSS JOIN cuts)"""
+  FROM head p CROSS JOIN cuts)"""
+
 
+CLEAN = clean_sql()
+KEPT = ["article_id", "date", "category", "summary_word_count", "article_word_count"]
 
-def _clean(spark, sf):
-    return C.clean(I.raw_articles(spark, sf))
 
+def _head(spark, sf, n=C.TARGET_ARTICLES):
+    """Narrow rows of the date head, with positions and word counts."""
+    keys = C.clean_keys(I.raw_articles(spark, sf))
+    return C.head_by_date(C.global_positions(keys, C.chronological(None), KEPT), n)
 
-def _positioned(spark, sf):
-    return C.global_positions(_clean(spark, sf), C.chronological(None), ["article_id", "date"])
 
+def _splits(spark, sf, n=C.TARGET_ARTICLES):
+    return C.assign_splits(_head(spark, sf, n))
 
-def _splits(spark, sf):
-    return C.assign_splits(_positioned(spark, sf))
+
+def headed(name, sql):
+    """Register a query over the date head for each of its sizes."""
+    def deco(fn):
+        for suffix, n in HEADS.items():
+            def build(spark, sf, n=n):
+                return fn(spark, sf, n)
+            build.__name__, build.__doc__ = name + suffix, fn.__doc__
+            register(name + suffix, sql(n))(build)
+        return fn
+    return deco
 
 
 @register("p1_dedup", """
@@ -76,9 +95,7 @@ def p3_rename(spark, sf):
 
 @register("p4_dropna", with_(CLEAN, "SELECT article_id FROM dn"))
 def p4_dropna(spark, sf):
-    raw = I.raw_articles(spark, sf)
-    d = C.dedup_keep_first(raw, [c for c in raw.columns if c != "article_id"], "article_id")
-    return C.drop_missing(d).select("article_id")
+    return C.content_keys(I.raw_articles(spark, sf)).filter("complete").select("article_id")
 
 
 @register("p5_word_count", with_(RAW, f"""
@@ -94,19 +111,18 @@ def p5_word_count(spark, sf):
 SELECT article_id, summary_word_count, article_word_count, length(headline) AS headline_chars
 FROM clean"""))
 def p6_p8_filters(spark, sf):
-    return _clean(spark, sf).select("article_id", "summary_word_count", "article_word_count",
-                                    F.length("headline").alias("headline_chars"))
+    return C.clean_keys(I.raw_articles(spark, sf)).select(
+        "article_id", "summary_word_count", "article_word_count", "headline_chars")
 
 
-@register("p9_head_by_date", with_(CLEAN, f"""
-SELECT article_id, date, pos FROM pos WHERE pos <= {C.TARGET_ARTICLES}"""))
-def p9_head_by_date(spark, sf):
-    return C.head_by_date(_positioned(spark, sf)).select("article_id", "date", "pos")
+@headed("p9_head_by_date", lambda n: with_(clean_sql(n), "SELECT article_id, date, pos FROM head"))
+def p9_head_by_date(spark, sf, n):
+    return _head(spark, sf, n).select("article_id", "date", "pos")
 
 
 @register("p10_funnel", with_(CLEAN, f"""
 SELECT * FROM (VALUES
-  (1, 'initial', (SELECT count(*) FROM raw_articles)),
+  (1, 'initial', (SELECT count(*) FROM marked)),
   (2, 'dedup', (SELECT count(*) FROM d)),
   (3, 'dropna', (SELECT count(*) FROM dn)),
   (4, 'summary_length', (SELECT count(*) FROM wc WHERE summary_word_count BETWEEN 50 AND 250)),
@@ -126,16 +142,16 @@ prof AS (
          avg(summary_word_count) AS avg_words_summary,
          avg(article_word_count) / avg(summary_word_count) AS compression_ratio,
          count(DISTINCT category) AS unique_categories
-  FROM clean)"""
+  FROM head)"""
 
 
-@register("p11_profile", with_(CLEAN + "," + PROFILE_SQL, """
+@headed("p11_profile", lambda n: with_(clean_sql(n) + "," + PROFILE_SQL, """
 SELECT total_articles, round(avg_words_article, 6) AS avg_words_article,
        round(avg_words_summary, 6) AS avg_words_summary,
        round(compression_ratio, 6) AS compression_ratio, unique_categories
 FROM prof"""))
-def p11_profile(spark, sf):
-    p = C.profile(_clean(spark, sf))
+def p11_profile(spark, sf, n):
+    p = C.profile(_head(spark, sf, n))
     return p.select("total_articles", *[F.round(c, 6).alias(c) for c in
                     ("avg_words_article", "avg_words_summary", "compression_ratio")],
                     "unique_categories")
@@ -144,7 +160,7 @@ def p11_profile(spark, sf):
 _TGT = ", ".join(f"('{m}', {t}, {tol}, {str(e).lower()})" for m, t, tol, e in C.TARGET_PROFILE)
 
 
-@register("p12_targets", with_(CLEAN + "," + PROFILE_SQL + f""",
+@headed("p12_targets", lambda n: with_(clean_sql(n) + "," + PROFILE_SQL + f""",
 targets(metric, target, tol, exact) AS (VALUES {_TGT}),
 long AS (
   SELECT 'total_articles' AS metric, CAST(total_articles AS DOUBLE) AS value FROM prof
@@ -154,23 +170,33 @@ long AS (
 SELECT l.metric, round(l.value, 6) AS value, CAST(t.target AS DOUBLE) AS target, CAST(t.tol AS DOUBLE) AS tol,
        CASE WHEN t.exact THEN l.value = t.target ELSE abs(l.value - t.target) < t.tol END AS matches
 FROM long l JOIN targets t USING (metric)"""))
-def p12_targets(spark, sf):
+def p12_targets(spark, sf, n):
     targets = spark.createDataFrame(C.TARGET_PROFILE, "metric string, target double, tol double, exact boolean")
-    r = C.target_check(C.profile(_clean(spark, sf)), targets)
+    r = C.target_check(C.profile(_head(spark, sf, n)), targets)
     return r.select("metric", F.round("value", 6).alias("value"), "target", "tol", "matches")
 
 
-@register("p13_split", with_(CLEAN, "SELECT article_id, pos, split, split_pos FROM splits"))
-def p13_split(spark, sf):
-    return _splits(spark, sf).select("article_id", "pos", "split", "split_pos")
+@headed("p13_split", lambda n: with_(clean_sql(n), "SELECT article_id, pos, split, split_pos FROM splits"))
+def p13_split(spark, sf, n):
+    return _splits(spark, sf, n).select("article_id", "pos", "split", "split_pos")
 
 
 _HEADS = " OR ".join(f"(split = '{k}' AND split_pos <= {v})" for k, v in C.SMALL_HEADS.items())
 
 
-@register("p14_small_heads", with_(CLEAN, f"SELECT article_id, split, split_pos FROM splits WHERE {_HEADS}"))
-def p14_small_heads(spark, sf):
-    return C.small_heads(_splits(spark, sf)).select("article_id", "split", "split_pos")
+@register("p13_write", with_(CLEAN, """
+SELECT article_id, split, split_pos, article, summary FROM splits"""))
+def p13_write(spark, sf):
+    """The split corpus with its texts, written by split and read back."""
+    path = S.scratch_path(spark, "split-corpus")
+    C.write_splits(C.split_corpus(_splits(spark, sf), I.raw_articles(spark, sf)), path)
+    return spark.read.parquet(path).select("article_id", "split", "split_pos", "article", "summary")
+
+
+@headed("p14_small_heads", lambda n: with_(
+    clean_sql(n), f"SELECT article_id, split, split_pos FROM splits WHERE {_HEADS}"))
+def p14_small_heads(spark, sf, n):
+    return C.small_heads(_splits(spark, sf, n)).select("article_id", "split", "split_pos")
 
 
 SAMPLE_N = 100
@@ -180,23 +206,24 @@ SAMPLE_N = 100
 SELECT article_id, md5('{C.SAMPLE_SEED}:' || CAST(article_id AS VARCHAR)) AS sample_key
 FROM clean ORDER BY sample_key LIMIT {SAMPLE_N}"""))
 def p15_sample(spark, sf):
-    return C.seeded_sample(_clean(spark, sf), SAMPLE_N).select("article_id", "sample_key")
+    keys = C.clean_keys(I.raw_articles(spark, sf)).select("article_id")
+    return C.seeded_sample(keys, SAMPLE_N)
 
 
-@register("p16_cap", with_(CLEAN, f"""
+@headed("p16_cap", lambda n: with_(clean_sql(n), f"""
 SELECT article_id, split_pos FROM splits WHERE split = 'test' AND split_pos <= {C.TEST_CAP}"""))
-def p16_cap(spark, sf):
-    return C.test_cap(_splits(spark, sf)).select("article_id", "split_pos")
+def p16_cap(spark, sf, n):
+    return C.test_cap(_splits(spark, sf, n)).select("article_id", "split_pos")
 
 
-@register("p17_category_profile", with_(CLEAN, """
+@headed("p17_category_profile", lambda n: with_(clean_sql(n), """
 SELECT category, count(*) AS articles,
        round(avg(article_word_count), 6) AS avg_article_words,
        round(avg(summary_word_count), 6) AS avg_summary_words,
        min(article_word_count) AS min_article_words, max(article_word_count) AS max_article_words
-FROM clean GROUP BY category"""))
-def p17_category_profile(spark, sf):
-    p = C.category_profile(_clean(spark, sf))
+FROM head GROUP BY category"""))
+def p17_category_profile(spark, sf, n):
+    p = C.category_profile(_head(spark, sf, n))
     return p.select("category", "articles",
                     F.round("avg_article_words", 6).alias("avg_article_words"),
                     F.round("avg_summary_words", 6).alias("avg_summary_words"),

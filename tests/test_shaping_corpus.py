@@ -92,3 +92,37 @@ def test_seeded_sample_is_deterministic(spark):
     a = [r["article_id"] for r in C.seeded_sample(df, 50).collect()]
     b = [r["article_id"] for r in C.seeded_sample(df, 50).collect()]
     assert a == b and len(set(a)) == 50
+
+
+def test_markers_are_nulls_before_the_dedup(spark):
+    text, summary = " ".join(["w"] * 120), " ".join(["s"] * 60)
+    rows = [(1, "a headline here", text, summary, "NA", "2020"), (2, "a headline here", text, summary, None, "2020"),
+            (3, "a headline here", text, summary, "N/A", "nan"), (4, "a headline here", text, summary, "sport", "2020")]
+    raw = spark.createDataFrame(rows, "article_id int, headline string, article string, summary string, "
+                                      "category string, date string")
+    keys = {r["article_id"]: r for r in C.clean_keys(raw).collect()}
+    assert set(keys) == {1, 3, 4} and keys[1]["copies"] == 2 and keys[3]["date"] is None
+    assert C.profile(C.clean_keys(raw)).first()["unique_categories"] == 1
+    assert sorted(r["article_id"] for r in C.clean(raw).collect()) == [1, 3, 4]
+
+
+def test_cleaning_moves_no_text(spark):
+    raw = spark.createDataFrame([], "article_id int, headline string, article string, summary string, "
+                                    "category string, date string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (C.clean_keys(raw), C.funnel(raw), C.category_profile(C.clean_keys(raw))):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan
+            top = plan[:plan.index("Aggregate [_h")] if "Aggregate [_h" in plan else plan
+            assert "article#" not in top and "summary#" not in top and "headline#" not in top
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_sample_is_not_taken_in_one_task(spark):
+    df = spark.range(2000).withColumnRenamed("id", "article_id")
+    plan = C.seeded_sample(df, 1500)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    assert C.seeded_sample(df, 5000).count() == 2000
