@@ -8,8 +8,8 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100
    than ``d`` parts, so linked sets agree in a whole part: equal part signatures make
    an edge, and the connected components of these edges are blocks that no link leaves.
    Sets are cut by size class (and again for pairs astride two classes), so both of a
-   pair use the same cut.  Parts empty in both are no evidence; a set with more of them
-   than the spare parts allow signs them too.
+   pair use the same cut.  There are spare parts, so that parts of one or two shingles,
+   which texts with a passage in common often share, need not be signed.
 2. Search.  Inside a block every set queries the inverted lists of the sets not larger
    than it.  A partner must stand in at least T of the query's lists.  DivideSkip sets
    the L longest lists aside, merges the short ones through a heap, keeps what occurs
@@ -30,9 +30,11 @@ never its smallest id; extra columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -50,10 +52,14 @@ SHINGLE = 4
 PERCENT = 85
 #: Shingles that one search task holds in each of its two chunks.
 TASK_SHINGLES = 1 << 19
-#: Rows of block members up to which they are broadcast to the scan (about 50 MB).
+#: Block members up to which their keys are broadcast to the scan (about 40 MB).
 BROADCAST_MEMBERS = 500_000
 #: Cost of probing against merging in DivideSkip's choice of L.
 MU = 0.5
+#: Parts of fewer shingles are not signed while spare parts make up for them.
+STRONG = 4
+#: Sizes up to which the size classes are narrow.
+FINE = 64
 #: Lists with fewer entries in all are merged by a heap; beyond, by counting.
 HEAP_ENTRIES = 128
 
@@ -107,30 +113,50 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(h, min(k, len(h))))
 
 
-def _cuts(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(tag, parts, spare) of the cuts in which a set of size n signs.
+@lru_cache(maxsize=None)
+def _borders(percent: int) -> list[int]:
+    """Upper ends of the size classes: as narrow as a link reaches for small sets,
+    doubling beyond ``FINE``."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        x = out[-1]
+        out.append(max(x + 1, x * 100 // percent) if x < FINE else 2 * x)
+    return out
+
 
-    Class m holds sizes in (m/2, m] for a power m of 2.  One cut serves pairs within
-    the class, one pairs astride m and one pairs astride m/2."""
-    top = 1 << max(0, (n - 1).bit_length())
+@lru_cache(maxsize=1 << 16)
+def _cuts(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(tag, parts, spare) of the cuts in which a set of size n signs: one for pairs
+    within its size class, one for pairs astride each class border that a link of n
+    can cross."""
+    borders = _borders(percent)
     out = []
 
     def cut(tag: int, a: int, b: int) -> None:
         d = (a + b) * (100 - percent) // (100 + percent)
-        spare = (1 if d else 0) + d // 16
+        spare = (1 if d else 0) + d // 8
         out.append((tag, d + 1 + spare, spare))
 
-    cut(2 * top, top, top)
-    if n * 100 // percent > top:            # partners above m
-        cut(2 * top + 1, top, top * 100 // percent)
-    low = top // 2
-    if low and n * percent <= low * 100:    # partners at or below m/2
-        cut(2 * low + 1, low, low * 100 // percent)
-    return out
+    i = bisect.bisect_left(borders, n)
+    cut(2 * i, borders[i], borders[i])
+    j = i
+    while borders[j] < n * 100 // percent:         # partners above the border
+        cut(2 * j + 1, borders[j], borders[j] * 100 // percent)
+        j += 1
+    j = i - 1
+    while j >= 0 and n * percent <= borders[j] * 100:  # partners at or below it
+        cut(2 * j + 1, borders[j], borders[j] * 100 // percent)
+        j -= 1
+    return tuple(out)
 
 
 def signatures(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Part signatures of a sorted shingle set."""
+    """Part signatures of a sorted shingle set.
+
+    At most ``d`` parts of a linked pair differ, so ``spare + 1`` or more agree.  A set
+    leaves out its parts of fewer than t shingles for the largest t up to ``STRONG``
+    that leaves out ``spare`` of them at most; an agreeing part that the larger t of
+    the two lets stand is then signed by both."""
     n = len(tokens)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens ^ np.uint64(0x5BD1E995)),
                                                                dtype=np.uint64)])
@@ -141,10 +167,13 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64(width)
         at = np.concatenate([[0], np.searchsorted(tokens, bounds), [n]])
         sums = total[at[1:]] - total[at[:-1]]
-        number = np.arange(parts, dtype=np.uint64) + (np.uint64(tag) << np.uint64(24))
+        number = np.arange(parts, dtype=np.uint64) + (np.uint64(tag) << np.uint64(40))
         sig = _mix(sums + _mix(number))
-        empty = at[1:] == at[:-1]
-        out.append(sig if empty.sum() > spare else sig[~empty])
+        held = at[1:] - at[:-1]
+        t = STRONG
+        while (held < t).sum() > spare:
+            t -= 1
+        out.append(sig[held >= t])
     return np.concatenate(out)
 
 
@@ -404,9 +433,13 @@ def _search_blocks(rows: DataFrame, members: DataFrame, percent: int, k: int,
                   .select(F.col("bearer.doc_id").alias("b_id"), F.col("bearer.th").alias("b_th"),
                           "name", "block", "copies", "chunk", "left", "right", "task"))
     cut = staged(cut, "block-tasks")
+    # the scan keeps the members' texts (their keys are broadcast while they are few);
+    # only those texts are shuffled to their tasks
+    keys = cut.select("b_id", "b_th").distinct()
     few = n_members <= BROADCAST_MEMBERS
     bears = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th"))
-    texts = rows.join(F.broadcast(cut) if few else cut, bears).select(
+    own = rows.join(F.broadcast(keys) if few else keys, bears, "left_semi")
+    texts = own.join(cut, bears).select(
         "task", "block", "name", "copies", "chunk", "left", "right", "text")
     found = (texts.mapInPandas(_once, texts.schema).groupBy("task")
                   .applyInPandas(_search(percent, k), "name long, root long, n_links long"))
