@@ -38,13 +38,6 @@ def lcs_length(a, b) -> int:
     return len(b) - bin(v).count("1")
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [None if (x is None or y is None) else lcs_length(list(x), list(y))
-           for x, y in zip(a, b)]
-    return pd.Series(out, dtype="Int32")
-
-
 def tf_cosine(a, b) -> float:
     """Cosine of the term-frequency vectors of two token sequences
     (0.0 when either is empty)."""
@@ -118,29 +111,26 @@ ENTITY_ARRAY_TYPE = T.ArrayType(T.StructType([T.StructField("ent_type", T.String
 
 
 def gazetteer_mentions(text: str, token_re, terms: dict, max_words: int, distinct: bool) -> list:
-    """(type, text) for every word n-gram whose lower case is a gazetteer
-    term: unigrams first, then bigrams, ... in text order; ``distinct`` keeps
-    the first occurrence of each (type, text)."""
+    """(type, text) for every type of every word n-gram whose lower case is a
+    gazetteer term: unigrams first, then bigrams, ... in text order; ``distinct``
+    keeps the first occurrence of each (type, text)."""
     toks = token_re.findall(text)
     out, seen = [], set()
     for n in range(1, max_words + 1):
         for i in range(len(toks) - n + 1):
             g = toks[i] if n == 1 else " ".join(toks[i:i + n])
-            t = terms.get(g.lower())
-            if t is None:
-                continue
-            if distinct:
-                if (t, g) in seen:
-                    continue
-                seen.add((t, g))
-            out.append({"ent_type": t, "ent_text": g})
+            for t in terms.get(g.lower(), ()):
+                if distinct:
+                    if (t, g) in seen:
+                        continue
+                    seen.add((t, g))
+                out.append({"ent_type": t, "ent_text": g})
     return out
 
 
 def gazetteer_udf(terms: dict, max_words: int, token_pattern: str, distinct: bool):
     """Arrow UDF: text -> array<struct<ent_type, ent_text>> of gazetteer
-    mentions.  ``terms`` (lower-case term -> type) travels with the function,
-    so it is meant for gazetteers of bounded size."""
+    mentions.  ``terms`` (lower-case term -> types) travels with the function."""
     import re
     token_re = re.compile(token_pattern)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import all_ngrams, col_
@@ -26,23 +26,13 @@ LEXICON_ROWS = [(cat, t.lower()) for cat, terms in LEXICON.items() for t in term
 LEXICON_TERMS = list(dict.fromkeys(t for _, t in LEXICON_ROWS))
 MAX_TERM_WORDS = max(len(t.split()) for t in LEXICON_TERMS)
 
-# Entity types checked for consistency, and a small gazetteer over frequent
-# words of the driver text (stand-in for a trained NER model; any table with
+# A small gazetteer over frequent words of the driver text (stand-in for a trained NER model; any table with
 # the same (ent_type, term) schema can be passed instead).
-ENTITY_TYPES = ["PERSON", "ORG", "GPE", "DATE"]
 GAZETTEER = [("PERSON", "chief minister"), ("GPE", "the"), ("ORG", "of the"),
              ("ORG", "rs"), ("GPE", "le"), ("PERSON", "der")]
 ENTITY_TOKEN = "[A-Za-z0-9]+"
 
 
-def lexicon_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON_ROWS, "category string, term string")
-
-
-def gazetteer_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GAZETTEER, "ent_type string, term string")
-
-
 def terms_substring(lower_text) -> Column:
     """Lexicon terms occurring as substrings of the (already lower-cased) text.
 

@@ -76,9 +76,3 @@ def truncate_chars(text, n: int) -> Column:
 def preview(text, n: int = 200) -> Column:
     """First n characters followed by '...' (always appended)."""
     return F.concat(truncate_chars(text, n), F.lit("..."))
-
-
-def trigrams_repeated(tokens) -> Column:
-    """Number of repeated word trigrams (0 means the no-repeat rule holds)."""
-    g = ngrams(tokens, 3)
-    return F.size(g) - F.size(F.array_distinct(g))

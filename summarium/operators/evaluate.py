@@ -64,7 +64,7 @@ def score_predictions(preds: DataFrame, use_stemmer: bool = True) -> DataFrame:
     scored = rouge_scores(preds.withColumn("generated", F.when(ok, F.col("generated"))),
                           "reference", "generated", use_stemmer=use_stemmer)
     return scored.select(
-        "system", "article_id", "status", "error", "run_id",
+        "system", "model_id", "article_id", "status", "error", "run_id",
         preview("model_input").alias("article_preview"),
         "reference", "generated", "input_length", "padded_length", "seconds",
         "rouge1", "rouge2", "rougeL",
@@ -75,15 +75,21 @@ def _pct(x: Column, nd: int) -> Column:
     return F.round(x * 100, nd)
 
 
-def system_aggregates(scores: DataFrame, run_id: str | None = None) -> DataFrame:
-    """One row per system with the 17 aggregate-score fields (A1-A5).
+def system_aggregates(scores: DataFrame, run_id: str | None = None,
+                      evaluation_date: str | None = None) -> DataFrame:
+    """One row per system with the 18 aggregate-score fields (A1-A5).
 
     ``std`` is the population standard deviation (numpy default).  Length
-    means and throughput cover successful rows; ``time_per_sample`` divides by
-    the rows scored in ``run_id`` (all rows when None).
+    means and throughput cover successful rows; seconds and
+    ``time_per_sample`` are those of ``run_id`` (of all rows when None).
+    ``evaluation_date`` defaults to the current date.
     """
     ok = F.col("status") == "ok"
-    in_run = ok if run_id is None else (ok & (F.col("run_id") == run_id))
+    run = F.lit(True) if run_id is None else (F.col("run_id") == run_id)
+    in_run = ok & run
+    date = F.date_format(F.current_date(), "yyyy-MM-dd") if evaluation_date is None else F.lit(evaluation_date)
+    if "model_id" not in scores.columns:
+        scores = scores.withColumn("model_id", F.lit(None).cast("string"))
     agg = scores.groupBy("system").agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.count_if(ok).alias("successful_samples"),
@@ -93,7 +99,8 @@ def system_aggregates(scores: DataFrame, run_id: str | None = None) -> DataFrame
         F.stddev_pop(F.when(ok, F.col("rouge1"))).alias("_s1"),
         F.stddev_pop(F.when(ok, F.col("rouge2"))).alias("_s2"),
         F.stddev_pop(F.when(ok, F.col("rougeL"))).alias("_sl"),
-        F.sum("seconds").alias("_secs"),
+        F.coalesce(F.sum(F.when(run, F.col("seconds"))), F.lit(0.0)).alias("_secs"),
+        F.max("model_id").alias("model_id"),
         F.count_if(in_run).alias("_n_run"),
         F.avg(F.when(ok, F.col("input_length"))).alias("_in"),
         F.avg(F.when(ok, F.col("padded_length"))).alias("_pad"),
@@ -101,7 +108,7 @@ def system_aggregates(scores: DataFrame, run_id: str | None = None) -> DataFrame
     overhead = F.when(F.col("_in") > 0, (F.col("_pad") - F.col("_in")) / F.col("_in") * 100) \
                 .otherwise(F.lit(0.0))
     return agg.select(
-        F.col("system").alias("model_name"),
+        F.col("system").alias("model_name"), "model_id", date.alias("evaluation_date"),
         "total_samples", "successful_samples",
         (F.col("total_samples") - F.col("successful_samples")).alias("failed_samples"),
         F.round(F.col("successful_samples") / F.col("total_samples") * 100, 2).alias("success_rate"),
@@ -141,9 +148,15 @@ def resume_todo(predictions: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def resume(predictions: DataFrame, scores: DataFrame, run_id: str,
-           use_stemmer: bool = True) -> DataFrame:
+           use_stemmer: bool = True, mode: str = "append") -> DataFrame:
     """Existing scores plus the newly scored remainder; resuming twice equals
-    running once because completed pairs are never rescored."""
+    running once because completed pairs are never rescored.
+    ``mode="overwrite"`` starts fresh: every pair is scored in this run."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError(mode)
+    if mode == "overwrite":
+        return score_predictions(predictions.withColumn("run_id", F.lit(run_id)),
+                                 use_stemmer=use_stemmer).select(*scores.columns)
     todo = resume_todo(predictions, scores).withColumn("run_id", F.lit(run_id))
     new = score_predictions(todo, use_stemmer=use_stemmer)
     return scores.unionByName(new.select(*scores.columns))

@@ -93,7 +93,7 @@ def summary(ranked: DataFrame) -> DataFrame:
 def domain_shift(board: DataFrame, indomain: DataFrame, metric: str = "ROUGE-2") -> DataFrame:
     """Relative change against a published in-domain score.
     ``indomain(system, score)`` is a small dimension."""
-    j = board.join(F.broadcast(indomain), board["Model"] == indomain["system"], "inner")
+    j = board.join(indomain, board["Model"] == indomain["system"], "inner")
     m = F.col(f"`{metric}`")
     return j.select(
         F.col("Model"), F.col("score").alias("indomain"), m.alias("outdomain"),
@@ -131,7 +131,7 @@ def size_pairs(board: DataFrame, sizes: DataFrame, metric: str = "ROUGE-2") -> D
     ``sizes(Model, family, size)`` is a small dimension.  ``lead`` over the
     family ordered by size pairs neighbours only (no self-join, no all-pairs).
     """
-    b = board.join(F.broadcast(sizes), "Model")
+    b = board.join(sizes, "Model")
     w = Window.partitionBy("family").orderBy("size", "Model")
     m = F.col(f"`{metric}`")
     nxt = (b.withColumn("large_model", F.lead("Model").over(w))

@@ -70,15 +70,19 @@ def with_hallucinated_dates(df: DataFrame, summary: str, source: str, patterns:
 
 # E13 ------------------------------------------------------------------------
 def semantic_loss(source, summary) -> Column:
-    """1 - cosine(source[:2000], summary[:1000]) on term-frequency vectors."""
-    return F.lit(1.0) - tf_cosine(source, summary, SOURCE_CHARS, SUMMARY_CHARS)
+    """1 - cosine(source[:2000], summary[:1000]) on term-frequency vectors; 0.0
+    where a text is missing or empty (nothing to compare is no loss)."""
+    nothing = (F.coalesce(F.trim(col_(source)), F.lit("")) == "") | \
+        (F.coalesce(F.trim(col_(summary)), F.lit("")) == "")
+    return F.when(nothing, F.lit(0.0)).otherwise(
+        F.lit(1.0) - tf_cosine(source, summary, SOURCE_CHARS, SUMMARY_CHARS))
 
 
 # E11 ------------------------------------------------------------------------
 def drop_report(df: DataFrame, source_terms: str, summary_terms: str, lexicon: DataFrame) -> DataFrame:
     """Per (category, term): source occurrences, preserved, dropped, rate.
 
-    Only rows that carry terms are exploded; the 56-row lexicon is broadcast
+    Only rows that carry terms are exploded; the lexicon joins by term
     and the counts combine map-side, so a term present in every article is
     one row per map partition before the shuffle.
     """
@@ -88,7 +92,7 @@ def drop_report(df: DataFrame, source_terms: str, summary_terms: str, lexicon: D
                     F.col(summary_terms).alias("_sum"))
             .filter(F.col("term").isNotNull()))
     ex = ex.withColumn("kept", F.array_contains("_sum", F.col("term")))
-    j = ex.join(F.broadcast(lexicon), "term")
+    j = ex.join(lexicon, "term")
     return (j.groupBy("category", "term").agg(
                 F.count(F.lit(1)).alias("in_source"),
                 F.count_if("kept").alias("preserved"))

@@ -78,23 +78,16 @@ def padded_length(n, long_context: Column, window: int = ATTENTION_WINDOW) -> Co
 
 
 # I8 -------------------------------------------------------------------------
-def build_vocabulary(df: DataFrame, text: str, max_chars: int | None = None,
-                     max_tokens: int | None = None) -> DataFrame:
-    """token -> id by (count desc, token); 0 = pad, 1 = unk.
+def build_vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """token -> id by (count desc, token) over whole texts; 0 = pad, 1 = unk.
 
     Distributed: explode, partial count per partition, final count per token,
-    then ids by a ``row_number`` over the vocabulary table only.
+    then ids by a range-partitioned sort of the vocabulary table only.
     """
-    t = col_(text)
-    if max_chars:
-        t = truncate_chars(t, max_chars)
-    tk = words(t)
-    if max_tokens:
-        tk = F.slice(tk, 1, max_tokens)
     # explode_outer + explicit filter: a plain explode makes the optimizer
     # infer size(tokens) > 0 and push it below the projection, re-running
     # the tokenizer inside that predicate.
-    counts = (df.select(F.explode_outer(tk).alias("token"))
+    counts = (df.select(F.explode_outer(words(text)).alias("token"))
                 .filter(F.col("token").isNotNull())
                 .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     # ids follow a total order of the vocabulary; positions are assigned with
@@ -105,38 +98,69 @@ def build_vocabulary(df: DataFrame, text: str, max_chars: int | None = None,
     return ranked.select("token", "freq", (F.col("_pos") + UNK_ID).cast("int").alias("token_id"))
 
 
-def encode_sequences(df: DataFrame, key: str, text: str, vocab: DataFrame,
-                     max_len: int, max_chars: int | None = None,
-                     mask_labels: bool = False, out_prefix: str = "") -> DataFrame:
-    """Token ids padded/truncated to ``max_len`` with an attention mask.
+def token_ids(df: DataFrame, key: str, sides: list[tuple[str, int, int | None]],
+              vocab: DataFrame) -> DataFrame:
+    """(key, ids_0, ids_1, ...): the token ids of several texts of a row, each
+    ``(text, max_len, max_chars)``, in one pass and one join.
 
-    Truncation happens before the explode so at most ``max_len`` rows per
-    document enter the join; the vocabulary side is joined by token (Spark
-    picks broadcast when its size allows, a shuffle join otherwise).
+    Truncation happens before the explode, so at most ``sum(max_len)`` rows per
+    document enter the join; a row without words keeps one null token, so
+    nothing is joined back.  The vocabulary is joined by token (Spark picks
+    broadcast when its size allows; a frequent token is a skewed key that
+    the adaptive sort-merge join splits).
     """
-    t = col_(text)
-    if max_chars:
-        t = truncate_chars(t, max_chars)
-    toks = (df.select(key, F.posexplode_outer(F.slice(words(t), 1, max_len)).alias("pos", "token"))
-              .filter(F.col("token").isNotNull()))
-    ids = (toks.join(vocab.select("token", "token_id"), "token", "left")
-               .select(key, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid")))
-    seq = ids.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "tid"))),
-                    lambda s: s["tid"]).alias("_ids"))
-    seq = df.select(key).join(seq, key, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
-    k = F.size("_ids")
-    pad = F.greatest(F.lit(max_len) - k, F.lit(0))
-    input_ids = F.concat("_ids", F.array_repeat(F.lit(PAD_ID), pad))
-    mask = F.concat(F.array_repeat(F.lit(1), k), F.array_repeat(F.lit(0), pad))
-    cols = {f"{out_prefix}input_ids": input_ids, f"{out_prefix}attention_mask": mask}
-    out = seq.withColumns(cols)
-    if mask_labels:
-        out = out.withColumn(f"{out_prefix}labels", F.transform(
-            f"{out_prefix}input_ids",
-            lambda x: F.when(x == PAD_ID, F.lit(LABEL_IGNORE)).otherwise(x)))
-    return out.drop("_ids")
+    def tagged(i, text, max_len, max_chars):
+        t = truncate_chars(text, max_chars) if max_chars else col_(text)
+        return F.transform(F.slice(words(F.coalesce(t, F.lit(""))), 1, max_len), lambda w, p: F.struct(
+            F.lit(i).alias("side"), p.alias("pos"), w.alias("token")))
+
+    parts = [tagged(i, *side) for i, side in enumerate(sides)]
+    toks = df.select(key, F.explode_outer(F.concat(*parts)).alias("_e")).select(key, "_e.*")
+    ids = toks.join(vocab.select("token", "token_id"), "token", "left").select(
+        key, F.when(F.col("token").isNotNull(), F.struct(
+            "side", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))).alias("_t"))
+    seq = ids.groupBy(key).agg(F.array_sort(F.collect_list("_t")).alias("_all"))
+
+    def of(i):
+        return F.transform(F.filter("_all", lambda s: s["side"] == i), lambda s: s["tid"]).alias(f"ids_{i}")
+
+    return seq.select(key, *[of(i) for i in range(len(sides))])
+
+
+def padded(ids: str, max_len: int) -> Column:
+    return F.concat(F.col(ids), F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))))
+
+
+def attention_mask(ids: str, max_len: int) -> Column:
+    k = F.size(ids)
+    return F.concat(F.array_repeat(F.lit(1), k),
+                    F.array_repeat(F.lit(0), F.greatest(F.lit(max_len) - k, F.lit(0))))
+
+
+def masked_labels(ids: str, max_len: int) -> Column:
+    """Padded ids with the padding replaced by the ignored label."""
+    return F.transform(padded(ids, max_len),
+                       lambda x: F.when(x == PAD_ID, F.lit(LABEL_IGNORE)).otherwise(x))
+
+
+def encode_sequences(df: DataFrame, key: str, text: str, vocab: DataFrame,
+                     max_len: int, max_chars: int | None = None,
+                     mask_labels: bool = False) -> DataFrame:
+    """Token ids of one text padded/truncated to ``max_len`` with a mask."""
+    e = token_ids(df, key, [(text, max_len, max_chars)], vocab)
+    labels = [masked_labels("ids_0", max_len).alias("labels")] if mask_labels else []
+    return e.select(key, padded("ids_0", max_len).alias("input_ids"),
+                    attention_mask("ids_0", max_len).alias("attention_mask"), *labels)
+
+
+def encode_pairs(df: DataFrame, key: str, source: str, target: str, vocab: DataFrame,
+                 max_source: int = 1024, max_target: int = 128, source_chars: int | None = None,
+                 mask_labels: bool = True) -> DataFrame:
+    """One training row: ids and mask of the source, labels of the target."""
+    e = token_ids(df, key, [(source, max_source, source_chars), (target, max_target, None)], vocab)
+    labels = masked_labels("ids_1", max_target) if mask_labels else padded("ids_1", max_target)
+    return e.select(key, padded("ids_0", max_source).alias("input_ids"),
+                    attention_mask("ids_0", max_source).alias("attention_mask"), labels.alias("labels"))
 
 
 # I9 / I10 -------------------------------------------------------------------

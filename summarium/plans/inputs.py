@@ -13,8 +13,8 @@ from ..operators import evaluate, leaderboard
 from ..sources import tables as T
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.articles(spark, sf_dir)
+def articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return T.articles(spark, sf_dir, *columns)
 
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = articles(spark, sf_dir).select("article_id", "article", "summary")
+    a = articles(spark, sf_dir, "article_id", "article", "summary")
     return evaluate.build_predictions(a, T.systems(spark), T.FAILING_SYSTEM,
                                       T.FAILING_MODULUS)
 
@@ -34,7 +34,8 @@ def scores(spark: SparkSession, sf_dir: str, use_stemmer: bool = False) -> DataF
 
 
 def aggregates(spark: SparkSession, sf_dir: str, use_stemmer: bool = False) -> DataFrame:
-    return evaluate.system_aggregates(scores(spark, sf_dir, use_stemmer))
+    return evaluate.system_aggregates(scores(spark, sf_dir, use_stemmer),
+                                      evaluation_date=T.EVALUATION_DATE)
 
 
 def board(spark: SparkSession, sf_dir: str, use_stemmer: bool = False) -> DataFrame:
@@ -47,7 +48,7 @@ def ranked(spark: SparkSession, sf_dir: str, use_stemmer: bool = False) -> DataF
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, source, summary) over the seeded view."""
-    return articles(spark, sf_dir).select(
+    return articles(spark, sf_dir, "article_id", "article", "summary").select(
         F.col("article_id").alias("pair_id"), F.col("article").alias("source"), "summary")
 
 
@@ -56,7 +57,7 @@ def system_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     against their source, with the source-side factuality inputs computed
     once per article before the fan-out to systems."""
     from ..operators.factuality import SOURCE_FEATURES, with_source_features
-    a = articles(spark, sf_dir).select("article_id", "article", "summary")
+    a = articles(spark, sf_dir, "article_id", "article", "summary")
     a = with_source_features(a, "article")
     p = evaluate.build_predictions(a, T.systems(spark), T.FAILING_SYSTEM, T.FAILING_MODULUS,
                                    carry=SOURCE_FEATURES)
@@ -72,7 +73,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training-step log stand-in: one step per article, stage by id mod 3,
     batch index id div 3, epoch 1, cross-entropy from the id; the step's
     source and generated texts are the seeded article and summary."""
-    a = articles(spark, sf_dir)
+    a = articles(spark, sf_dir, "article_id", "article", "summary")
     stage = F.element_at(F.array(*[F.lit(s) for s in STAGE_BY_MOD3]),
                          (F.col("article_id") % 3 + 1).cast("int"))
     return a.select(stage.alias("stage"), F.lit(1).cast("bigint").alias("epoch"),

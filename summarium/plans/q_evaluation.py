@@ -16,7 +16,7 @@ SELECT article_id, len({rtok('summary')}) AS n_tokens,
        array_to_string({rtok('summary')}, ' ') AS tokens
 FROM articles"""))
 def m1_tokens(spark, sf):
-    a = I.articles(spark, sf)
+    a = I.articles(spark, sf, "article_id", "summary")
     t = rouge_tokens("summary")
     return a.select("article_id", F.size(t).cast("bigint").alias("n_tokens"),
                     F.array_join(t, " ").alias("tokens"))
@@ -100,11 +100,13 @@ def a9_sweep(spark, sf):
 
 @register("m2_stem")
 def m2_stem(spark, sf):
-    """Distinct vocabulary of the reference summaries with its Porter stems."""
+    """Distinct words of the reference summaries and of the candidates, with
+    their Porter stems."""
     from ..functions.stem import stem_vocabulary
-    a = I.articles(spark, sf)
-    toks = a.select(F.explode_outer(rouge_tokens("summary")).alias("token"))
-    return stem_vocabulary(toks)
+    p = I.predictions(spark, sf)
+    both = F.concat(rouge_tokens("reference"), F.coalesce(rouge_tokens("generated"),
+                                                          F.array().cast("array<string>")))
+    return stem_vocabulary(p.select(F.explode_outer(both).alias("token")))
 
 
 @register("m2_rouge_stemmed")

@@ -124,7 +124,7 @@ SELECT article_id AS pair_id,
 FROM articles""")
 
     def build(spark, sf):
-        a = I.articles(spark, sf)
+        a = I.articles(spark, sf, "article_id", "article", "summary")
         return a.select(F.col("article_id").alias("pair_id"),
                         _set_str(date_mentions("summary", patterns)).alias("summary_dates"),
                         _set_str(date_mentions("article", patterns)).alias("source_dates"),
@@ -151,14 +151,14 @@ DENSE_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (
   SELECT d.doc_id, a.e AS a, b.e AS b
-  FROM documents d JOIN v a ON a.vec_id = d.doc_id JOIN v b ON b.vec_id = d.doc_id + 1),
+  FROM documents d LEFT JOIN v a ON a.vec_id = d.doc_id LEFT JOIN v b ON b.vec_id = d.doc_id + 1),
 n AS (
   SELECT doc_id,
     list_reduce(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i]), lambda acc, x: acc + x, 0.0::DOUBLE) AS dt,
     sqrt(list_reduce(a, lambda acc, x: acc + x * x, 0.0::DOUBLE)) *
     sqrt(list_reduce(b, lambda acc, x: acc + x * x, 0.0::DOUBLE)) AS den
   FROM p)
-SELECT doc_id, CASE WHEN den > 0 THEN dt / den ELSE 0.0::DOUBLE END AS cosine FROM n"""
+SELECT doc_id, CASE WHEN den IS NULL THEN NULL WHEN den > 0 THEN dt / den ELSE 0.0::DOUBLE END AS cosine FROM n"""
 
 
 @register("e5_dense_cosine", DENSE_SQL)
@@ -168,7 +168,7 @@ def e5_dense_cosine(spark, sf):
         "vec_id", F.col("embedding").cast("array<double>").alias("e"))
     a = emb.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("a"))
     b = emb.select((F.col("vec_id") - 1).alias("doc_id"), F.col("e").alias("b"))
-    j = docs.join(a, "doc_id").join(b, "doc_id")
+    j = docs.join(a, "doc_id", "left").join(b, "doc_id", "left")
     return j.select("doc_id", FX.dense_cosine("a", "b").alias("cosine"))
 
 
@@ -194,7 +194,7 @@ SELECT a.article_id AS pair_id,
                   THEN s.d / (sqrt(s.na) * sqrt(s.nb)) ELSE 0.0 END, 6) AS tfidf_cosine
 FROM articles a LEFT JOIN sums s USING (article_id)"""))
 def e6_tfidf_cosine(spark, sf):
-    a = I.articles(spark, sf)
+    a = I.articles(spark, sf, "article_id", "article", "summary")
     idf = FX.idf_table(a, "article")
     r = FX.tfidf_cosine(a, "article_id", "summary", "article", idf)
     return r.select(F.col("article_id").alias("pair_id"), F.round("tfidf_cosine", 6).alias("tfidf_cosine"))
@@ -224,7 +224,7 @@ def e7_composite(spark, sf):
 
 @register("e8_threshold", with_(COMPOSITE, "SELECT pair_id, semantic >= 0.5 AS semantic_ok FROM parts"))
 def e8_threshold(spark, sf):
-    return FX.factuality_scores(I.pairs(spark, sf)).select("pair_id", "semantic_ok")
+    return I.pairs(spark, sf).select("pair_id", FX.semantic_ok("summary", "source").alias("semantic_ok"))
 
 
 # --- E17 / E18 ------------------------------------------------------------------

@@ -65,9 +65,9 @@ def _loss_sql(s, m):
 SELECT pair_id, {_loss_sql('src_sub', 'sum_sub')} AS loss_substring,
        {_loss_sql('src_word', 'sum_word')} AS loss_word FROM terms"""))
 def e10_lexicon_loss(spark, sf):
-    a = _terms(spark, sf, "substring").select("pair_id", LS.lexicon_loss("src", "sum").alias("loss_substring"))
-    b = _terms(spark, sf, "word").select("pair_id", LS.lexicon_loss("src", "sum").alias("loss_word"))
-    return a.join(b, "pair_id")
+    both = LS.with_terms(_terms(spark, sf, "substring"), {"source": "src_w", "summary": "sum_w"}, "word")
+    return both.select("pair_id", LS.lexicon_loss("src", "sum").alias("loss_substring"),
+                       LS.lexicon_loss("src_w", "sum_w").alias("loss_word"))
 
 
 @register("e11_drop_report", with_(TERMS + f""",
@@ -115,7 +115,10 @@ trunc AS (SELECT article_id, substr(article, 1, 2000) AS src, substr(summary, 1,
 
 
 @register("e13_semantic_loss", with_(TRUNC + "," + tf_cosine_cte("tfc", "trunc", "article_id", "src", "gen"), """
-SELECT article_id AS pair_id, 1.0::DOUBLE - semantic AS semantic_loss FROM tfc"""))
+SELECT t.article_id AS pair_id,
+       CASE WHEN coalesce(trim(src), '') = '' OR coalesce(trim(gen), '') = '' THEN 0.0::DOUBLE
+            ELSE 1.0::DOUBLE - semantic END AS semantic_loss
+FROM tfc t JOIN trunc USING (article_id)"""))
 def e13_semantic_loss(spark, sf):
     p = I.pairs(spark, sf)
     return p.select("pair_id", LS.semantic_loss("source", "summary").alias("semantic_loss"))

@@ -42,7 +42,7 @@ SELECT article_id, length(substr(article, 1, 3000)) AS chars_3000, length(substr
        length(substr(summary, 1, 1000)) AS summary_chars_1000, substr(article, 1, 3000) AS article_3000
 FROM articles"""))
 def i4_truncate(spark, sf):
-    a = I.articles(spark, sf)
+    a = I.articles(spark, sf, "article_id", "article", "summary")
     return a.select("article_id",
                     F.length(SH.truncate_chars("article", 3000)).alias("chars_3000"),
                     F.length(SH.truncate_chars("article", 2000)).alias("chars_2000"),
@@ -52,7 +52,7 @@ def i4_truncate(spark, sf):
 
 @register("i5_preview", with_(SEED, "SELECT article_id, substr(article, 1, 200) || '...' AS preview FROM articles"))
 def i5_preview(spark, sf):
-    return I.articles(spark, sf).select("article_id", SH.preview("article").alias("preview"))
+    return I.articles(spark, sf, "article_id", "article").select("article_id", SH.preview("article").alias("preview"))
 
 
 @register("i6_token_len", with_(PREDS, "SELECT system, article_id, input_length FROM preds2"))
@@ -66,13 +66,48 @@ def i7_padding(spark, sf):
 
 
 VOCAB = SEED + f""",
-vt AS (SELECT unnest(({words('substr(article, 1, 3000)')})[1:1024]) AS token FROM articles),
+vt AS (SELECT unnest({words('article')}) AS token FROM articles),
 vc AS (SELECT token, count(*) AS freq FROM vt GROUP BY token),
 vocab AS (SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, token) + 1 AS INTEGER) AS token_id FROM vc)"""
 
 
 def _vocab(spark, sf):
-    return SH.build_vocabulary(I.articles(spark, sf), "article", max_chars=3000, max_tokens=1024)
+    return SH.build_vocabulary(I.articles(spark, sf, "article"), "article")
+
+
+def _ids_sql(name, text, max_len):
+    """CTE ``name(article_id, ids)``: token ids of the first words of a text."""
+    return f"""
+{name}_t AS (SELECT article_id, ({words(text)})[1:{max_len}] AS tk FROM articles),
+{name}_p AS (SELECT article_id, generate_subscripts(tk, 1) AS pos, unnest(tk) AS token FROM {name}_t),
+{name}_i AS (SELECT p.article_id, p.pos, coalesce(v.token_id, 1) AS tid FROM {name}_p p LEFT JOIN vocab v USING (token)),
+{name} AS (SELECT a.article_id, coalesce(list(i.tid ORDER BY i.pos) FILTER (WHERE i.tid IS NOT NULL), []) AS ids
+           FROM articles a LEFT JOIN {name}_i i USING (article_id) GROUP BY a.article_id)"""
+
+
+def _pad_sql(ids, n, value):
+    return f"array_to_string(list_concat({ids}, list_transform(range({n} - len({ids})), lambda x: {value})), ' ')"
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+@register("i8_pairs", with_(VOCAB + "," + _ids_sql("src", "substr(article, 1, 3000)", 1024) + ","
+                            + _ids_sql("tgt", "summary", 256), f"""
+SELECT s.article_id, {_pad_sql('s.ids', 1024, 0)} AS input_ids, len(s.ids) AS n_real,
+       {_pad_sql('t.ids[1:128]', 128, -100)} AS labels_128, {_pad_sql('t.ids', 256, 0)} AS labels_256
+FROM src s JOIN tgt t USING (article_id)"""))
+def i8_pairs(spark, sf):
+    """Training rows of both data sets: the article cut at 3,000 characters and
+    1,024 words, the summary as 128 masked and as 256 unmasked labels."""
+    a = I.articles(spark, sf, "article_id", "article", "summary")
+    e = SH.token_ids(a, "article_id", [("article", 1024, 3000), ("summary", 256, None)], _vocab(spark, sf))
+    e = e.withColumn("short", F.slice("ids_1", 1, 128))
+    return e.select("article_id", _joined(SH.padded("ids_0", 1024)).alias("input_ids"),
+                    F.size("ids_0").cast("bigint").alias("n_real"),
+                    _joined(SH.masked_labels("short", 128)).alias("labels_128"),
+                    _joined(SH.padded("ids_1", 256)).alias("labels_256"))
 
 
 @register("i8_vocab", with_(VOCAB, "SELECT token, freq, token_id FROM vocab"))
@@ -91,7 +126,7 @@ SELECT article_id,
        len(ids) AS n_real, 128 - len(ids) AS n_ignored
 FROM seq"""))
 def i8_encode(spark, sf):
-    a = I.articles(spark, sf)
+    a = I.articles(spark, sf, "article_id", "summary")
     e = SH.encode_sequences(a, "article_id", "summary", _vocab(spark, sf), 128, mask_labels=True)
     return e.select("article_id",
                     F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),

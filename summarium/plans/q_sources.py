@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import inputs as I
 from .registry import register
-from .sql_inputs import PREDS, with_
+from .sql_inputs import PREDS, RAW, with_
+from .q_corpus import CLEAN
 from ..operators import corpus as C
 from ..operators import evaluate as EV
 from ..sources import files as S
@@ -28,7 +29,10 @@ def _dump_csv(spark, sf):
     return path
 
 
-@register("s1_csv")
+# The CSV writer writes a null as an unquoted nothing, which reads back as null.
+@register("s1_csv", with_(RAW, """
+SELECT article_id, article AS article_text, summary AS human_summary, headline,
+       category AS news_category, date AS published_date FROM raw_articles"""))
 def s1_csv(spark, sf):
     path = _dump_csv(spark, sf)
     schema = S.T.StructType([S.T.StructField("article_id", S.T.LongType())] +
@@ -37,21 +41,28 @@ def s1_csv(spark, sf):
     return S.read_articles_csv(spark, path, schema)
 
 
-@register("p2_headers")
+@register("p2_headers", with_(RAW, """
+SELECT CAST(article_id AS VARCHAR) AS article_id, article, summary, headline, category, date
+FROM raw_articles"""))
 def p2_headers(spark, sf):
     path = _dump_csv(spark, sf)
     return C.rename_columns(S.read_articles_csv(spark, path))
 
 
-@register("s2_json")
+@register("s2_json", with_(PREDS, """
+SELECT *, replace(lower(model_name), '-', '_') AS folder FROM aggregates"""))
 def s2_json(spark, sf):
     base = S.scratch_path(spark, "scores-json")
     agg = I.aggregates(spark, sf).withColumn("folder", F.lower(F.regexp_replace("model_name", "-", "_")))
     S.write_json(agg, base, partition_by="folder")
-    return S.read_score_folders(spark, base)
+    return S.read_score_folders(spark, base, "part-*.json")   # as Spark names its files
 
 
-@register("s5_csv_sink")
+@register("s5_csv_sink", with_(PREDS, """
+SELECT CAST("Rank" AS VARCHAR) AS "Rank", "Model", CAST("ROUGE-1" AS VARCHAR) AS "ROUGE-1",
+       CAST("ROUGE-2" AS VARCHAR) AS "ROUGE-2", CAST("ROUGE-L" AS VARCHAR) AS "ROUGE-L",
+       CAST("Success Rate" AS VARCHAR) AS "Success Rate", CAST("Time Hours" AS VARCHAR) AS "Time Hours"
+FROM ranked"""))
 def s5_csv_sink(spark, sf):
     from ..operators import leaderboard as L
     path = S.scratch_path(spark, "leaderboard-csv")
@@ -59,14 +70,15 @@ def s5_csv_sink(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@register("s6_json_sink")
+@register("s6_json_sink", with_(PREDS, "SELECT * FROM ranked"))
 def s6_json_sink(spark, sf):
     path = S.scratch_path(spark, "leaderboard-json")
     S.write_json(I.ranked(spark, sf), path)
     return spark.read.json(path)
 
 
-@register("s7_append")
+@register("s7_append", with_(PREDS, """
+SELECT system, article_id, 'run-1' AS run_id, rouge1, rouge2, rougeL FROM scores"""))
 def s7_append(spark, sf):
     path = S.scratch_path(spark, "scores-table")
     scores = I.scores(spark, sf).select("system", "article_id", "run_id", "rouge1", "rouge2", "rougeL")
@@ -75,7 +87,9 @@ def s7_append(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("s8_ignore")
+@register("s8_ignore", with_(CLEAN, f"""
+SELECT article_id, md5('{C.SAMPLE_SEED}:' || CAST(article_id AS VARCHAR)) AS sample_key
+FROM clean ORDER BY sample_key LIMIT 100"""))
 def s8_ignore(spark, sf):
     path = S.scratch_path(spark, "sample-cache")
     keys = C.clean_keys(I.raw_articles(spark, sf)).select("article_id")
@@ -97,14 +111,36 @@ def a6_resume(spark, sf):
     return full.select("system", "article_id", "run_id", "status", "rouge1", "rouge2", "rougeL")
 
 
-@register("a7_stream")
+@register("a7_stream", with_(PREDS, """
+SELECT system, article_id, status, input_length, padded_length, seconds, rouge1, rouge2, rougeL
+FROM scores"""))
 def a7_stream(spark, sf):
     base = S.scratch_path(spark, "stream")
     preds = I.predictions(spark, sf)
     preds.repartition(4, "article_id").write.parquet(f"{base}/predictions")
-    return score_stream(spark, f"{base}/predictions", f"{base}/scores", f"{base}/_checkpoint")
-
-
-@register("a8_run_summary")
+    scores = score_stream(spark, f"{base}/predictions", f"{base}/scores", f"{base}/_checkpoint",
+                          max_files_per_trigger=2, use_stemmer=False)
+    return scores.select("system", "article_id", "status", "input_length", "padded_length",
+                         "seconds", "rouge1", "rouge2", "rougeL")
+
+
+@register("a8_run_summary", with_(PREDS, """
+SELECT count(*) FILTER (WHERE successful_samples > 0) AS num_models_evaluated,
+       count(*) FILTER (WHERE successful_samples = 0) AS num_models_failed,
+       max(total_samples) AS test_samples,
+       array_to_string(list_sort(list(model_name || '=' || CAST(successful_samples AS VARCHAR))
+                                 FILTER (WHERE successful_samples > 0)), ',') AS results,
+       coalesce(array_to_string(list_sort(list(model_name) FILTER (WHERE successful_samples = 0)), ','), '')
+         AS failed_models
+FROM aggregates"""))
 def a8_run_summary(spark, sf):
-    return EV.run_summary(I.aggregates(spark, sf))
+    """The run summary written as JSON, read back and flattened (without its clock)."""
+    path = S.scratch_path(spark, "run-summary")
+    S.write_json(EV.run_summary(I.aggregates(spark, sf)), path)
+    schema = EV.run_summary(I.aggregates(spark, sf)).schema
+    r = spark.read.schema(schema).json(path)
+    return r.select(*[F.col(f"experiment_metadata.{c}").alias(c) for c in
+                      ("num_models_evaluated", "num_models_failed", "test_samples")],
+                    F.array_join(F.array_sort(F.transform("results", lambda x: F.concat_ws(
+                        "=", x["model_name"], x["successful_samples"].cast("string")))), ",").alias("results"),
+                    F.array_join(F.array_sort("failed_models"), ",").alias("failed_models"))

@@ -4,7 +4,7 @@ Used only by the oracle SQL of ``__spark_entry__.oracle_sql``; they restate the
 seeded view independently so the Spark code is checked, not reused.
 """
 
-from ..sources.tables import SYSTEMS
+from ..sources.tables import EVALUATION_DATE, SYSTEMS
 
 WORDS = "list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
 RTOK = ("list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), "
@@ -128,10 +128,10 @@ scores AS (
          CASE WHEN p.status = 'ok' THEN p1 END AS rouge1_p, CASE WHEN p.status = 'ok' THEN r1 END AS rouge1_r,
          CASE WHEN p.status = 'ok' THEN p2 END AS rouge2_p, CASE WHEN p.status = 'ok' THEN r2 END AS rouge2_r,
          CASE WHEN p.status = 'ok' THEN pl END AS rougeL_p, CASE WHEN p.status = 'ok' THEN rl END AS rougeL_r,
-         x.input_length, x.padded_length, x.seconds, x.model_input, x.reference, x.generated
+         x.model_id, x.input_length, x.padded_length, x.seconds, x.model_input, x.reference, x.generated
   FROM prf p JOIN preds2 x USING (system, article_id)),
 aggregates AS (
-  SELECT system AS model_name,
+  SELECT system AS model_name, max(model_id) AS model_id, '{EVALUATION_DATE}' AS evaluation_date,
          count(*) AS total_samples,
          count(*) FILTER (WHERE status = 'ok') AS successful_samples,
          count(*) - count(*) FILTER (WHERE status = 'ok') AS failed_samples,

@@ -49,7 +49,7 @@ def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType | Non
 
 
 # S2 / S3 / S4 -----------------------------------------------------------------
-def read_score_folders(spark: SparkSession, base: str, file_glob: str = "*.json") -> DataFrame:
+def read_score_folders(spark: SparkSession, base: str, file_glob: str = "aggregate_scores.json") -> DataFrame:
     """One aggregate-score JSON per system folder; ``folder`` from the path.
     Only files matching ``file_glob`` under ``base/<folder>/`` are read."""
     df = (spark.read.schema(AGGREGATE_SCHEMA).option("multiLine", True)
@@ -66,10 +66,6 @@ def missing_sources(expected: DataFrame, found: DataFrame, expected_col: str, fo
     return expected.join(f, expected_col, "left_anti")
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
 # S5-S8 ----------------------------------------------------------------------
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("quoteAll", True) \

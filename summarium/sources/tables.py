@@ -23,19 +23,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Stored bytes up to which a text table is dealt over all cores.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core rows of a small, CPU-heavy text table.
 
     A file of one row group is read by one task however it is split, and the
-    per-row text work (tokenising, scoring) then runs on one core.  When the
-    scan yields fewer partitions than the default parallelism the rows are
-    hash-partitioned on ``key`` (deterministic on retry, no sort).  A large
-    input already scans into many more partitions and is left as it is.
+    per-row text work (tokenising, scoring) then runs on one core.  A table of
+    at most ``SPREAD_BYTES`` (the planner's size of the scan) is
+    hash-partitioned on ``key`` (deterministic on retry, no sort); a larger one
+    is never shuffled, whatever the number of cores.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n, key)
-    return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 # ---------------------------------------------------------------------------
@@ -62,9 +66,11 @@ def _seed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("tk", words("text")).withColumn("pub_date", d)
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Seeded article view: (article_id, lang, category, pub_date, date,
-    headline, article, summary).  Every row has an article and a summary."""
+    headline, article, summary), or those of its columns that are named.
+    Every row has an article and a summary.  The view ends in a barrier that
+    column pruning does not cross, so callers name what they need."""
     base = _seed_frame(spark, sf_dir)
     d = F.col("pub_date")
     sum_date = F.when(F.col("doc_id") % 3 == 0,
@@ -79,7 +85,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, F.lit(" Rs crore"))
          .otherwise(F.lit(" Rs million")),
         F.lit(" on "), F.date_format(sum_date, DATE_TEXT_FORMAT), F.lit("."))
-    return as_table(base.select(
+    view = base.select(
         F.col("doc_id").alias("article_id"),
         "lang",
         F.col("source").alias("category"),
@@ -88,7 +94,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.slice("tk", 1, 6), " ").alias("headline"),
         article.alias("article"),
         summary.alias("summary"),
-    ))
+    )
+    return as_table(view.select(*columns) if columns else view)
 
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +121,7 @@ SYSTEMS = [
     ("Long-LED", "extractive/led-long-120", 1, 120),
     ("Mini-T5", "extractive/t5-mini-80", 30, 80),
 ]
+EVALUATION_DATE = "2025-01-01"   # of the stand-in run
 FAILING_SYSTEM = "Mini-T5"
 FAILING_MODULUS = 13
 
@@ -122,8 +130,3 @@ def systems(spark: SparkSession) -> DataFrame:
     """System registry: a fixed 5-row dimension (always broadcast)."""
     return spark.createDataFrame(
         SYSTEMS, "system string, model_id string, off int, len int")
-
-
-def candidate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.withColumn("tk", words("text"))

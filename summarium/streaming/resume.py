@@ -1,11 +1,10 @@
 """Incremental, resumable scoring with Structured Streaming.
 
-The ``predictions`` folder is the stream source.  Each micro-batch drops the
-(system, article_id) pairs already present in the ``scores`` table (anti
-join), scores the rest and appends them partitioned by system.  The stream
-checkpoint records which files were consumed, and the anti join makes a
-retried batch idempotent, so a run can stop at any point and resume with
-every pair scored exactly once.
+The ``predictions`` folder is the stream source; the checkpoint records which files
+were consumed.  Each micro-batch is written under its own epoch number and
+overwrites it, so a batch that is retried after a failure replaces what it wrote
+before: every file is scored exactly once without reading the scores back.  Pairs that an
+earlier run scored may be given as ``previous`` and are left out by one anti join a batch.
 """
 
 from __future__ import annotations
@@ -30,20 +29,23 @@ def read_scores(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def score_stream(spark: SparkSession, predictions_path: str, scores_path: str,
-                 checkpoint_path: str, max_files_per_trigger: int = 1,
-                 use_stemmer: bool = True) -> DataFrame:
+                 checkpoint_path: str, max_files_per_trigger: int = 16,
+                 use_stemmer: bool = True, previous: DataFrame | None = None) -> DataFrame:
     """Run the stream until the folder is drained (``availableNow``) and
-    return the scores table."""
+    return the scores table, partitioned by epoch and system."""
     pschema = spark.read.parquet(predictions_path).schema
     sschema = scores_schema(spark, pschema)
-    # make sure the table exists so every batch can read it
-    spark.createDataFrame([], sschema).write.mode("append").partitionBy("system").parquet(scores_path)
+    # an empty epoch, so that the table can be read before the first batch
+    (spark.createDataFrame([], sschema).write.mode("overwrite").partitionBy("system")
+          .parquet(f"{scores_path}/epoch=-1"))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        done = read_scores(spark, scores_path, sschema)
-        todo = resume_todo(df, done).withColumn("run_id", F.lit(f"stream-{epoch_id}"))
-        new = score_predictions(todo, use_stemmer=use_stemmer).select(*SCORE_COLUMNS)
-        new.write.mode("append").partitionBy("system").parquet(scores_path)
+        todo = df.dropDuplicates(["system", "article_id"])
+        if previous is not None:
+            todo = resume_todo(todo, previous)
+        new = score_predictions(todo.withColumn("run_id", F.lit(f"stream-{epoch_id}")),
+                                use_stemmer=use_stemmer).select(*SCORE_COLUMNS)
+        new.write.mode("overwrite").partitionBy("system").parquet(f"{scores_path}/epoch={epoch_id}")
 
     q = (spark.readStream.schema(pschema)
               .option("maxFilesPerTrigger", max_files_per_trigger)

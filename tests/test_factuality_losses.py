@@ -69,3 +69,32 @@ def test_tfidf_cosine(spark):
     assert abs(got[1] - 1.0) < 1e-12 and got[2] == 0.0 and got[3] == 0.0
     w = {r["tok"]: r["idf"] for r in idf.collect()}
     assert w["the"] < w["cat"]                    # common tokens weigh less
+
+
+def test_gazetteer_size_does_not_change_the_mentions(spark):
+    """A list and tables of 3 and 20,000 terms find the same mentions: every type of a
+    term, terms of five words, equal texts and rows without a key."""
+    small = [("ORG", "bank of the united states"), ("GPE", "springfield"), ("PERSON", "Springfield")]
+    large = small + [("ORG", f"filler{i} term{i % 7}") for i in range(20_000)]
+    text = "The Bank of the United States met in Springfield, springfield on 12/05/2020."
+    df = spark.createDataFrame([(text,), (text,), (None,), ("",), ("nothing here",)], "t string")
+    schema = "ent_type string, term string"
+    for distinct in (False, True):
+        got = [sorted(map(repr, (r["e"] for r in FX.with_entities(df, "t", "e", g, distinct).collect())))
+               for g in (small, spark.createDataFrame(small, schema), spark.createDataFrame(large, schema))]
+        assert got[0] == got[1] == got[2]
+    ents = [tuple(e) for e in FX.with_entities(df.limit(1), "t", "e", spark.createDataFrame(large, schema)).first()["e"]]
+    assert ents == [("GPE", "Springfield"), ("PERSON", "Springfield"), ("GPE", "springfield"),
+                    ("PERSON", "springfield"), ("ORG", "Bank of the United States"),
+                    ("DATE", "12/05/2020"), ("DATE", "2020")]
+    scored = FX.factuality_scores(spark.createDataFrame([(1, text, text)], "id int, summary string, source string"),
+                                  gazetteer=spark.createDataFrame(large, schema)).first()
+    assert scored["entity"] == 1.0 and scored["n_summary_entities"] == 7
+
+
+def test_semantic_loss_of_empty_text_and_missing_vectors(spark):
+    df = spark.createDataFrame([("a b", ""), ("a b", None), ("", "a"), ("a b", "a b"), ("a", "b")], "s string, g string")
+    loss = [round(r["l"], 9) for r in df.select(LS.semantic_loss("s", "g").alias("l")).collect()]
+    assert loss == [0.0, 0.0, 0.0, 0.0, 1.0]
+    v = spark.createDataFrame([([1.0], None), (None, [1.0])], "a array<double>, b array<double>")
+    assert [r["c"] for r in v.select(FX.dense_cosine("a", "b").alias("c")).collect()] == [None, None]

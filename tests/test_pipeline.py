@@ -16,8 +16,9 @@ e8_threshold e9_terms e9_terms_word e10_lexicon_loss e11_drop_report e12_halluci
 e14_stage_weights e15_step_log e16_epoch_means e17_system_factuality e18_masked_errors a1_rouge_stats
 a2_success a3_failures a4_padding_overhead a5_throughput a6_resume a9_sweep s3_missing l1_l2_project
 l3_l4_rank l5_medal l6_selected l7_best l8_totals l9_summary l10_domain_shift l11_extremes
-l12_phase_compare l13_size_pair""".split()
-ROWS_ONLY = "m2_stem a7_stream a8_run_summary s1_csv s2_json s4_empty s5_csv_sink s6_json_sink s7_append s8_ignore p2_headers".split()
+l12_phase_compare l13_size_pair s1_csv p2_headers s2_json s5_csv_sink s6_json_sink s7_append s8_ignore
+a7_stream a8_run_summary i8_pairs p13_write p13_split_n500 p11_profile_n500""".split()
+ROWS_ONLY = "m2_stem m2_rouge_stemmed s4_empty".split()
 
 
 def test_contract_names():
