@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.barrier import materialize
+from ..functions.barrier import materialize, staged
 from ..functions.dates import date_match_parts, date_mentions, mentions_from_parts
 from ..functions.kernels import gazetteer_udf, tf_cosine_udf
 from ..functions.lexicon import ENTITY_TOKEN, GAZETTEER
@@ -144,51 +144,50 @@ def tf_cosine(a_text, b_text, a_chars: int | None = None, b_chars: int | None =
     return tf_cosine_udf(rouge_tokens(a), rouge_tokens(b))
 
 
-def idf_table(corpus: DataFrame, text: str) -> DataFrame:
-    """``(tok, idf)`` over a corpus: smooth idf = ln((1 + N) / (1 + df)) + 1.
+def term_counts(pairs: DataFrame, key: str, a_text: str, b_text: str) -> DataFrame:
+    """``(key, tok, ta, tb)``: how often each token stands in the two texts of a
+    pair.  A pair without tokens keeps one row with a null token."""
+    toks = pairs.select(key, F.explode_outer(F.concat(
+        F.transform(rouge_tokens(F.coalesce(col_(a_text), F.lit(""))),
+                    lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))),
+        F.transform(rouge_tokens(F.coalesce(col_(b_text), F.lit(""))),
+                    lambda t: F.struct(t.alias("tok"), F.lit(2).alias("side")))))
+        .alias("_e")).select(key, "_e.tok", "_e.side")
+    return toks.groupBy(key, "tok").agg(F.count_if(F.col("side") == 1).alias("ta"),
+                                        F.count_if(F.col("side") == 2).alias("tb"))
 
-    Each document contributes its distinct tokens; counts combine map-side,
-    so a token present in every document is one row per map partition.
-    """
-    toks = corpus.select(F.array_distinct(rouge_tokens(text)).alias("_t"))
-    dfreq = (toks.select(F.explode_outer("_t").alias("tok")).filter(F.col("tok").isNotNull())
-                 .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
-    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
-    return (dfreq.crossJoin(F.broadcast(n))
-                 .select("tok", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
-
-
-def tfidf_cosine(pairs: DataFrame, key: str, a_text: str, b_text: str,
-                 idf: DataFrame) -> DataFrame:
-    """``(key, tfidf_cosine)`` of the two texts of each pair (0 when a side
-    has no tokens).
-
-    Unlike the TF cosine this needs a corpus statistic per token, so it is a
-    join: tokens of both sides are exploded with their pair key, counted per
-    (pair, token), joined to the idf table on the token (AQE broadcasts it
-    when it is small and splits skewed token partitions otherwise) and summed
-    per pair.  Pairs without tokens are restored by a left join.
+
+def idf_table(counts: DataFrame, n_docs: int) -> DataFrame:
+    """``(tok, idf)`` over the second texts of ``term_counts``: smooth
+    idf = ln((1 + N) / (1 + df)) + 1.  Counts combine map-side, so a token
+    present in every document is one row per map partition."""
+    df = (counts.filter(F.col("tok").isNotNull()).groupBy("tok")
+                .agg(F.count_if(F.col("tb") > 0).alias("df")))
+    return (df.filter(F.col("df") > 0)
+              .select("tok", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
+
+
+def tfidf_cosine(pairs: DataFrame, key: str, a_text: str, b_text: str) -> DataFrame:
+    """``(key, tfidf_cosine)`` of the two texts of each pair, with the idf of the
+    second texts (0 when a side has no tokens of the corpus).
+
+    The pairs are read and tokenised once: the token counts are staged, and both
+    the idf table and the sums come from them.  The idf table is staged too, so
+    the join of the two is a broadcast below the session's threshold and otherwise
+    a join of two plain exchanges, in which a token of very many pairs is split.
     """
-    # all tokens of a pair come out of one row: hash-partition the pairs by
-    # key first, so the per-(pair, token) and per-pair aggregations below need
-    # no further exchange (Spark reuses an existing matching partitioning)
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pairs.repartition(n, key)
-    toks = keyed.select(key, F.explode_outer(F.concat(
-        F.transform(rouge_tokens(a_text), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))),
-        F.transform(rouge_tokens(b_text), lambda t: F.struct(t.alias("tok"), F.lit(2).alias("side")))))
-        .alias("_e")).select(key, "_e.tok", "_e.side")
-    tf = (toks.filter(F.col("tok").isNotNull())
-              .groupBy(key, "tok").agg(F.count_if(F.col("side") == 1).alias("ta"),
-                                       F.count_if(F.col("side") == 2).alias("tb")))
-    w = tf.join(idf, "tok")
+    counts = staged(term_counts(pairs, key, a_text, b_text), "term-counts")
+    n = counts.select(F.countDistinct(key)).first()[0]
+    idf = staged(idf_table(counts, n), "idf")
+    w = counts.join(idf, "tok", "left")   # tokens that no second text has weigh nothing
+    x = F.col("idf")
     sums = w.groupBy(key).agg(
-        F.sum(F.col("ta") * F.col("tb") * F.col("idf") * F.col("idf")).alias("_dot"),
-        F.sum(F.pow(F.col("ta") * F.col("idf"), 2)).alias("_na"),
-        F.sum(F.pow(F.col("tb") * F.col("idf"), 2)).alias("_nb"))
+        F.sum(F.col("ta") * F.col("tb") * x * x).alias("_dot"),
+        F.sum(F.pow(F.col("ta") * x, 2)).alias("_na"),
+        F.sum(F.pow(F.col("tb") * x, 2)).alias("_nb"))
     cos = F.when((F.coalesce("_na", F.lit(0.0)) > 0) & (F.coalesce("_nb", F.lit(0.0)) > 0),
                  F.col("_dot") / (F.sqrt("_na") * F.sqrt("_nb"))).otherwise(F.lit(0.0))
-    return pairs.select(key).join(sums, key, "left").select(key, cos.alias("tfidf_cosine"))
+    return sums.select(key, cos.alias("tfidf_cosine"))
 
 
 # E7 / E8 --------------------------------------------------------------------

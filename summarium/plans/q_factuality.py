@@ -195,8 +195,7 @@ SELECT a.article_id AS pair_id,
 FROM articles a LEFT JOIN sums s USING (article_id)"""))
 def e6_tfidf_cosine(spark, sf):
     a = I.articles(spark, sf, "article_id", "article", "summary")
-    idf = FX.idf_table(a, "article")
-    r = FX.tfidf_cosine(a, "article_id", "summary", "article", idf)
+    r = FX.tfidf_cosine(a, "article_id", "summary", "article")
     return r.select(F.col("article_id").alias("pair_id"), F.round("tfidf_cosine", 6).alias("tfidf_cosine"))
 
 

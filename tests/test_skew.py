@@ -35,3 +35,21 @@ def test_dedup_with_a_text_copied_into_a_third_of_rows(spark):
     assert (hot["id"], hot["copies"]) == (0, n // 3)
     plan = C.dedup_keep_first(df, ["t"], "id")._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan                    # map-side combine before the shuffle
+
+
+def test_tfidf_with_a_token_in_every_pair_and_no_broadcast(spark):
+    from summarium.operators import factuality as FX
+    n = 2000
+    df = spark.range(n).select(F.col("id"), F.concat(F.lit("the the w"), F.col("id")).alias("a"),
+                               F.concat(F.lit("the w"), F.col("id") % 50).alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = {r["id"]: r["tfidf_cosine"] for r in FX.tfidf_cosine(df, "id", "a", "b").collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = FX.tfidf_cosine(df, "id", "a", "b")
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["tfidf_cosine"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == n and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert got[7] > got[1007] > 0      # w7 is shared, w1007 is not in any second text
