@@ -14,7 +14,8 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100
    than it.  A partner must stand in at least T of the query's lists.  DivideSkip sets
    the L longest lists aside, merges the short ones through a heap, keeps what occurs
    T - L times there, and probes the long lists by binary search.  Blocks beyond
-   ``TASK_SHINGLES`` are cut in chunks, and pairs of chunks are tasks of their own.
+   ``TASK_SHINGLES`` are cut by size and then by name into chunks, and pairs of chunks that
+   links can join are searched on their own.
 3. Components of the links.
 
 Scale: equal sets collapse to one name (64-bit) before any search, first within each
@@ -296,13 +297,11 @@ def _search(percent: int, k: int):
     """Of one task's blocks: (name, root, n_links) for every set of the task."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, block in rows.groupby("block", sort=False):
+        for _, block in rows.groupby("group", sort=False):
             block = block.drop_duplicates("name")
             names = block["name"].to_numpy(np.int64)
             copies = block["copies"].to_numpy(np.int64)
-            chunk, left = block["chunk"].to_numpy(), block["left"].to_numpy()
-            right = block["right"].to_numpy()
-            crossing = chunk == right if left[0] != right[0] else None
+            crossing = block["side"].to_numpy() if block["cross"].iat[0] else None
             parent = np.arange(len(names))
 
             def find(x):
@@ -413,34 +412,73 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
 def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows repeated in id and text leave a batch once."""
     for rows in batches:
-        yield rows.drop_duplicates(["task", "name"])
+        yield rows.drop_duplicates(["group", "name"])
+
+
+def _subtasks(members: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """``members`` once for every search it takes part in: (group, cross, side).
+
+    A block of at most ``task_shingles`` is one group.  A larger one is cut into bands
+    of sizes that a link spans at most two of, and a band into chunks by name; a group is
+    a chunk, two chunks of a band, or a chunk of a band and one of the next, of which
+    only the links between the two (``cross``) are looked for."""
+    width = F.log(F.lit(100 / percent * 1.003))   # wider than a link reaches
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    weight = members.groupBy("block").agg(F.sum("n").alias("shingles"))
+    large = F.col("shingles") > task_shingles
+    sized = banded.join(weight, "block")
+    small = sized.where(~large).select(
+        "name", "bearer", "block", "copies", "n", F.col("block").alias("group"),
+        F.lit(False).alias("cross"), F.lit(0).alias("side"))
+    cut = sized.where(large)
+    units = cut.groupBy("block", "band").agg(
+        F.ceil(F.sum("n") / F.lit(task_shingles)).cast("int").alias("chunks"))
+
+    def neighbour(step: int, name: str) -> DataFrame:
+        return units.select("block", (F.col("band") - step).alias("band"), F.col("chunks").alias(name))
+
+    told = (cut.join(units, ["block", "band"])
+               .join(neighbour(1, "above"), ["block", "band"], "left")
+               .join(neighbour(-1, "below"), ["block", "band"], "left")
+               .withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")))
+
+    def upto(c: str):
+        return F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(
+            F.array().cast("array<int>"))
+
+    def group(band, first, second, kind):
+        return F.xxhash64("block", band, first, second, F.lit(kind))
+
+    me, band = F.col("chunk"), F.col("band")
+    inside = F.transform(upto("chunks"), lambda j: F.struct(
+        group(band, F.least(me, j), F.greatest(me, j), 0).alias("group"), (j != me).alias("cross"),
+        (me > j).cast("int").alias("side")))
+    up = F.transform(upto("above"), lambda j: F.struct(
+        group(band, me, j, 1).alias("group"), F.lit(True).alias("cross"), F.lit(0).alias("side")))
+    down = F.transform(upto("below"), lambda j: F.struct(
+        group(band - 1, j, me, 1).alias("group"), F.lit(True).alias("cross"), F.lit(1).alias("side")))
+    return small.unionByName(
+        told.select("name", "bearer", "block", "copies", "n", F.explode(F.concat(inside, up, down)).alias("g"))
+            .select("name", "bearer", "block", "copies", "n", "g.*"))
 
 
 def _search_blocks(rows: DataFrame, members: DataFrame, percent: int, k: int,
                    task_shingles: int) -> DataFrame:
-    """(name, root, n_links) of every member of a block, from each task it was in."""
-    weight = members.groupBy("block").agg(F.sum("n").alias("shingles"))
-    n_members, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_tasks = max(1, int(total) // task_shingles + 1)
-    chunks = F.ceil(F.col("shingles") / F.lit(task_shingles)).cast("int")
-    cut = (members.join(weight, "block").withColumn("chunks", chunks)
-                  .withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
-                  .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-                  .withColumn("left", F.least("chunk", "mate")).withColumn("right", F.greatest("chunk", "mate"))
-                  # small blocks share tasks; a task of a large block is one pair of chunks
-                  .withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(n_tasks)))
-                              .otherwise(F.xxhash64("block", "left", "right")))
-                  .select(F.col("bearer.doc_id").alias("b_id"), F.col("bearer.th").alias("b_th"),
-                          "name", "block", "copies", "chunk", "left", "right", "task"))
-    cut = staged(cut, "block-tasks")
+    """(name, root, n_links) of every member of a block, from each group it was in."""
+    cut = staged(_subtasks(members, percent, task_shingles).select(
+        F.col("bearer.doc_id").alias("b_id"), F.col("bearer.th").alias("b_th"),
+        "name", "copies", "n", "group", "cross", "side"), "block-groups")
+    total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # groups share tasks of about task_shingles
+    cut = cut.drop("n").withColumn(
+        "task", F.pmod(F.xxhash64("group"), F.lit(max(1, int(total) // task_shingles + 1))))
     # the scan keeps the members' texts (their keys are broadcast while they are few);
     # only those texts are shuffled to their tasks
-    keys = cut.select("b_id", "b_th").distinct()
-    few = n_members <= BROADCAST_MEMBERS
+    keys = members.select(F.col("bearer.doc_id").alias("b_id"), F.col("bearer.th").alias("b_th"))
+    few = members.count() <= BROADCAST_MEMBERS
     bears = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th"))
     own = rows.join(F.broadcast(keys) if few else keys, bears, "left_semi")
-    texts = own.join(cut, bears).select(
-        "task", "block", "name", "copies", "chunk", "left", "right", "text")
+    texts = own.join(cut, bears).select("task", "group", "name", "copies", "cross", "side", "text")
     found = (texts.mapInPandas(_once, texts.schema).groupBy("task")
                   .applyInPandas(_search(percent, k), "name long, root long, n_links long"))
     return staged(found, "block-links")
