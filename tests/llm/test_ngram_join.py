@@ -56,10 +56,10 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_matches_brute_force(make_docs, seed):
+@pytest.mark.parametrize("seed, task_shingles", [(0, J.TASK_SHINGLES), (1, 100), (2, 1)])
+def test_matches_brute_force(make_docs, seed, task_shingles):
     rows = corpus(seed)
-    assert result(J.linked_documents(make_docs(rows))) == brute(rows)
+    assert result(J.linked_documents(make_docs(rows), task_shingles=task_shingles)) == brute(rows)
 
 
 def test_large_block_is_cut_in_chunks(make_docs):
