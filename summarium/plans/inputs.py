@@ -21,8 +21,11 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw_articles(spark, sf_dir)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Candidates of every system for all articles, or for the ids of ``only``."""
     a = articles(spark, sf_dir, "article_id", "article", "summary")
+    if only is not None:
+        a = a.join(only.select("article_id"), "article_id", "left_semi")
     return evaluate.build_predictions(a, T.systems(spark), T.FAILING_SYSTEM,
                                       T.FAILING_MODULUS)
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from . import inputs as I
 from .registry import register
+from .q_corpus import _splits, clean_sql
 from .sql_inputs import PREDS, SEED, rtok, with_
 from ..functions.text import rouge_tokens
+from ..operators import corpus as C
 from ..operators import evaluate
+from ..sources.tables import EVALUATION_DATE
 
 
 @register("m1_tokens", with_(SEED, f"""
@@ -98,6 +101,20 @@ def a9_sweep(spark, sf):
     return I.aggregates(spark, sf)
 
 
+# The evaluation reads the capped test split of the prepared corpus.
+_CAPPED = PREDS.removeprefix(SEED).replace("FROM articles a CROSS JOIN systems s", f"""
+  FROM (SELECT * FROM articles JOIN (SELECT article_id FROM splits
+        WHERE split = 'test' AND split_pos <= {C.TEST_CAP}) USING (article_id)) a CROSS JOIN systems s""")
+
+
+@register("a9_test_cap", with_(clean_sql() + _CAPPED, "SELECT * FROM aggregates"))
+def a9_test_cap(spark, sf):
+    """The sweep over the capped test split."""
+    preds = I.predictions(spark, sf, only=C.test_cap(_splits(spark, sf)))
+    return evaluate.system_aggregates(evaluate.score_predictions(preds, use_stemmer=False),
+                                      evaluation_date=EVALUATION_DATE)
+
+
 @register("m2_stem")
 def m2_stem(spark, sf):
     """Distinct words of the reference summaries and of the candidates, with
