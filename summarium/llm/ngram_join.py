@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by T-occurrence search with DivideSkip.
 
-A document is the set of its distinct 4-word shingles, as sorted 64-bit hashes.  Two
-documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100.
+A document is the set of its distinct word shingles (``SHINGLE`` words), as sorted 64-bit
+hashes.  Two documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100.
 
 1. Blocks.  Sets whose similarity reaches the threshold differ in at most
    ``d = (|a| + |b|) * (100 - p) / (100 + p)`` shingles.  The hash range is cut into more
@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 from .common import row_key, staged
 from .components import connected_components
 
-SHINGLE = 4
-PERCENT = 85
+SHINGLE = 5
+PERCENT = 80
 #: Shingles that one search task holds in each of its two chunks.
 TASK_SHINGLES = 1 << 19
 #: Block members up to which their keys are broadcast to the scan (about 40 MB).

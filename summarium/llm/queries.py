@@ -40,7 +40,7 @@ def op1(spark, sf_dir):
 @query("op2_ngram_join")
 def op2(spark, sf_dir):
     """Jaccard links of 4-word shingle sets, as components."""
-    return ngram_join.linked_documents(read_table(spark, sf_dir, "documents"))
+    return ngram_join.linked_documents(read_table(spark, sf_dir, "documents"), percent=85, k=4)
 
 
 @query("op3_html_mincut")

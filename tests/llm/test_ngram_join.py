@@ -7,6 +7,8 @@ import pytest
 
 from summarium.llm import ngram_join as J
 
+CONTRACT = {"k": 4, "percent": 85}
+
 
 def brute(rows):
     """{position: (n_shingles, smallest reachable id, links)} by comparing all pairs."""
@@ -59,7 +61,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("seed, task_shingles", [(0, J.TASK_SHINGLES), (1, 100), (2, 1)])
 def test_matches_brute_force(make_docs, seed, task_shingles):
     rows = corpus(seed)
-    assert result(J.linked_documents(make_docs(rows), task_shingles=task_shingles)) == brute(rows)
+    assert result(J.linked_documents(make_docs(rows), task_shingles=task_shingles, **CONTRACT)) == brute(rows)
 
 
 def test_large_block_is_cut_in_chunks(make_docs):
@@ -70,7 +72,7 @@ def test_large_block_is_cut_in_chunks(make_docs):
         w = list(base)
         w[rnd.randrange(80)] = f"e{i}"
         rows.append((i, " ".join(w)))
-    assert result(J.linked_documents(make_docs(rows), task_shingles=600)) == brute(rows)
+    assert result(J.linked_documents(make_docs(rows), task_shingles=600, **CONTRACT)) == brute(rows)
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -105,7 +107,7 @@ def test_signatures_lose_no_link(seed):
         a = np.unique(np.array(common + [rnd.getrandbits(64) for _ in range(x)], np.uint64))
         b = np.unique(np.array(common + [rnd.getrandbits(64) for _ in range(spare - x)], np.uint64))
         assert 100 * n >= 85 * (n + spare)
-        assert set(J.signatures(a).tolist()) & set(J.signatures(b).tolist())
+        assert set(J.signatures(a, 85).tolist()) & set(J.signatures(b, 85).tolist())
 
 
 def test_heap_and_counting_merge_alike(monkeypatch):
