@@ -4,9 +4,11 @@ A document is the set of its distinct word shingles (``SHINGLE`` words), as sort
 hashes.  Two documents link when their sets' Jaccard similarity is at least ``PERCENT`` / 100.
 
 1. Blocks.  Sets whose similarity reaches the threshold differ in at most
-   ``d = (|a| + |b|) * (100 - p) / (100 + p)`` shingles.  The hash range is cut into more
-   than ``d`` parts, so linked sets agree in a whole part: equal part signatures make
-   an edge, and the connected components of these edges are blocks that no link leaves.
+   ``d = (|a| + |b|) * (100 - p) / (100 + p)`` shingles.  The hash range is cut into so many
+   parts that linked sets agree in a whole part (for small sets more than ``d``; for large
+   ones the bound ``MISS`` of the chance that they do not is 1e-10, in the order of the
+   64-bit names): equal part signatures make an edge, and the connected components of
+   these edges are blocks that no link leaves.
    Sets are cut by size class (and again for pairs astride two classes), so both of a
    pair use the same cut.  There are spare parts, so that parts of one or two shingles,
    which texts with a passage in common often share, need not be signed.
@@ -58,7 +60,9 @@ BROADCAST_MEMBERS = 500_000
 #: Cost of probing against merging in DivideSkip's choice of L.
 MU = 0.5
 #: Parts of fewer shingles are not signed while spare parts make up for them.
-STRONG = 4
+STRONG = 5
+#: Bound on the chance that a linked pair of large sets agrees in no signed part.
+MISS = 1e-10
 #: Sizes up to which the size classes are narrow.
 FINE = 64
 #: Lists with fewer entries in all are merged by a heap; beyond, by counting.
@@ -125,6 +129,24 @@ def _borders(percent: int) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _parts(d: int) -> tuple[int, int]:
+    """(parts, spare) of a cut for sets that differ in at most d shingles.
+
+    More than d parts cannot all be hit.  Fewer parts hold more shingles each, and the
+    hash throws the d differences into them at random: the chance that all but the
+    spare ones are hit is at most (1 - (1 - 1/parts)^d)^(parts - spare), as hits of
+    different parts are negatively associated.  The fewest parts that keep it below
+    ``MISS`` are taken where they are fewer than d + 1 and the spare ones."""
+    spare = (1 if d else 0) + d // 8
+    sure = d + 1 + spare
+    for parts in range(max(2, d // 4), sure):
+        hit = 1 - (1 - 1 / parts) ** d
+        if (parts - parts // 8) * math.log(hit) <= math.log(MISS):
+            return parts, parts // 8
+    return sure, spare
+
+
 @lru_cache(maxsize=1 << 16)
 def _cuts(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     """(tag, parts, spare) of the cuts in which a set of size n signs: one for pairs
@@ -134,9 +156,7 @@ def _cuts(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     out = []
 
     def cut(tag: int, a: int, b: int) -> None:
-        d = (a + b) * (100 - percent) // (100 + percent)
-        spare = (1 if d else 0) + d // 8
-        out.append((tag, d + 1 + spare, spare))
+        out.append((tag, *_parts((a + b) * (100 - percent) // (100 + percent))))
 
     i = bisect.bisect_left(borders, n)
     cut(2 * i, borders[i], borders[i])
@@ -154,7 +174,7 @@ def _cuts(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
 def signatures(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Part signatures of a sorted shingle set.
 
-    At most ``d`` parts of a linked pair differ, so ``spare + 1`` or more agree.  A set
+    Of the parts of a linked pair ``spare + 1`` or more agree.  A set
     leaves out its parts of fewer than t shingles for the largest t up to ``STRONG``
     that leaves out ``spare`` of them at most; an agreeing part that the larger t of
     the two lets stand is then signed by both."""

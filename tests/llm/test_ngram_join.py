@@ -100,7 +100,7 @@ def test_signatures_lose_no_link(seed):
     """Any two sets at the threshold share a part signature."""
     rnd = random.Random(seed)
     for _ in range(60):
-        n = rnd.choice([1, 2, 3, 5, 6, 7, 8, 13, 16, 17, 31, 40, 64, 65, 100, 300])
+        n = rnd.choice([1, 2, 3, 5, 6, 7, 8, 13, 16, 17, 31, 40, 64, 65, 100, 300, 900, 2500])
         common = [rnd.getrandbits(64) for _ in range(n)]
         spare = int(n / 0.85) - n
         x = rnd.randint(0, spare)
