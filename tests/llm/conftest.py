@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
