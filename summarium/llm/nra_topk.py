@@ -1,9 +1,9 @@
 """Exact top-k by inner product with the no-random-access algorithm.
 
 Candidates are dealt into blocks of bounded size; a block keeps, for every component, its
-values in sorted order.  For a query the lists are read sequentially, each from the
-end its weight favours and in depths that double; a batch of queries reads them together, so
-the sums of what was read are matrix products.  A row seen in some lists has a lower
+values in sorted order.  The lists are not read entry by entry: a batch of queries scores the
+block densely, and at depths that double the frontier of every list, from the end its weight
+favours, gives the bounds as matrix products over all rows.  A row seen in some lists has a lower
 bound (what was read plus the worst the unread lists can still give it) and an upper bound
 (what was read plus the frontier of the unread lists).  Reading stops when no row outside the
 best k lower bounds can reach the k-th of them and only few rows are left, which then get
