@@ -1,4 +1,4 @@
-"""Training-data operators: ten document-level operators and their queries.
+"""Training-data operators: thirteen operators and their queries.
 
 Nothing else in the package imports this subpackage.  ``queries.QUERIES`` and
 ``queries.ORACLES`` hold the registered queries and their SQL.

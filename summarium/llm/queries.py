@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (collinear, html_mincut, license_votes, ngram_join, nra_topk, poisson_mix,
-               quality_fm, secret_lex, spaced_seeds, sql, virtual_slots)
+from . import (collinear, harmonic_packing, html_mincut, level_products, license_votes,
+               ngram_join, nra_topk, poisson_mix, position_index, quality_fm, secret_lex, spaced_seeds, sql, virtual_slots)
 from .common import read_table, ready
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,24 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """The five best inner products for every fiftieth vector."""
     return nra_topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_level_products")
+def op11(spark, sf_dir):
+    """Divergence of the sources of each language, and the terms that mark a source."""
+    return level_products.divergence(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_harmonic_packing")
+def op12(spark, sf_dir):
+    """All documents as pieces of sequences of 2,048 tokens."""
+    import public_tokenizers
+
+    return harmonic_packing.pack(read_table(spark, sf_dir, "documents"),
+                                 public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_position_index")
+def op13(spark, sf_dir):
+    """Words of the corpus with their near words, forms and roots."""
+    return position_index.spelling_variants(read_table(spark, sf_dir, "documents"))

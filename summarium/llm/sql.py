@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import level_products as lv
 from . import license_votes as lic
 from . import poisson_mix as mix
 from . import spaced_seeds as seeds
@@ -128,3 +129,40 @@ SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words,
        coalesce(max(share), 0.0) AS score
 FROM d LEFT JOIN ok ON d.r = ok.r GROUP BY d.r, d.doc_id
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES["op11_level_products"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term
+         HAVING count(DISTINCT r) >= {lv.MIN_DOCS}),
+l AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT d.lang, d.source, coalesce(any_value(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) d
+  LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL) c USING (lang, source)
+  GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS held,
+         1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * l.v) AS p,
+         1 + (1000000000 * (k.total + 2)) // (l.n + 2 * l.v) AS q
+  FROM g JOIN l USING (lang) JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM cell WHERE held > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {lv.TOP_TERMS}
+"""
