@@ -21,8 +21,8 @@ hashes.  Two documents link when their sets' Jaccard similarity is at least ``PE
 3. Components of the links.
 
 Scale: equal sets collapse to one name (64-bit) before any search, first within each
-Arrow batch; a signature leaves a batch once, whatever number of its documents bear it, so a
-signature of very many documents is pre-aggregated.  Texts move only for members of a
+slice of ``EMIT_ROWS`` documents; a signature leaves a slice once, whatever number of its
+documents bear it, so a signature of very many documents is pre-aggregated.  Texts move only for members of a
 block.  Link counts are made inside the tasks; no pair is emitted.
 
 Defined cases: words are runs without ASCII white space, A-Z lower-cased; texts of fewer
@@ -65,6 +65,8 @@ STRONG = 5
 MISS = 1e-10
 #: Sizes up to which the size classes are narrow.
 FINE = 64
+#: Documents that are signed together.
+EMIT_ROWS = 1024
 #: Lists with fewer entries in all are merged by a heap; beyond, by counting.
 HEAP_ENTRIES = 128
 
@@ -80,10 +82,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHash(dict):
-    """Word to 64-bit hash; forgets all when it holds too many (some 40 MB)."""
+    """Word to 64-bit hash; forgets all when it holds too many (some 20 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
+        if len(self) >= 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -217,8 +219,16 @@ def _emit(percent: int, k: int):
         return pa.RecordBatch.from_arrays(
             [given[c] if c in given else pa.nulls(rows, pa.int64()) for c in columns], names=columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for at in range(0, batch.num_rows, EMIT_ROWS):
+                yield batch.slice(at, EMIT_ROWS)
+        # a worker lives on after its task: give back what it held
+        _WORDS.clear()
+        pa.default_memory_pool().release_unused()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             texts = batch.column(2)
             sizes, names = [], []
             known: dict[int, np.ndarray] = {}
@@ -341,6 +351,7 @@ def _search(percent: int, k: int):
                         parent[b] = a
             out.append(pd.DataFrame({"name": names, "root": names[[find(i) for i in range(len(names))]],
                                      "n_links": links}))
+        _WORDS.clear()
         return pd.concat(out)
     return run
 
@@ -431,8 +442,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
 
 def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows repeated in id and text leave a batch once."""
-    for rows in batches:
-        yield rows.drop_duplicates(["group", "name"])
+    for batch in batches:
+        for at in range(0, len(batch), EMIT_ROWS):
+            yield batch.iloc[at:at + EMIT_ROWS].drop_duplicates(["group", "name"])
 
 
 def _subtasks(members: DataFrame, percent: int, task_shingles: int) -> DataFrame:

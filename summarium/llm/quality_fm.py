@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def _share_bin(x: float) -> int:
 
 
 _BUCKET: dict[str, int] = {}
-_CACHE = 500_000
+_CACHE = 120_000
 
 
 def _bucket(word: str) -> int:
@@ -167,7 +168,15 @@ class Machine:
                     part = []
             out.append(self.score(part))
             return pd.Series(np.concatenate(out))
-        return F.pandas_udf(batch, "double")(text, *[m.cast("double") for m in metadata])
+
+        def run(batches):
+            for columns in batches:
+                yield batch(*columns) if isinstance(columns, tuple) else batch(columns)
+            # a worker lives on after its task: give back what it held
+            _BUCKET.clear()
+            pa.default_memory_pool().release_unused()
+        return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(
+            text, *[m.cast("double") for m in metadata])
 
 
 def held_out(key: str = "doc_id", folds: int = 5) -> Column:
