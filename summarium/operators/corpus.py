@@ -42,14 +42,21 @@ TARGET_PROFILE = [  # metric, target, tolerance (strict <), exact-match flag
 SPLIT_FRACTIONS = (0.90, 0.05)          # train, val; test takes the rest
 SMALL_HEADS = {"train": 1000, "val": 200, "test": 200}
 SAMPLE_SEED = 42
+#: Hex digits of a sample key that one level of the selection looks at, and the rows of a
+#: bucket that are sorted to cut it.
+SAMPLE_DIGITS = 3
+SAMPLE_CUT = 10_000
 TEST_CAP = 200
 
 
 # P1 -------------------------------------------------------------------------
 def content_hash(cols: list[str]) -> Column:
-    """SHA-256 over the content columns (sorted by name); null and '' stay distinct."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in sorted(cols)]
-    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+    """SHA-256 over the content columns (sorted by name), each led by its length: no two
+    different contents make the same text, and null and '' stay distinct."""
+    def part(c: str) -> Column:
+        v = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("n"))
+    return F.sha2(F.concat(*[part(c) for c in sorted(cols)]), 256)
 
 
 def dedup_keep_first(df: DataFrame, content_cols: list[str], id_col: str) -> DataFrame:
@@ -285,13 +292,46 @@ def category_profile(df: DataFrame, by: str = "category") -> DataFrame:
 # P15 ------------------------------------------------------------------------
 def seeded_sample(df: DataFrame, n: int, id_col: str = "article_id", seed: int = SAMPLE_SEED) -> DataFrame:
     """n rows without replacement, deterministic for a seed: the first n in the
-    order of md5(seed:id), by a range-partitioned sort of (key, id), so that a
-    sample of any size never meets in one task.  ``sample_key`` is returned so
-    callers can reproduce the order."""
+    order of (md5(seed:id), id).  ``sample_key`` is returned so callers can reproduce
+    the order.
+
+    Bottom-k selection, without a sort of the table: a histogram of the first
+    ``SAMPLE_DIGITS`` digits of the key says in which bucket the n-th row is; rows of
+    lower buckets are taken as they come, and the bucket itself is cut in the same way by
+    its next digits, until what is left to cut is at most ``SAMPLE_CUT`` rows or all its
+    rows have one key.  The table is read once a level (each level divides a bucket by
+    4,096), only 4,096 counts a level reach the driver, and nothing is shuffled but counts
+    and the last few rows."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    order = [F.col("sample_key"), F.col(id_col)]
-    keys = global_positions(df.select(id_col, key.alias("sample_key")), order,
-                            [id_col, "sample_key"], "_pos").filter(F.col("_pos") <= n).drop("_pos")
+    keyed = df.select(id_col, key.alias("sample_key"))
+    prefix, left, size = "", n, None
+    taken = F.lit(False)                       # rows of buckets that are in whole
+    while left > 0 and (size is None or size > max(left, SAMPLE_CUT)) and len(prefix) < 32:
+        digits = len(prefix) + SAMPLE_DIGITS
+        bucket = F.substring("sample_key", 1, digits)
+        counts = sorted(keyed.filter(F.col("sample_key").startswith(prefix)).groupBy(bucket.alias("b"))
+                             .count().collect())
+        lower = None
+        for b, size in counts:
+            lower = b
+            if size >= left:
+                break
+            left -= size
+        if lower is None:                      # no rows
+            return _sampled(df, keyed.limit(0), id_col)
+        inside = F.col("sample_key").startswith(prefix)
+        taken = taken | (inside & (bucket < lower))
+        prefix = lower
+        if size < left:                        # fewer than n rows in all
+            break
+    whole = size is not None and size <= left
+    last = keyed.filter(F.col("sample_key").startswith(prefix))
+    if not whole:
+        last = last.orderBy("sample_key", id_col).limit(max(left, 0))
+    return _sampled(df, keyed.filter(taken).unionByName(last), id_col)
+
+
+def _sampled(df: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
     return keys if df.columns == [id_col] else df.join(keys, id_col)
 
 

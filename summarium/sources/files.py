@@ -79,9 +79,16 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     w.json(path)
 
 
-def append_partitioned(df: DataFrame, path: str, by: str = "system") -> None:
-    """Append rows to a parquet table partitioned by ``by``."""
-    df.write.mode("append").partitionBy(by).parquet(path)
+def append_partitioned(df: DataFrame, path: str, by: str = "system", part: str | None = None) -> None:
+    """Append rows to a parquet table partitioned by ``by``.
+
+    ``part`` names what is appended (a run, a batch): it becomes the first partition
+    column, and writing the same part again replaces it, so a retried append changes
+    nothing.  Without it every call adds its rows."""
+    if part is None:
+        df.write.mode("append").partitionBy(by).parquet(path)
+    else:
+        df.write.mode("overwrite").partitionBy(by).parquet(f"{path.rstrip('/')}/part={part}")
 
 
 def write_if_absent(df: DataFrame, path: str) -> None:

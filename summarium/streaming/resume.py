@@ -1,22 +1,37 @@
 """Incremental, resumable scoring with Structured Streaming.
 
-The ``predictions`` folder is the stream source; the checkpoint records which files
-were consumed.  Each micro-batch is written under its own epoch number and
-overwrites it, so a batch that is retried after a failure replaces what it wrote
-before: every file is scored exactly once without reading the scores back.  Pairs that an
-earlier run scored may be given as ``previous`` and are left out by one anti join a batch.
+The ``predictions`` folder is the stream source; the checkpoint records which files were
+consumed and holds the state: a stateful operator keyed by (system, article_id) lets each
+pair through once, in whatever file, batch or run on the checkpoint it stands again.  A
+batch is written under its own epoch number and overwrites it, and the state of an epoch is
+committed after its batch, so a batch that is retried after a failure meets the state as it
+was and replaces what it wrote: every pair is scored exactly once, and the scores are never
+read back.  Pairs that were scored elsewhere may be given as ``previous`` and are left out
+by one anti join a batch.
+
+State: one key a pair and no row content.  It lives in the session's state store provider;
+``ROCKSDB`` keeps it on the executors' disks with its changes in the checkpoint, which a
+corpus of many pairs needs.  ``forget_after`` bounds it in time: the watermark follows the
+files' modification times, and a pair's key goes when the watermark has passed the pair's
+file by that much.  Repeats that come later than that, or files older than the watermark,
+are then no longer caught, as one has said by the bound.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.evaluate import resume_todo, score_predictions
 
-SCORE_COLUMNS = ["system", "article_id", "status", "error", "run_id", "input_length",
-                 "padded_length", "seconds", "rouge1", "rouge2", "rougeL"]
+PAIR = ["system", "article_id"]
+SCORE_COLUMNS = [*PAIR, "status", "error", "run_id", "input_length", "padded_length", "seconds",
+                 "rouge1", "rouge2", "rougeL"]
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def scores_schema(spark: SparkSession, predictions_schema: T.StructType) -> T.StructType:
@@ -28,31 +43,43 @@ def read_scores(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def each_pair_once(stream: DataFrame, forget_after: str | None = None) -> DataFrame:
+    """The rows of a stream whose pair no earlier row had; of the rows of a pair that come
+    in one batch, one.  Null ids are ids like others."""
+    if forget_after is None:
+        return stream.dropDuplicates(PAIR)
+    timed = stream.withColumn("_seen_at", F.col("_metadata.file_modification_time"))
+    return (timed.withWatermark("_seen_at", forget_after)
+                 .dropDuplicatesWithinWatermark(PAIR).drop("_seen_at"))
+
+
 def score_stream(spark: SparkSession, predictions_path: str, scores_path: str,
                  checkpoint_path: str, max_files_per_trigger: int = 16,
-                 use_stemmer: bool = True, previous: DataFrame | None = None) -> DataFrame:
-    """Run the stream until the folder is drained (``availableNow``) and
-    return the scores table, partitioned by epoch and system."""
+                 use_stemmer: bool = True, previous: DataFrame | None = None,
+                 forget_after: str | None = None) -> DataFrame:
+    """Run the stream until the folder is drained (``availableNow``) and return the scores
+    table, partitioned by checkpoint, epoch and system.
+
+    A second run on the same checkpoint scores only pairs that are new.  Scores written
+    under another checkpoint into the same table stay; hand them in as ``previous``."""
     pschema = spark.read.parquet(predictions_path).schema
     sschema = scores_schema(spark, pschema)
+    # epochs count from 0 in every checkpoint, so each has a folder of its own
+    base = f"{scores_path}/source={hashlib.md5(checkpoint_path.encode()).hexdigest()[:12]}"
     # an empty epoch, so that the table can be read before the first batch
-    (spark.createDataFrame([], sschema).write.mode("overwrite").partitionBy("system")
-          .parquet(f"{scores_path}/epoch=-1"))
+    spark.createDataFrame([], sschema).write.mode("overwrite").partitionBy("system").parquet(f"{base}/epoch=-1")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        todo = df.dropDuplicates(["system", "article_id"])
-        if previous is not None:
-            todo = resume_todo(todo, previous)
+        todo = df if previous is None else resume_todo(df, previous)
         new = score_predictions(todo.withColumn("run_id", F.lit(f"stream-{epoch_id}")),
                                 use_stemmer=use_stemmer).select(*SCORE_COLUMNS)
-        new.write.mode("overwrite").partitionBy("system").parquet(f"{scores_path}/epoch={epoch_id}")
-
-    q = (spark.readStream.schema(pschema)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(predictions_path)
-              .writeStream.foreachBatch(batch)
-              .option("checkpointLocation", checkpoint_path)
-              .trigger(availableNow=True)
-              .start())
-    q.awaitTermination()
+        new.write.mode("overwrite").partitionBy("system").parquet(f"{base}/epoch={epoch_id}")
+
+    stream = (spark.readStream.schema(pschema)
+                   .option("maxFilesPerTrigger", max_files_per_trigger)
+                   .parquet(predictions_path))
+    query = (each_pair_once(stream, forget_after).writeStream.foreachBatch(batch)
+             .option("checkpointLocation", checkpoint_path)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
     return read_scores(spark, scores_path, sschema)
