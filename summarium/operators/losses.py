@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_mentions
-from ..functions.lexicon import LEXICON_ROWS, terms_substring, terms_word
+from ..functions.lexicon import (LEXICON_ROWS, SCAN_TERMS, lexicon_terms, terms_automaton,
+                                 terms_substring, terms_word)
 from ..functions.text import col_, rouge_tokens
 from .factuality import tf_cosine
 
@@ -31,10 +32,16 @@ def stage_weights_df(spark: SparkSession) -> DataFrame:
 
 
 # E9 -------------------------------------------------------------------------
-def with_terms(df: DataFrame, cols: dict[str, str], match: str = "substring") -> DataFrame:
+def with_terms(df: DataFrame, cols: dict[str, str], match: str = "substring", lexicon=None) -> DataFrame:
     """Lexicon terms found in each text (a set).  ``substring`` reproduces the
-    reference (substring of the lower-cased text); ``word`` needs whole words."""
+    reference (substring of the lower-cased text); ``word`` needs whole words.
+
+    ``lexicon`` is a list of terms or a table with a ``term`` column, of up to
+    ``LEXICON_BYTES``, in place of the fixed one.  One of more than ``SCAN_TERMS`` terms is
+    looked for by an automaton, whose pass over a text does not depend on their number."""
     out = df
+    if lexicon is not None:
+        return _with_lexicon(out, cols, match, lexicon_terms(lexicon))
     for src, dst in cols.items():
         tmp = f"_{dst}_src"
         if match == "substring":
@@ -47,6 +54,28 @@ def with_terms(df: DataFrame, cols: dict[str, str], match: str = "substring") ->
     return out
 
 
+def _with_lexicon(df: DataFrame, cols: dict[str, str], match: str, terms: list[str]) -> DataFrame:
+    if match not in ("substring", "word"):
+        raise ValueError(match)
+    word = match == "word"
+    for src, dst in cols.items():
+        # words between single spaces, so that a whole word is a substring with its spaces
+        text = (F.concat(F.lit(" "), F.array_join(rouge_tokens(src), " "), F.lit(" ")) if word
+                else F.lower(F.col(src)))
+        sought = [f" {t} " for t in terms] if word else terms
+        if len(sought) > SCAN_TERMS:
+            found = terms_automaton(df.sparkSession, text, sought)
+            df = df.withColumn(dst, F.transform(found, lambda x: F.trim(x)) if word else found)
+        else:
+            tmp = f"_{dst}_src"
+            listed = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(t).alias("t")) for s, t in zip(sought, terms)])
+            hits = F.transform(F.filter(listed, lambda x: F.col(tmp).contains(x["s"])), lambda x: x["t"])
+            df = df.withColumn(tmp, text)
+            nothing = F.array().cast("array<string>")
+            df = df.withColumn(dst, F.when(F.col(tmp).isNull(), nothing).otherwise(hits) if terms else nothing).drop(tmp)
+    return df
+
+
 # E10 / E12 ------------------------------------------------------------------
 def lexicon_loss(source_terms, summary_terms) -> Column:
     """1 - preserved/source terms; no source terms -> 0.0."""

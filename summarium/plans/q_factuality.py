@@ -9,7 +9,9 @@ from .registry import register
 from .sql_inputs import PREDS, SEED, rtok, with_
 from ..functions.dates import date_mentions, date_mentions_sql
 from ..functions.lexicon import GAZETTEER
+from ..functions.barrier import staged
 from ..operators import factuality as FX
+from ..operators import phrases as PH
 from ..sources.tables import read_table
 
 
@@ -114,6 +116,88 @@ def e2_entity_consistency(spark, sf):
     return d.select("pair_id", FX.entity_consistency("se", "sr").alias("entity"))
 
 
+def _cues(cues) -> str:
+    return ", ".join(f"'{w}'" for w in cues)
+
+
+_KINDS = list(PH.CUES_BEFORE)
+_UNITS_COLUMNS = "words, term, n, " + ", ".join(f"b_{k}" for k in _KINDS)
+
+
+def _phrases_sql(n: int, units: str) -> str:
+    """CTE of the phrases of n words over the units found so far."""
+    return f"""
+p{n} AS (
+  SELECT {_UNITS_COLUMNS}, s AS significance, l AS "left", r AS "right" FROM (
+    SELECT x.*, row_number() OVER (PARTITION BY term ORDER BY s DESC, k) AS nth FROM (
+      SELECT c.*, k, a.term AS l, b.term AS r,
+             (c.n - CAST(a.n * b.n AS DOUBLE) / total) / sqrt(c.n) AS s
+      FROM counts c, LATERAL (SELECT unnest(range(1, {n})) AS k), total
+      JOIN {units} a ON a.term = array_to_string(string_split(c.term, ' ')[1:k], ' ')
+      JOIN {units} b ON b.term = array_to_string(string_split(c.term, ' ')[k + 1:], ' ')
+      WHERE c.words = {n} AND c.n >= {PH.MIN_COUNT}) x
+    WHERE s >= {PH.SIGNIFICANCE})
+  WHERE nth = 1),
+u{n} AS (SELECT * FROM {units} UNION ALL SELECT * FROM p{n})"""
+
+
+_RUNS = " UNION ALL ".join(
+    [r"SELECT 1 AS words, lower(w[i]) AS term, regexp_matches(w[i], '^[A-Z]') AS named, before FROM places"]
+    + [f"SELECT {n}, lower(array_to_string(w[i:i + {n - 1}], ' ')), TRUE, before FROM places "
+       f"WHERE i + {n - 1} <= len(w) AND " + " AND ".join(f"regexp_matches(w[i + {j}], '^[A-Z]')" for j in range(n))
+       for n in range(2, PH.MAX_WORDS + 1)])
+MINED = SEED + f""",
+toks AS (SELECT {etok_sql('article')} AS w FROM articles),
+places AS (SELECT w, i, CASE WHEN i > 1 THEN lower(w[i - 1]) END AS before
+           FROM toks, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+runs AS ({_RUNS}),
+counts AS (
+  SELECT words, term, count(*) FILTER (WHERE named) AS n, count(*) AS seen,
+         {", ".join(f"count(*) FILTER (WHERE named AND before IN ({_cues(PH.CUES_BEFORE[k])})) AS b_{k}" for k in _KINDS)}
+  FROM runs GROUP BY words, term),
+total AS (SELECT CAST(sum(seen) AS DOUBLE) AS total FROM counts WHERE words = 1),
+u1 AS (SELECT {_UNITS_COLUMNS}, CAST(NULL AS DOUBLE) AS significance, CAST(NULL AS VARCHAR) AS "left",
+              CAST(NULL AS VARCHAR) AS "right"
+       FROM counts WHERE words = 1 AND n >= {PH.MIN_COUNT} AND n >= {PH.MIN_SHARE} * seen),
+{", ".join(_phrases_sql(n, f"u{n - 1}") for n in range(2, PH.MAX_WORDS + 1))},
+held AS (SELECT term, sum(n) AS held FROM (
+  SELECT unnest(list_distinct(["left", "right"])) AS term, n FROM u{PH.MAX_WORDS} WHERE "left" IS NOT NULL)
+  GROUP BY term),
+voted AS (
+  SELECT u.*, {", ".join(f"b_{k} + CASE WHEN list_has_any(string_split(u.term, ' '), [{_cues(PH.CUES_INSIDE[k])}]) THEN u.n ELSE 0 END AS v_{k}" for k in _KINDS)}
+  FROM u{PH.MAX_WORDS} u LEFT JOIN held USING (term) WHERE u.n - coalesce(held, 0) >= {PH.MIN_COUNT}),
+mined AS (
+  SELECT CASE WHEN greatest({", ".join(f"v_{k}" for k in _KINDS)}) = 0 THEN '{PH.NO_TYPE}'
+              {" ".join(f"WHEN v_{k} = greatest({', '.join(f'v_{x}' for x in _KINDS)}) THEN '{k}'" for k in _KINDS)}
+         END AS ent_type, term, words, n, significance FROM voted)"""
+
+
+@register("e1_mined", with_(MINED, """
+SELECT ent_type, term, CAST(words AS INTEGER) AS words, n, round(significance, 6) AS significance FROM mined"""))
+def e1_mined(spark, sf):
+    """The gazetteer mined from the articles."""
+    return PH.mine_phrases(I.articles(spark, sf, "article"), "article").withColumn(
+        "significance", F.round("significance", 6))
+
+
+@register("e1_mined_entities", with_(MINED + f""",
+grams AS (
+  SELECT article_id, w[i:i + n - 1] AS g, n FROM (SELECT article_id, {etok_sql('summary')} AS w FROM articles),
+         LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i), LATERAL (SELECT unnest(range(1, {PH.MAX_WORDS} + 1)) AS n)
+  WHERE i + n - 1 <= len(w)),
+hits AS (SELECT article_id, ent_type FROM grams JOIN mined ON lower(array_to_string(g, ' ')) = term)""", """
+SELECT a.article_id AS pair_id, count(ent_type) AS mentions, count(ent_type) FILTER (WHERE ent_type = 'PERSON') AS persons
+FROM articles a LEFT JOIN hits USING (article_id) GROUP BY a.article_id"""))
+def e1_mined_entities(spark, sf):
+    """Mentions of the mined gazetteer in the summaries."""
+    a = I.articles(spark, sf, "article_id", "article", "summary")
+    mined = staged(PH.mine_phrases(a, "article").select("ent_type", "term"), "mined")
+    d = FX.with_entities(a.select("article_id", "summary"), "summary", "found", mined)
+    named = F.filter("found", lambda e: e["ent_type"] != "DATE")
+    return d.select(F.col("article_id").alias("pair_id"), F.size(named).cast("long").alias("mentions"),
+                    F.size(F.filter("found", lambda e: e["ent_type"] == "PERSON")).cast("long").alias("persons"))
+
+
 # --- E3 / E4 ------------------------------------------------------------------
 def _dates_query(patterns):
     sql = with_(SEED, f"""

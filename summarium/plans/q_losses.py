@@ -11,7 +11,9 @@ from .sql_inputs import SEED, rtok, with_
 from .q_factuality import tf_cosine_cte
 from ..functions.dates import date_mentions_sql
 from ..functions.lexicon import LEXICON_ROWS, LEXICON_TERMS
+from ..functions.text import rouge_tokens
 from ..operators import losses as LS
+from ..sources.tables import read_table
 
 _TERMS = "[" + ", ".join(f"'{t}'" for t in LEXICON_TERMS) + "]"
 _LEX_VALUES = ", ".join(f"('{c}', '{t}')" for c, t in LEXICON_ROWS)
@@ -57,6 +59,36 @@ def e9_terms_word(spark, sf):
                                             _s("sum").alias("summary_terms"))
 
 
+# A lexicon of some thousand terms: the words of the benchmark table.
+BIG_LEXICON = f"""
+lex AS (SELECT DISTINCT w AS term FROM (SELECT unnest({rtok('text')}) AS w FROM benchmark) WHERE length(w) >= 3),
+low AS (SELECT article_id, lower(article) AS la, lower(summary) AS ls,
+               ' ' || array_to_string({rtok('article')}, ' ') || ' ' AS wa FROM articles),
+hits AS (
+  SELECT article_id, term, contains(ls, term) AS kept, contains(wa, ' ' || term || ' ') AS whole
+  FROM low, lex WHERE contains(la, term)),
+sums AS (
+  SELECT article_id, count(*) AS n, count(*) FILTER (WHERE kept) AS k, count(*) FILTER (WHERE whole) AS w,
+         string_agg(term, '|' ORDER BY term) AS terms
+  FROM hits GROUP BY article_id)"""
+
+
+@register("e9_large_lexicon", with_(SEED + "," + BIG_LEXICON, """
+SELECT l.article_id AS pair_id, coalesce(n, 0) AS source_terms, coalesce(k, 0) AS preserved_terms,
+       coalesce(w, 0) AS whole_words, md5(coalesce(terms, '')) AS terms_md5
+FROM low l LEFT JOIN sums USING (article_id)"""))
+def e9_large_lexicon(spark, sf):
+    """Terms of a large lexicon in source and summary, by one automaton pass a text."""
+    words = read_table(spark, sf, "benchmark").select(F.explode_outer(rouge_tokens("text")).alias("term"))
+    lexicon = words.where("length(term) >= 3")
+    t = LS.with_terms(I.pairs(spark, sf), {"source": "src", "summary": "sum"}, lexicon=lexicon)
+    t = LS.with_terms(t, {"source": "src_w"}, "word", lexicon)
+    return t.select("pair_id", F.size("src").cast("long").alias("source_terms"),
+                    F.size(F.array_intersect("src", "sum")).cast("long").alias("preserved_terms"),
+                    F.size("src_w").cast("long").alias("whole_words"),
+                    F.md5(F.array_join("src", "|").cast("binary")).alias("terms_md5"))
+
+
 def _loss_sql(s, m):
     return f"CASE WHEN len({s}) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - len(list_intersect({s}, {m})) / len({s}) END"
 
