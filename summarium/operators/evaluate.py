@@ -18,15 +18,20 @@ MAX_ERRORS_PER_SYSTEM = 5
 
 def build_predictions(articles: DataFrame, systems: DataFrame,
                       failing_system: str | None = None,
-                      failing_modulus: int = 13, carry: tuple = ()) -> DataFrame:
+                      failing_modulus: int = 13, carry: tuple = (),
+                      candidates: DataFrame | None = None) -> DataFrame:
     """(system, article_id) rows with the model input, reference, candidate,
     lengths, timing and status -- the table a generation job would write.
 
     A null/empty article or reference marks the row failed (the reference
     scored the string 'nan'; that is a documented fix).  ``carry`` names
-    per-article columns computed before the fan-out to systems.
+    per-article columns computed before the fan-out to systems.  ``candidates`` are
+    articles with (system, model_id, generated, source_words) of other systems, added to
+    those of the registry.
     """
     cand = extractive_candidates(articles, systems, text="article")
+    if candidates is not None:
+        cand = cand.unionByName(candidates, allowMissingColumns=True)
     long_ctx = is_long_context(F.col("model_id"))
     model_input = with_task_prefix(F.col("article"), F.col("model_id"))
     # the prefix ends in a space, so it adds exactly one word to the article's

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from . import inputs as I
 from .registry import register
 from .sql_inputs import PREDS, SEED, words, with_
+from ..operators import evaluate
 from ..operators import shaping as SH
+from ..operators.central import central_candidates
+from ..sources import tables as T
 from ..sources.tables import read_table
 
 _SEP_SQL = "chr(10) || chr(10) || '[DOCUMENT]' || chr(10) || chr(10)"
@@ -139,6 +142,25 @@ def i9_candidates(spark, sf):
     return I.predictions(spark, sf).select("system", "article_id", "generated")
 
 
+@register("i9_central")
+def i9_central(spark, sf):
+    """Candidates of central sentences, with the length and repetition rules of I10."""
+    a = I.articles(spark, sf, "article_id", "article", "summary")
+    d = SH.with_constraint_flags(central_candidates(a))
+    return d.select("article_id", "system", "generated", F.col("gen_words").cast("long").alias("gen_words"),
+                    "len_ok", F.col("repeated_trigrams").cast("long").alias("repeated_trigrams"))
+
+
+@register("i9_central_sweep")
+def i9_central_sweep(spark, sf):
+    """The sweep with central sentences as a further system."""
+    a = I.articles(spark, sf, "article_id", "article", "summary")
+    preds = evaluate.build_predictions(a, T.systems(spark), T.FAILING_SYSTEM, T.FAILING_MODULUS,
+                                       candidates=central_candidates(a))
+    return evaluate.system_aggregates(evaluate.score_predictions(preds, use_stemmer=False),
+                                      evaluation_date=T.EVALUATION_DATE)
+
+
 @register("i10_constraints", with_(PREDS, f"""
 SELECT system, count(*) AS n, count(*) FILTER (WHERE nw BETWEEN 40 AND 150) AS n_len_ok,
        count(*) FILTER (WHERE rep = 0) AS n_no_repeat, sum(rep) AS repeated_trigrams,
