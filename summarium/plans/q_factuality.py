@@ -9,6 +9,7 @@ from .registry import register
 from .sql_inputs import PREDS, SEED, rtok, with_
 from ..functions.dates import date_mentions, date_mentions_sql
 from ..functions.lexicon import GAZETTEER
+from ..functions import calendar as CAL
 from ..functions.barrier import staged
 from ..operators import factuality as FX
 from ..operators import phrases as PH
@@ -230,6 +231,68 @@ def e4_temporal(spark, sf):
     return a.select("pair_id", FX.temporal_consistency("sd", "rd").alias("temporal"))
 
 
+# The readings in SQL: one step a pattern, each on the text that the last one left.
+def _day_sql(y, m, d):
+    return (f"(SELECT {{'s': z, 'e': z, 'md': ({m}) * 100 + ({d})}} FROM (SELECT date_diff('day', DATE '1970-01-01', "
+            f"TRY_CAST(printf('%04d-%02d-%02d', {y}, {m}, {d}) AS DATE)) AS z) WHERE z IS NOT NULL)")
+
+
+def _month_sql(g):
+    return f"((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower({g}[1:3])) + 2) // 3)"
+
+
+_YEAR2 = f"(CASE WHEN length(g3) = 4 THEN CAST(g3 AS INT) WHEN CAST(g3 AS INT) < {CAL.PIVOT} THEN CAST(g3 AS INT) + 2000 ELSE CAST(g3 AS INT) + 1900 END)"
+_M1, _M2 = _month_sql("g1"), _month_sql("g2")
+_I = {i: f"CAST(g{i} AS INT)" for i in (1, 2, 3)}
+_SINCE = "date_diff('day', DATE '1970-01-01', {})"
+_READ_SQL = {
+    "numeric": f"[{_day_sql(_YEAR2, _I[2], _I[1])}, {_day_sql(_YEAR2, _I[1], _I[2])}]",
+    "month_first": f"[{_day_sql(_I[3], _M1, _I[2])}]",
+    "day_first": f"[{_day_sql(_I[3], _M2, _I[1])}]",
+    "month_year": "[{'s': " + _SINCE.format(f"make_date({_I[2]}, {_M1}, 1)") + ", 'e': "
+                  + _SINCE.format(f"last_day(make_date({_I[2]}, {_M1}, 1))") + ", 'md': 0}]",
+    "month_day": f"[CASE WHEN TRY_CAST(printf('2000-%02d-%02d', {_M1}, {_I[2]}) AS DATE) IS NOT NULL "
+                 f"THEN {{'s': NULL, 'e': NULL, 'md': {_M1} * 100 + {_I[2]}}} END]",
+    "year": "[{'s': " + _SINCE.format(f"make_date({_I[1]}, 1, 1)") + ", 'e': "
+            + _SINCE.format(f"make_date({_I[1]}, 12, 31)") + ", 'md': 0}]",
+}
+
+
+def _calendar_sql(side: str) -> str:
+    """CTEs of the mentions of a text column: (article_id, mention, readings) in {side}_m."""
+    steps, last = [f"{side}_0 AS (SELECT article_id, {side} AS t FROM articles)"], f"{side}_0"
+    for k, (name, pattern) in enumerate(CAL.PATTERNS.items(), 1):
+        steps.append(f"{side}_{k} AS (SELECT article_id, regexp_replace(t, '{pattern}', '{CAL.TAKEN}', 'g') AS t FROM {last})")
+        groups = CAL.READERS[name][0]
+        each = ", ".join(f"unnest(regexp_extract_all(t, '{pattern}', {i + 1})) AS g{i + 1}" for i in range(groups))
+        steps.append(f"{side}_r{k} AS (SELECT article_id, unnest(list_filter({_READ_SQL[name]}, lambda x: x IS NOT NULL)) AS r, "
+                     f"mention FROM (SELECT *, '{k}:' || row_number() OVER () AS mention FROM (SELECT article_id, {each} FROM {last})))")
+        last = f"{side}_{k}"
+    union = " UNION ALL ".join(f"SELECT article_id, mention, r.s AS s, r.e AS e, r.md AS md FROM {side}_r{k}"
+                               for k in range(1, len(CAL.PATTERNS) + 1))
+    return ", ".join(steps) + f", {side}_m AS ({union})"
+
+
+@register("e4_calendar", with_(SEED + f""",
+{_calendar_sql('summary')}, {_calendar_sql('article')},
+tested AS (
+  SELECT m.article_id, m.mention, m.s, m.e, m.md,
+         max(CASE WHEN (r.s >= m.s AND r.e <= m.e) OR (m.s IS NULL AND r.md = m.md) THEN 2
+                  WHEN (r.s <= m.e AND r.e >= m.s) OR (r.s IS NULL AND r.md = m.md) THEN 1 ELSE 0 END) AS v
+  FROM summary_m m LEFT JOIN article_m r USING (article_id) GROUP BY ALL),
+whole AS (SELECT article_id, mention, max(v) / 2.0::DOUBLE AS v, list_sort(list({{'s': s, 'e': e, 'md': md}})) AS readings
+          FROM tested GROUP BY article_id, mention),
+once AS (SELECT article_id, readings, any_value(v) AS v FROM whole GROUP BY article_id, readings)""", """
+SELECT a.article_id AS pair_id, count(o.v) AS n_summary_dates, round(coalesce(avg(o.v), 1.0), 6) AS calendar
+FROM articles a LEFT JOIN once o USING (article_id) GROUP BY a.article_id"""))
+def e4_calendar(spark, sf):
+    """Temporal consistency of calendar intervals."""
+    d = I.pairs(spark, sf)
+    d = CAL.with_calendar(CAL.with_calendar(d, "summary", "sd"), "source", "rd")
+    return d.select("pair_id", F.size("sd").cast("long").alias("n_summary_dates"),
+                    F.round(CAL.calendar_consistency("sd", "rd"), 6).alias("calendar"))
+
+
 # --- E5 / E6 ------------------------------------------------------------------
 DENSE_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
