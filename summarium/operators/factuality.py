@@ -96,23 +96,36 @@ def _joined_mentions(df: DataFrame, text: str, gaz: DataFrame, distinct: bool):
     return keyed.join(ents, "_text_hash", "left"), F.array_distinct(named) if distinct else named
 
 
+_APART = "\u0000"
+
+
 # E2 -------------------------------------------------------------------------
 def entity_consistency(summary_ents: str, source_ents: str) -> Column:
     """Per summary mention: 1 if the exact text is a source mention of the same
     type, else 0.5 if its lower case is a substring of one, else 0; the sum
     over mentions / count, capped at 1; no summary mentions -> 1.0.
-    Both arguments name materialised columns."""
-    src = F.col(source_ents)
-
-    def score(e):
-        same_type = lambda s: s["ent_type"] == e["ent_type"]
-        exact = F.exists(src, lambda s: same_type(s) & (s["ent_text"] == e["ent_text"]))
-        part = F.exists(src, lambda s: same_type(s) &
-                        F.lower(s["ent_text"]).contains(F.lower(e["ent_text"])))
-        return F.when(exact, F.lit(1.0)).when(part, F.lit(0.5)).otherwise(F.lit(0.0))
-
-    se = F.col(summary_ents)
-    matched = F.aggregate(se, F.lit(0.0), lambda acc, e: acc + score(e))
+    Both arguments name materialised columns.
+
+    The source mentions are indexed once a pair: by type, their lower-case texts joined by
+    a sign that no mention holds.  A summary mention is then one search in one string, and
+    not a lambda over all source mentions."""
+    src, se = F.col(source_ents), F.col(summary_ents)
+
+    def joined(kind):
+        texts = F.transform(F.filter(src, lambda s: s["ent_type"] == kind), lambda s: F.lower(s["ent_text"]))
+        return F.struct(kind.alias("k"), F.array_join(F.array_distinct(texts), _APART).alias("v"))
+
+    kinds = F.array_distinct(F.transform(src, lambda s: s["ent_type"]))
+    index = F.map_from_entries(F.transform(kinds, joined))
+
+    def score(e, known):
+        part = F.try_element_at(known["by_type"], e["ent_type"]).contains(F.lower(e["ent_text"]))
+        return F.when(F.array_contains(known["all"], e), F.lit(1.0)).when(part, F.lit(0.5)).otherwise(F.lit(0.0))
+
+    # a lambda variable is evaluated once, so the index is not built again for each mention
+    each = F.transform(F.array(F.struct(index.alias("by_type"), src.alias("all"))), lambda known: F.aggregate(
+        se, F.lit(0.0), lambda acc, e: acc + score(e, known)))
+    matched = each[0]
     return F.when(F.size(se) == 0, F.lit(1.0)).otherwise(F.least(matched / F.size(se), F.lit(1.0)))
 
 

@@ -12,6 +12,7 @@ from ..functions.lexicon import GAZETTEER
 from ..functions import calendar as CAL
 from ..functions.barrier import staged
 from ..operators import factuality as FX
+from ..operators import latent as LT
 from ..operators import phrases as PH
 from ..sources.tables import read_table
 
@@ -346,6 +347,15 @@ def e6_tfidf_cosine(spark, sf):
     return r.select(F.col("article_id").alias("pair_id"), F.round("tfidf_cosine", 6).alias("tfidf_cosine"))
 
 
+@register("e6_latent_cosine")
+def e6_latent_cosine(spark, sf):
+    """Cosine of article and summary in the latent space of the articles."""
+    p = I.pairs(spark, sf)
+    space = LT.fit(p, "source")
+    d = LT.latent_cosine(p, "source", "summary", space)
+    return d.select("pair_id", F.round("latent_cosine", 6).alias("latent_cosine"))
+
+
 # --- E7 / E8 ------------------------------------------------------------------
 COMPOSITE = PAIR_ENTS + "," + tf_cosine_cte("tfc", "articles", "article_id", "summary", "article") + f""",
 parts AS (
