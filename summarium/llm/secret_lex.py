@@ -6,14 +6,19 @@ names, operators.  Statements ``name = value``, ``name: value``, ``"name": value
 ``name => value`` become name-literal pairs; a value may be a literal, a name bound
 before (constants are propagated), or a ``+`` concatenation of those.  A literal is
 scored by the words of its target name and reported as kind ``lexed`` from
-``MIN_SCORE`` on.
+``MIN_SCORE`` on, at each place where a part of it is written.  Literals that hold spaces
+count under the surest names only (password, passwd, passphrase), and not as sentences.
 
-Scale: row-local, no shuffle; one Arrow function over the text column.
+Scale: row-local, no shuffle; one Arrow function over the text column.  Lexing and
+propagation are linear in the text: constants refer to their parts instead of copying
+them (so ``a = a + a`` over many lines stays small), and what is never closed is looked
+for once.
 
 Defined cases: a null text is empty; offsets are code points, end exclusive;
 matches that are too short are dropped after matching (they still use up their
 text); empty texts and texts without a match give zero counts and empty strings;
-repeated rows give repeated results; extra columns are ignored.
+repeated rows give repeated results; very long texts are lexed whole; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,12 +49,14 @@ NAME_WEIGHTS = {
 }
 MIN_SCORE = 0.8
 MIN_LITERAL = 6
-#: Texts without any of these can hold no sensitive target name.
-_SENSITIVE = re.compile("(?i:" + "|".join(sorted(k for k, v in NAME_WEIGHTS.items() if v >= 0.4)) + ")")
+_HEAVY = re.compile("(?i:" + "|".join(sorted(k for k, v in NAME_WEIGHTS.items() if v >= 0.4)) + ")")
+_LIGHT = re.compile("(?i:" + "|".join(sorted(k for k, v in NAME_WEIGHTS.items() if v < 0.4)) + ")")
+#: Words whose names may hold literals of several words.
+PHRASE_WORDS = {w for w, v in NAME_WEIGHTS.items() if v == 1.0}
 
 _TOKEN = re.compile(r"""
-    (?P<comment>/\*.*?\*/|<!--.*?-->)
-  | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    (?P<open>/\*|<!--)
+  | (?P<quote>["'`])
   | (?P<ref>\$\{[A-Za-z_]\w*\}|\$[A-Za-z_]\w*)
   | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
   | (?P<bind>:=|=>|=(?!=)|:(?![:/]))
@@ -57,6 +64,11 @@ _TOKEN = re.compile(r"""
   | (?P<end>[;,\n{}()\[\]])
   | (?P<bare>[A-Za-z0-9_+/.~!@%^&*?|-]+=*)
 """, re.X | re.S)
+_BARE = re.compile("[A-Za-z0-9_+/.~!@%^&*?|-]+=*")
+_CLOSE = {"/*": "*/", "<!--": "-->"}
+#: What a string holds up to its closing quote or an end of line.
+_BODY = {'"': re.compile(r'(?:[^"\\\n]|\\.)*', re.S), "'": re.compile(r"(?:[^'\\\n]|\\.)*", re.S),
+         "`": re.compile(r"[^`\n]*")}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i:^(?:x+|\*+|\.+|<.*>|changeme|example|placeholder|none|null|true|false|undefined|your[_-].*)$)")
 
@@ -71,31 +83,86 @@ def name_score(name: str) -> float:
     return min(1.0, total)
 
 
-def entropy(s: str) -> float:
-    """Shannon entropy in bits a character."""
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+def may_name_secrets(text: str) -> bool:
+    """False only where no name in the text can reach ``MIN_SCORE``: that takes a word of
+    weight 0.4 or more, or three lighter ones."""
+    if _HEAVY.search(text):
+        return True
+    light = _LIGHT.finditer(text)
+    return all(next(light, None) for _ in range(3))
 
 
 def _lex(text: str):
-    """(kind, value, start, end) without comments."""
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind == "comment":
+    """(kind, value, start, end) without comments, in time linear in the text: a comment
+    that is never closed, or a string that its line doesn't close, is looked for once."""
+    pos, n = 0, len(text)
+    closed = dict.fromkeys(_CLOSE, True)
+    open_until = dict.fromkeys(_BODY, 0)
+    while m := _TOKEN.search(text, pos):
+        kind, value, start, end = m.lastgroup, m.group(), m.start(), m.end()
+        if kind == "open":
+            at = text.find(_CLOSE[value], end) if closed[value] else -1
+            if at >= 0:
+                pos = at + len(_CLOSE[value])
+                continue
+            closed[value] = False
+            m = _BARE.match(text, start)
+            if not m:
+                pos = start + 1
+                continue
+            kind, value, end = "bare", m.group(), m.end()
+        elif kind == "quote":
+            pos = end
+            if start < open_until[value]:
+                continue
+            last = _BODY[value].match(text, end).end()
+            if last >= n or text[last] != value:
+                # quotes up to here are escaped, and so are they for a string begun at one
+                open_until[value] = last
+                continue
+            kind, value, start, end, pos = "string", text[end:last], end, last, last + 1
+            yield kind, value, start, end
             continue
-        start, end, value = m.start(), m.end(), m.group()
-        if kind == "string":
-            start, end, value = start + 1, end - 1, value[1:-1]
         elif kind == "ref":
             value = value.strip("${}")
+        pos = end
         yield kind, value, start, end
 
 
-def assignments(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, literal, start, end) of every name-literal pair, constants and
-    concatenations resolved; the offsets are those of the literal pieces in the text
-    where they are written."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+class Literal:
+    """A literal as it is written, or a concatenation of literals.
+
+    A concatenation refers to its parts, which are never copied; its length and the shares
+    of its characters come from theirs, its text as long as it is short."""
+
+    __slots__ = ("parts", "start", "end", "text", "size", "shares", "spaced")
+    SHORT = 4096
+
+    def __init__(self, parts=(), text: str | None = None, start: int = 0, end: int = 0):
+        self.parts, self.start, self.end = parts, start, end
+        if not parts:
+            self.text, self.size, self.spaced = text, float(len(text)), " " in text
+            self.shares = {c: k / len(text) for c, k in Counter(text).items()}
+            return
+        self.size = min(sum(p.size for p in parts), 1e300)
+        self.text = "".join(p.text for p in parts) if self.size <= self.SHORT else None
+        self.spaced = any(p.spaced for p in parts)
+        self.shares = {}
+        whole = sum(p.size / self.size for p in parts) if self.size else 1.0
+        for p in parts:
+            weight = p.size / self.size / whole if self.size else 0.0
+            for c, share in p.shares.items():
+                self.shares[c] = self.shares.get(c, 0.0) + weight * share
+
+    def entropy(self) -> float:
+        """Shannon entropy in bits a character."""
+        return -sum(x * math.log2(x) for x in self.shares.values() if x > 0)
+
+
+def assignments(text: str) -> list[tuple[str, Literal]]:
+    """(target name, literal) of every name-literal pair, constants and concatenations
+    resolved.  A name on the right is the constant that it was before."""
+    constants: dict[str, Literal] = {}
     out = []
     tokens = list(_lex(text))
     i, n = 0, len(tokens)
@@ -105,11 +172,11 @@ def assignments(text: str) -> list[tuple[str, str, int, int]]:
             i += 1
             continue
         target, i = value, i + 2
-        pieces: list[tuple[str, int, int]] = []
+        pieces: list[Literal] = []
         while i < n:
             k, v, s, e = tokens[i]
             if k in ("string", "bare"):
-                pieces.append((v, s, e))
+                pieces.append(Literal(text=v, start=s, end=e))
             elif k in ("name", "ref"):
                 known = constants.get(v)
                 if known is None and k == "name":  # an unquoted value of a configuration file
@@ -117,8 +184,9 @@ def assignments(text: str) -> list[tuple[str, str, int, int]]:
                     if nxt and nxt[0] == "bare" and nxt[2] == e:
                         v, e, i = v + nxt[1], nxt[3], i + 1
                     if any(c.isdigit() for c in v):
-                        known = [(v, s, e)]
-                pieces.extend(known or [])
+                        known = Literal(text=v, start=s, end=e)
+                if known is not None:
+                    pieces.append(known)
             else:
                 break
             i += 1
@@ -127,26 +195,45 @@ def assignments(text: str) -> list[tuple[str, str, int, int]]:
             else:
                 break
         if pieces:
-            constants[target] = pieces
-            joined = "".join(p[0] for p in pieces)
-            out.extend((target, joined, s, e) for _, s, e in pieces if e > s)
+            constants[target] = pieces[0] if len(pieces) == 1 else Literal(tuple(pieces))
+            out.append((target, constants[target]))
     return out
 
 
+def literal_score(target: str, literal: Literal) -> float:
+    """How surely a literal of a target name is a secret; 0 where it is none."""
+    if literal.size < MIN_LITERAL or (literal.text is not None and _PLACEHOLDER.match(literal.text)):
+        return 0.0
+    score = name_score(target)
+    if score < MIN_SCORE:
+        return 0.0
+    # words with spaces are a secret only under the surest names, and no sentence
+    if literal.spaced and (PHRASE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(target))
+                           or literal.text is None or literal.text.rstrip()[-1:] in ".:?!"):
+        return 0.0
+    score = min(1.0, score * (0.6 + 0.4 * min(1.0, literal.entropy() / 3.0)))
+    return score if score >= MIN_SCORE * 0.6 else 0.0
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals assigned to sensitive names."""
-    if not _SENSITIVE.search(text):
+    """(start, end, score) of literals assigned to sensitive names, each as it is written,
+    with the highest score of the names that it reaches."""
+    if not may_name_secrets(text):
         return []
+    scored = [(v, x) for t, x in assignments(text) if (v := literal_score(t, x))]
+    scored.sort(key=lambda y: -y[0])
     best: dict[tuple[int, int], float] = {}
-    for target, literal, start, end in assignments(text):
-        if len(literal) < MIN_LITERAL or _PLACEHOLDER.match(literal) or " " in literal:
-            continue
-        score = name_score(target)
-        if score < MIN_SCORE:
-            continue
-        score = min(1.0, score * (0.6 + 0.4 * min(1.0, entropy(literal) / 3.0)))
-        if score >= MIN_SCORE * 0.6:
-            best[start, end] = max(score, best.get((start, end), 0.0))
+    seen: set[int] = set()
+    for score, literal in scored:      # the first to reach a part is the highest
+        stack = [literal]
+        while stack:
+            x = stack.pop()
+            if id(x) in seen:
+                continue
+            seen.add(id(x))
+            stack.extend(x.parts)
+            if not x.parts and x.end > x.start:
+                best[x.start, x.end] = max(score, best.get((x.start, x.end), 0.0))
     return [(s, e, v) for (s, e), v in sorted(best.items())]
 
 

@@ -69,3 +69,58 @@ def test_table(spark, odd_docs, no_docs, make_docs):
     assert (99, "lexed", "zz9plural") in got and any(v.endswith("abcdef") for d, k, v in got if d == 5)
     clean = {r.doc_id: r.text for r in S.redact(docs).select("doc_id", "text").collect()}
     assert HEX40 not in clean[3] and clean[2] == "nothing here" and clean[0] is None
+
+
+@pytest.mark.parametrize("text, want", [
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('password: "Please enter it."', []), ('client_secret = "two words"', []),
+    ('api_access_session = "k3jd82hs7"', ["k3jd82hs7"]),
+    ("token = 'ab12cd34'\ntoken = token + token\nx = token", ["ab12cd34"]),
+    ('a = "never closed\npassword = "zx81spectrum"', ["zx81spectrum"]),
+    ('<!-- a = 1 \n password = "zx81spectrum"', ["zx81spectrum"]),
+    ('/* password = "no" */ passwd = "zx81spectrum" /*', ["zx81spectrum"]),
+    ('passwd = "say \\"zx81\\" now"', ['say \\"zx81\\" now']),
+    ("secret = secret + 'zx81abcd'", ["zx81abcd"])])
+def test_spaces_references_and_unclosed_parts(text, want):
+    assert values(text) == want
+
+
+@pytest.mark.parametrize("text", [
+    "token='abc123xyz'\n" + "token=token+token\n" * 40_000, "<!--" * 250_000 + " token='abc123x'",
+    'token = "' + '\\"' * 500_000, "token='\"`" * 100_000, "/*" * 500_000, "passwd=`" * 100_000,
+    "a0='ab12cd34'\n" + "".join(f"a{i}=a{i - 1}+'x{i}'\n" for i in range(1, 20_000)) + "secret=a19999"])
+def test_long_odd_texts_take_linear_time(text):
+    import time
+
+    t = time.perf_counter()
+    S.lexed_spans(text[:len(text) // 8])
+    part = time.perf_counter() - t
+    t = time.perf_counter()
+    S.lexed_spans(text)
+    assert time.perf_counter() - t < 40 * part + 1
+
+
+def slow_lex(text):
+    """The lexer's rules by a single pattern, as it may be read."""
+    token = re.compile(r"""(?P<comment>/\*.*?\*/|<!--.*?-->)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+        |(?P<ref>\$\{[A-Za-z_]\w*\}|\$[A-Za-z_]\w*)|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
+        |(?P<bind>:=|=>|=(?!=)|:(?![:/]))|(?P<plus>\+)|(?P<end>[;,\n{}()\[\]])
+        |(?P<bare>[A-Za-z0-9_+/.~!@%^&*?|-]+=*)""", re.X | re.S)
+    for m in token.finditer(text):
+        kind, value, s, e = m.lastgroup, m.group(), m.start(), m.end()
+        if kind == "comment":
+            continue
+        if kind == "string":
+            s, e, value = s + 1, e - 1, value[1:-1]
+        yield kind, value.strip("${}") if kind == "ref" else value, s, e
+
+
+def test_lexer_equals_its_pattern():
+    import random
+
+    draw = random.Random(8)
+    bits = ["/*", "*/", "<!--", "-->", '"', "'", "`", "\\", "\n", "$a", "${b}", "name", "x-y.z", "=", "==", ":", "::",
+            ":/", "=>", ":=", "+", ";", "{", ")", "a1=", "9.5", "!", "<", ">", " ", "é"]
+    for _ in range(4000):
+        text = "".join(draw.choices(bits, k=draw.randrange(1, 25)))
+        assert list(S._lex(text)) == list(slow_lex(text)), text
