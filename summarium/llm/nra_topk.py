@@ -15,8 +15,9 @@ are the stated set (ids divisible by 50), against all rows.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component take no part,
 as query or candidate; shorter vectors count as padded with zeros; a row never answers its own
-query (rows with the query's id do not); rows with the same id are candidates each; ties go to
-the smaller id; fewer candidates than k give fewer answers; extra columns are ignored.
+query, other rows of its id do; every row of a query id is a query of its own, with its own
+answers; rows with the same id are candidates each; rows without an id are candidates that
+answer with a null id, after others of their score; ties go to the smaller id; fewer candidates than k give fewer answers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 #: Queries that read the lists of a block together.
@@ -39,11 +42,14 @@ FEW = 40
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
               scale: int = 256) -> DataFrame:
-    """(id, v): components as floor(scale * x); unusable vectors left out."""
+    """(row, id, noid, v): components as floor(scale * x); unusable vectors left out.
+    ``row`` numbers the rows, ``noid`` marks those without an id (then 0)."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double"))
                    | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return (vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~bad)
-                   .select(F.col(key).cast("long").alias("id"),
+    return (vectors.where(F.col(vector).isNotNull() & ~bad)
+                   .select(F.monotonically_increasing_id().alias("row"),
+                           F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("id"),
+                           F.col(key).isNull().cast("int").alias("noid"),
                            F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
                             .alias("v")))
 
@@ -58,8 +64,11 @@ def _matrix(vectors, width: int) -> np.ndarray:
 class SortedLists:
     """The rows of a block and, for every component, its values in sorted order."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, number: np.ndarray | None = None,
+                 noid: np.ndarray | None = None):
         self.ids, self.rows = ids, rows.astype(np.float64)
+        self.number = ids if number is None else number
+        self.noid = np.zeros(len(ids), np.int64) if noid is None else noid
         self.sorted = np.sort(self.rows, axis=0)
 
     def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +85,16 @@ class SortedLists:
         # every row, read or not: maximum(x, frontier) is x where it was read
         return lower, upper
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """For each query the best k (score, id) of the block, without rows of its own
-        id; by score, then by smaller id."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
+        """For each query the best k (score, noid, id) of the block, without the query's
+        own row; by score, then by smaller id, rows without an id last."""
         n = len(self.ids)
-        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        out: list[list[tuple[int, int, int]]] = [[] for _ in queries]
         waiting = np.arange(len(queries))
         depth = max(1, n // FIRST_DEPTH)
         while len(waiting):
             lower, upper = self.bounds(queries[waiting].astype(np.float64), depth)
-            barred = own[waiting][:, None] == self.ids[None, :]
+            barred = own[waiting][:, None] == self.number[None, :]
             lower[barred], upper[barred] = -np.inf, -np.inf
             kth = np.partition(lower, max(0, n - k), axis=1)[:, max(0, n - k)]
             hopeful = (upper >= kth[:, None]) & ~barred
@@ -97,10 +106,10 @@ class SortedLists:
             depth = min(n, 2 * depth)
         return out
 
-    def _resolve(self, rows: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    def _resolve(self, rows: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         final = self.rows[rows] @ query.astype(np.float64)
-        best = np.lexsort((self.ids[rows], -final))[:k]
-        return [(int(final[i]), int(self.ids[rows[i]])) for i in best]
+        best = np.lexsort((self.ids[rows], self.noid[rows], -final))[:k]
+        return [(int(final[i]), int(self.noid[rows[i]]), int(self.ids[rows[i]])) for i in best]
 
 
 def _search(k: int):
@@ -108,31 +117,35 @@ def _search(k: int):
         out = []
         if len(queries) and len(candidates):
             width = max(queries["v"].map(len).max(), candidates["v"].map(len).max())
-            block = SortedLists(candidates["id"].to_numpy(np.int64), _matrix(candidates["v"], width))
-            own, vectors = queries["id"].to_numpy(np.int64), _matrix(queries["v"], width)
+            block = SortedLists(candidates["id"].to_numpy(np.int64), _matrix(candidates["v"], width),
+                                candidates["row"].to_numpy(np.int64), candidates["noid"].to_numpy(np.int64))
+            own, vectors = queries["row"].to_numpy(np.int64), _matrix(queries["v"], width)
+            ids = queries["id"].to_numpy(np.int64)
             for at in range(0, len(own), BATCH):
                 part = own[at:at + BATCH]
-                for q, best in zip(part, block.top(vectors[at:at + BATCH], part, k)):
-                    out += [(int(q), i, s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+                for q, name, best in zip(part, ids[at:at + BATCH], block.top(vectors[at:at + BATCH], part, k)):
+                    out += [(int(q), int(name), i, none, s) for s, none, i in best]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "noid", "score"], dtype="int64")
     return meet
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
           vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
-    rows = quantised(vectors, key, vector)
+    # staged, so that a row's number is the same for queries and candidates and on a retry
+    rows = staged(quantised(vectors, key, vector), "quantised")
     n = vectors.count()
     n_blocks = max(1, -(-n // BLOCK_ROWS))
     n_parts = max(1, -(-(n // every + 1) // QUERY_ROWS))
     # salted by the vector: rows of one id are dealt over the blocks
-    candidates = (rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
+    candidates = (rows.withColumn("block", F.pmod(F.xxhash64("id", "v", "row"), F.lit(n_blocks)).cast("int"))
                       .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))))
-    queries = (rows.where(F.col("id") % every == 0)
-                   .withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(n_parts)).cast("int"))
+    queries = (rows.where((F.col("noid") == 0) & (F.col("id") % every == 0))
+                   .withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id", "v", "row"), F.lit(n_parts)).cast("int"))
                    .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
     found = (queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block"))
-                    .applyInPandas(_search(k), "query_id long, vec_id long, score long"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    .applyInPandas(_search(k), "row long, query_id long, vec_id long, noid long, score long"))
+    best = W.partitionBy("row").orderBy(F.desc("score"), "noid", "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-                 .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
+                 .select("query_id", F.col("rank").cast("int"),
+                         F.when(F.col("noid") == 0, F.col("vec_id")).alias("vec_id"), "score"))

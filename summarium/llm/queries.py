@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (collinear, harmonic_packing, html_mincut, level_products, license_votes,
                ngram_join, nra_topk, poisson_mix, position_index, quality_fm, secret_lex, spaced_seeds, sql, virtual_slots)
 from .common import read_table, ready
+from ..session import ensure_checkpoint_dir
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -52,9 +54,10 @@ def op3(spark, sf_dir):
 @query("op4_virtual_slots")
 def op4(spark, sf_dir):
     """All documents in eight shards of near equal bytes, over 4,096 slots."""
-    docs = read_table(spark, sf_dir, "documents")
-    versions, stats = virtual_slots.balanced_map(docs, SHARDS)
-    out = virtual_slots.positions(docs, versions[-1], stats)
+    docs = virtual_slots.slotted(read_table(spark, sf_dir, "documents"))
+    stats = virtual_slots.slot_stats(docs)
+    path = f"{ensure_checkpoint_dir(spark)}/staged/slot-map-{uuid.uuid4().hex}"
+    out = virtual_slots.positions(docs, virtual_slots.stored_map(spark, stats, SHARDS, path), stats)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 

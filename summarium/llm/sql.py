@@ -11,17 +11,17 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op10_nra_topk"] = """
 WITH v AS (
-  SELECT CAST(vec_id AS BIGINT) AS id,
+  SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS id,
          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.id AS query_id, d.id AS vec_id,
+  SELECT q.r, q.id AS query_id, d.id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.c, d.c), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.id <> d.id WHERE q.id % 50 = 0),
+  FROM v q JOIN v d ON q.r <> d.r WHERE q.id % 50 = 0),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -12,8 +12,10 @@ the corpus -- reaches the driver.  Row positions are numbered inside a slot
 (thousands of groups), and offset by the rows of the earlier slots of the shard,
 so no window spans a whole shard.
 
-Defined cases: a null text counts as empty (size 1); a null id hashes by its text;
-rows equal in id and text share a slot and take neighbouring positions; an empty
+Defined cases: a null text counts as empty (size 1); a row without an id is dealt by its
+place in the table (stage with ``slotted`` where statistics and positions must agree); rows
+equal in id and text share a slot and take neighbouring positions; very long texts count
+whole; an empty
 table gives an empty result and the untouched initial map; extra columns stay
 (``assign``) or are left out (``positions``).
 """
@@ -22,11 +24,12 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import staged, text_or_empty
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long"
@@ -38,17 +41,30 @@ def row_size(text: str = "text") -> Column:
 
 
 def slot_of(key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> Column:
-    """Virtual slot of a record: its key and text hashed (the text spreads rows
-    without a key)."""
-    h = F.xxhash64(F.col(key), F.crc32(text_or_empty(text).cast("binary")))
+    """Virtual slot of a record: its key and text hashed.  Rows without a key are dealt by
+    their place in the table too, so that equal ones share no slot."""
+    crc = F.crc32(text_or_empty(text).cast("binary"))
+    h = (F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), crc))
+          .otherwise(F.xxhash64(F.lit("no key"), crc, F.monotonically_increasing_id())))
     return F.pmod(h, F.lit(slots)).cast("int")
 
 
+def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(key, size, text_crc32, virtual_slot) of every row, staged: the slots of rows without
+    a key hold from here on."""
+    return staged(df.select(F.col(key), row_size(text).alias("size"),
+                            F.crc32(text_or_empty(text).cast("binary")).alias("text_crc32"),
+                            slot_of(key, text, slots).alias("virtual_slot")), "slotted")
+
+
 def slot_stats(df: DataFrame, key: str = "doc_id", text: str = "text",
                slots: int = SLOTS) -> dict[int, tuple[int, int]]:
     """{slot: (bytes, rows)}; at most ``slots`` entries, whatever the input."""
-    agg = (df.select(slot_of(key, text, slots).alias("slot"), row_size(text).alias("size"))
-             .groupBy("slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    if "virtual_slot" in df.columns and "size" in df.columns and text not in df.columns:  # ``slotted``
+        rows = df.select(F.col("virtual_slot").alias("slot"), "size")
+    else:
+        rows = df.select(slot_of(key, text, slots).alias("slot"), row_size(text).alias("size"))
+    agg = (rows.groupBy("slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     return {r["slot"]: (r["bytes"], r["rows"]) for r in agg.collect()}
 
 
@@ -119,6 +135,30 @@ def balanced_map(df: DataFrame, shards: int, key: str = "doc_id", text: str = "t
     return [first, edit_map(first, {s: b for s, (b, _) in stats.items()}, shards)], stats
 
 
+def stored_map(spark: SparkSession, stats: dict[int, tuple[int, int]], shards: int, path: str,
+               slots: int = SLOTS) -> list[int]:
+    """Rebalance the map stored at ``path`` and return its newest version, read back.
+
+    Without a map, version 0 deals the slots round-robin.  The newest version is edited for
+    the given sizes and shard count and stored as the next one if that changes it."""
+    try:
+        newest = spark.read.parquet(path).agg(F.max("version")).first()[0]
+        versions = [read_map(spark, path, newest)]
+    except AnalysisException:          # no map yet
+        newest, versions = 0, [initial_map(shards, slots)]
+        _store(spark, versions[0], stats, path, 0)
+    edited = edit_map(versions[-1], {s: b for s, (b, _) in stats.items()}, shards)
+    if edited != versions[-1]:
+        _store(spark, edited, stats, path, newest + 1)
+    return read_map(spark, path)
+
+
+def _store(spark: SparkSession, slot_map: list[int], stats: dict, path: str, version: int) -> None:
+    rows = [(slot, shard, *stats.get(slot, (0, 0))) for slot, shard in enumerate(slot_map)]
+    (spark.createDataFrame(rows, "slot int, shard int, bytes long, rows long").coalesce(1)
+          .write.mode("overwrite").parquet(f"{path}/version={version}"))
+
+
 def assign(df: DataFrame, slot_map: list[int], key: str = "doc_id",
            text: str = "text") -> DataFrame:
     """``df`` with ``virtual_slot`` and ``shard``; no shuffle."""
@@ -142,9 +182,10 @@ def positions(df: DataFrame, slot_map: list[int], stats: dict[int, tuple[int, in
         rows.append((v, shard, nxt.get(shard, 0)))
         nxt[shard] = nxt.get(shard, 0) + stats.get(v, (0, 0))[1]
     lookup = spark.createDataFrame(rows, "virtual_slot int, shard int, first_row long")
-    narrow = df.select(F.col(key), row_size(text).alias("size"),
-                       F.crc32(text_or_empty(text).cast("binary")).alias("text_crc32"),
-                       slot_of(key, text, len(slot_map)).alias("virtual_slot"))
+    narrow = df if set(df.columns) == {key, "size", "text_crc32", "virtual_slot"} else df.select(
+        F.col(key), row_size(text).alias("size"),
+        F.crc32(text_or_empty(text).cast("binary")).alias("text_crc32"),
+        slot_of(key, text, len(slot_map)).alias("virtual_slot"))
     within = W.partitionBy("virtual_slot").orderBy(F.col(key), "text_crc32", "size")
     numbered = narrow.withColumn("nth", F.row_number().over(within) - 1)
     return (numbered.join(F.broadcast(lookup), "virtual_slot")

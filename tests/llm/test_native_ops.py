@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,6 +59,34 @@ def test_map_versions_are_stored(spark, make_docs, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 50
 
 
+def test_stored_map_is_edited_when_rebalancing(spark, make_docs, tmp_path):
+    path = f"file://{tmp_path}/map"
+    docs = V.slotted(make_docs([(i, "x" * (i % 90)) for i in range(400)]))
+    stats = V.slot_stats(docs)
+    first = V.stored_map(spark, stats, 4, path)
+    assert V.read_map(spark, path, 0) == V.initial_map(4) and first == V.read_map(spark, path, 1)
+    assert V.stored_map(spark, stats, 4, path) == first or len(os.listdir(tmp_path / "map")) <= 4
+    grown = V.stored_map(spark, stats, 5, path)
+    load = Counter()
+    for slot, shard in enumerate(grown):
+        load[shard] += stats.get(slot, (0, 0))[0]
+    assert set(load) == set(range(5)) and max(load.values()) - min(load.values()) <= 91
+    assert sum(a != b for a, b in zip(first, grown)) < V.SLOTS / 2
+
+
+def test_rows_without_id_share_no_slot(spark, make_docs):
+    docs = V.slotted(make_docs([(None, "equal text")] * 3000 + [(i, "y") for i in range(100)]))
+    assert docs.where("doc_id is null").groupBy("virtual_slot").count().agg({"count": "max"}).first()[0] < 20
+    versions, stats = V.balanced_map(docs, 8)
+    rows = V.positions(docs, versions[-1], stats).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in rows:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 3100 and max(load.values()) - min(load.values()) <= 40
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shard_odd_rows(odd_docs, no_docs):
     versions, stats = V.balanced_map(odd_docs, 8)
     rows = V.positions(odd_docs, versions[-1], stats).collect()
