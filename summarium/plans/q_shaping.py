@@ -9,6 +9,7 @@ from .registry import register
 from .sql_inputs import PREDS, SEED, words, with_
 from ..operators import evaluate
 from ..operators import shaping as SH
+from ..operators import subwords as SW
 from ..operators.central import central_candidates
 from ..sources import tables as T
 from ..sources.tables import read_table
@@ -142,6 +143,21 @@ def i9_candidates(spark, sf):
     return I.predictions(spark, sf).select("system", "article_id", "generated")
 
 
+@register("i8_subword_encode")
+def i8_subword_encode(spark, sf):
+    """Articles as subword ids of a public vocabulary, and back to text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    a = I.articles(spark, sf, "article_id", "article")
+    e = SW.encode_subwords(a, "article_id", "article", path, SH.MAX_INPUT_TOKENS, mask_labels=True)
+    back = SW.subword_text(F.slice("input_ids", 1, F.least("n_subwords", F.lit(SH.MAX_INPUT_TOKENS))), path)
+    return e.select("article_id", "n_subwords", F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("kept"),
+                    F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"),
+                    F.md5(F.array_join("labels", ",").cast("binary")).alias("labels_md5"),
+                    F.length(back).alias("n_chars"))
+
+
 @register("i9_central")
 def i9_central(spark, sf):
     """Candidates of central sentences, with the length and repetition rules of I10."""
