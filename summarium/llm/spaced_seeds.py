@@ -8,16 +8,24 @@ laid along it, and the document leaks the item where some ``WINDOW`` consecutive
 words (all, for shorter items) hold at least ``MATCH`` of equal words.  Everything is
 built-in columns.
 
+The masks lose nothing that this rule accepts: every placing of the substitutions it
+allows leaves a window of some mask untouched (``tests`` enumerate them).  Items of 13
+words and more have two masks, those of 8 to 12 words two shorter ones; shorter items, of
+``LEAST`` words at least, must stand whole and are hashed whole.  Documents are hashed
+only under masks that some item has.
+
 Scale: the seeds of the benchmark are broadcast only below ``BROADCAST_SEEDS`` rows
 (24 bytes each); a larger benchmark is joined by shuffle.  Documents are read twice
 and never shuffled by the broadcast way: hits, a small staged table, are joined back
 to the scan to verify them.
 
 Defined cases: words are lower-cased runs of letters and digits of any script; null
-and empty texts hold none; items with fewer words than a mask spans are not looked
-for (``short_items`` lists them); a null id is an id of its own; repeated rows are
-found once per (id, text); an empty table or benchmark gives an empty result; extra
-columns stay (``decontaminate``) or are ignored.
+and empty texts hold none; items of fewer than ``LEAST`` words are no passage and are not
+looked for (``short_items`` lists them); texts of any length are hashed whole; a text and
+an item of one repeated word meet at every pair of places before these become diagonals;
+a null id is an id of its own; repeated rows are found once per (id, text); an empty
+table or benchmark gives an empty result; extra columns stay (``decontaminate``) or are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +36,13 @@ from pyspark.sql import functions as F
 from ..functions.barrier import materialize
 from .common import row_key, staged, text_or_empty
 
-#: Both masks span 8 words and compare 6.
-MASKS = ("11101011", "11011101")
-SPAN = len(MASKS[0])
+#: Items of fewer words must stand whole; of fewer than ``LEAST`` they are no passage.
+WHOLE, LEAST = 8, 4
 WINDOW, MATCH = 13, 0.8
+#: (mask, fewest and most words of its items).
+MASKS = ([("11101011", WINDOW, None), ("11001111", WINDOW, None),
+          ("101011", WHOLE, WINDOW - 1), ("100111", WHOLE, WINDOW - 1)]
+         + [("1" * n, n, n) for n in range(LEAST, WHOLE)])
 #: Rows of benchmark seeds up to which they are broadcast (about 100 MB).
 BROADCAST_SEEDS = 4_000_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -41,30 +52,44 @@ def words_of(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(text_or_empty(text)), SEPARATORS), "")
 
 
-def _seeds(words: str) -> Column:
-    """Hashes of all windows, mask after mask; empty when the text is shorter."""
-    last = F.size(words) - SPAN
+def _masks_of(items: DataFrame) -> list[int]:
+    """The masks that the lengths of the items (word array ``w``) ask for."""
+    kinds = items.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).distinct()
+    lengths = [r.n for r in kinds.collect()]  # at most ``WINDOW`` rows
+    return [m for m, (_, least, most) in enumerate(MASKS)
+            if any(n >= least and (most is None or n <= most) for n in lengths)]
+
+
+def _seeds(words: str, masks: list[int], items: bool) -> Column:
+    """Hashes of all windows, mask after mask, as many as words for each: null where the
+    window would pass the end and, for items, where the mask is not theirs."""
+    n = F.size(words)
 
-    def under(m: int, mask: str) -> Column:
+    def under(m: int) -> Column:
+        mask, least, most = MASKS[m]
         kept = [j for j, bit in enumerate(mask) if bit == "1"]
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(
-            F.lit(m), *[F.get(F.col(words), i + j) for j in kept]))
+        fits = F.lit(True)
+        if items:
+            fits = n >= least if most is None else n.between(least, most)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(
+            fits & (i + len(mask) <= n),
+            F.xxhash64(F.lit(m), *[F.get(F.col(words), i + j) for j in kept])))
 
-    return F.when(last >= 0, F.concat(*[under(m, mask) for m, mask in enumerate(MASKS)]))
+    return F.when(n >= LEAST, F.concat(*[under(m) for m in masks]))
 
 
-def _windows(tokens: DataFrame, *keys: str) -> DataFrame:
+def _windows(tokens: DataFrame, masks: list[int], *keys: str, items: bool = False) -> DataFrame:
     """(keys, at, seed) of a table with a word array ``w``."""
-    lists = materialize(tokens.select(*keys, (F.size("w") - SPAN + 1).alias("n_windows"),
-                                      _seeds("w").alias("seeds")))
-    flat = lists.select(*keys, "n_windows", F.posexplode_outer("seeds").alias("p", "seed"))
+    lists = materialize(tokens.select(*keys, F.size("w").alias("n_words"),
+                                      _seeds("w", masks, items).alias("seeds")))
+    flat = lists.select(*keys, "n_words", F.posexplode_outer("seeds").alias("p", "seed"))
     return (flat.where(F.col("seed").isNotNull())
-                .select(*keys, F.pmod("p", "n_windows").alias("at"), "seed"))
+                .select(*keys, F.pmod("p", "n_words").alias("at"), "seed"))
 
 
 def short_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """Items that have too few words to be looked for."""
-    return benchmark.where(F.size(words_of(text)) < SPAN).select(item)
+    return benchmark.where(F.size(words_of(text)) < LEAST).select(item)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -74,15 +99,16 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     document text, item and diagonal that passes verification.  ``start`` is the
     document word at which the item's first word would lie."""
     items = staged(benchmark.select(F.col(item).alias("item"), words_of(item_text).alias("w"))
-                            .where(F.size("w") >= SPAN).distinct(), "benchmark-words")
-    seeds = staged(_windows(items, "item").select("item", F.col("at").alias("item_at"), "seed")
+                            .where(F.size("w") >= LEAST).distinct(), "benchmark-words")
+    masks = _masks_of(items) or [0]
+    seeds = staged(_windows(items, masks, "item", items=True).select("item", F.col("at").alias("item_at"), "seed")
                    .distinct(), "benchmark-seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     side = F.broadcast(seeds) if small else seeds
 
     tokens = materialize(df.select(F.col(key).alias("id"), row_key(text).alias("th"),
                                    words_of(text).alias("w")))
-    hits = (_windows(tokens, "id", "th").join(side, "seed")
+    hits = (_windows(tokens, masks, "id", "th").join(side, "seed")
             .select("id", "th", "item", (F.col("at") - F.col("item_at")).alias("start"))
             .distinct())
     hits = staged(hits, "benchmark-hits")
@@ -112,8 +138,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         "id", "th", "item", "start", n.alias("n_item_words"), width.alias("width"),
         F.aggregate("eq", F.lit(0), lambda acc, x: acc + x).alias("n_equal"),
         F.array_max(sums).alias("best_equal")))
-    return (scored.where(F.col("best_equal") >= F.ceil(F.lit(match) * F.col("width")))
-                  .drop("width").distinct())
+    needed = F.when(F.col("n_item_words") < WHOLE, F.col("width")).otherwise(
+        F.ceil(F.lit(match) * F.col("width")))
+    return scored.where(F.col("best_equal") >= needed).drop("width").distinct()
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",

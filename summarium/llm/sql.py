@@ -49,24 +49,18 @@ FROM counted, LATERAL (SELECT unnest(range(1, n + 1)) AS copy)
 """
 
 
-def _mask_key(mask: str, at: str) -> str:
-    """SQL text of the words under a mask from position ``at`` (1-based)."""
-    return " || ' ' || ".join(f"w[{at} + {j}]" for j, bit in enumerate(mask) if bit == "1")
-
-
-_SEED_ROWS = " UNION ALL ".join(
-    f"SELECT id, p - 1 AS p, {m} AS mask, {_mask_key(mask, 'p')} AS seed FROM {{t}}, "
-    f"LATERAL (SELECT unnest(range(1, len(w) - {seeds.SPAN} + 2)) AS p)"
-    for m, mask in enumerate(seeds.MASKS))
+#: Without masks: 3 words in a row are equal wherever an item's rule is met.
+_SEED_ROWS = ("SELECT id, p - 1 AS p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS seed FROM {t}, "
+              "LATERAL (SELECT unnest(range(1, len(w) - 1)) AS p)")
 _SEED_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 ORACLES["op5_spaced_seeds"] = f"""
-WITH i AS (SELECT DISTINCT item_id AS id, {_SEED_WORDS} AS w FROM benchmark),
+WITH i AS (SELECT DISTINCT item_id AS id, {_SEED_WORDS} AS w FROM benchmark WHERE len({_SEED_WORDS}) >= {seeds.LEAST}),
 d AS (SELECT DISTINCT doc_id AS id, {_SEED_WORDS} AS w FROM documents),
 si AS ({_SEED_ROWS.format(t='i')}),
 sd AS ({_SEED_ROWS.format(t='d')}),
 hits AS (
   SELECT DISTINCT sd.id AS doc_id, si.id AS item_id, sd.p - si.p AS start
-  FROM sd JOIN si ON sd.mask = si.mask AND sd.seed = si.seed),
+  FROM sd JOIN si ON sd.seed = si.seed),
 laid AS (
   SELECT h.doc_id, h.item_id, h.start, len(i.w) AS n,
          list_transform(range(1, len(i.w) + 1), lambda j: CASE WHEN h.start + j >= 1 AND d.w[h.start + j] = i.w[j]
@@ -78,7 +72,8 @@ scored AS (
                                  lambda j: list_sum(eq[j:j + least(n, {seeds.WINDOW}) - 1]))) AS best
   FROM laid),
 leak AS (
-  SELECT * FROM scored WHERE best >= ceil({seeds.MATCH} * least(n, {seeds.WINDOW}))),
+  SELECT * FROM scored
+  WHERE best >= CASE WHEN n < {seeds.WHOLE} THEN n ELSE ceil({seeds.MATCH} * least(n, {seeds.WINDOW})) END),
 ranked AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id, item_id) AS n_places,
          row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) AS r FROM leak)

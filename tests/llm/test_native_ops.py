@@ -1,6 +1,7 @@
 """Sharding, decontamination, mixing and license votes."""
 
 import hashlib
+import itertools
 import math
 import os
 import zlib
@@ -176,7 +177,25 @@ def test_decontaminate_odd_rows(odd_docs, no_docs, bench):
     assert found(odd_docs, bench) == set()
     assert S.decontaminate(odd_docs, bench).count() == odd_docs.count()
     assert found(no_docs, bench) == set() and found(odd_docs, bench.limit(0)) == set()
-    assert {r.item_id for r in S.short_items(bench).collect()} == {2, 3, 4}
+    assert {r.item_id for r in S.short_items(bench).collect()} == {3, 4}
+
+
+def test_every_placing_of_the_substitutions_is_found(spark, make_docs):
+    """Items of 4 to 16 words: found with as many words changed as the rule allows,
+    wherever they are, and not with one more."""
+    items, docs, want = [], [], set()
+    for n in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 16):
+        w = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        width = min(n, S.WINDOW)
+        allowed = 0 if n < S.WHOLE else width - math.ceil(S.MATCH * width)
+        for changed in itertools.combinations(range(n), allowed):
+            want.add((len(docs), n))
+            docs.append((len(docs), "before it " + " ".join("x" if i in changed else x for i, x in enumerate(w)) + " after"))
+        # no 13 consecutive words hold so few
+        for changed in itertools.combinations(range(n - width, width), allowed + 1):
+            docs.append((len(docs), "before it " + " ".join("x" if i in changed else x for i, x in enumerate(w)) + " after"))
+    assert found(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")) == want
 
 # ---------------------------------------------------------------- licenses
 
