@@ -8,11 +8,14 @@ tables and extra columns pass as the operators' modules define.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from summarium.llm import ngram_join, poisson_mix, quality_fm, spaced_seeds, virtual_slots
 from summarium.llm.common import read_table, ready, staged
+from summarium.session import ensure_checkpoint_dir
 
 SHARDS = 8
 
@@ -41,10 +44,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their virtual slot and shard."""
-    ready(spark)
-    versions, _ = virtual_slots.balanced_map(docs, SHARDS)
-    return virtual_slots.assign(docs, versions[-1])
+    """All rows with their virtual slot and shard, by the newest version of the slot map
+    that the stage stores in the shared folder."""
+    path = f"{ensure_checkpoint_dir(ready(spark))}/staged/slot-map-{uuid.uuid4().hex}"
+    slot_map = virtual_slots.stored_map(spark, virtual_slots.slot_stats(docs), SHARDS, path)
+    return virtual_slots.assign(docs, slot_map)
 
 
 STAGES = [
