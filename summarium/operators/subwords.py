@@ -2,7 +2,8 @@
 
 The vocabulary is that of a public tokenizer, given by the path of its file; none is learned
 here.  The file must be readable by every worker; each loads it once.  Texts are encoded row
-by row in Arrow batches, so nothing is shuffled and no vocabulary table is joined.
+by row in Arrow batches, so nothing is shuffled and no vocabulary table is joined.  Of a batch
+``TOGETHER`` texts at a time stand as Python objects; their ids are 32-bit numbers.
 
 ``encode`` gives padded ids and their mask, ``labels`` with the padding replaced by the
 ignored label, and the number of ids before truncation, as the whitespace vocabulary of
@@ -16,12 +17,14 @@ from __future__ import annotations
 import os
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shaping import LABEL_IGNORE, PAD_ID, truncate_chars
+from ..functions.kernels import by_pieces
 from ..functions.text import col_
 
 #: Texts that go through the tokenizer together.
@@ -40,27 +43,38 @@ def load_tokenizer(path: str):
     return out
 
 
+def encoded(path: str):
+    """Kernel: texts -> ids."""
+    def ids(texts: list) -> list[np.ndarray]:
+        found = load_tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
+
+    return lambda texts: by_pieces(ids, pa.list_(pa.int32()), texts, size=TOGETHER)
+
+
+def decoded(path: str):
+    """Kernel: ids -> texts."""
+    def text(rows: list) -> list[str | None]:
+        tokenizer = load_tokenizer(path)
+        return [None if r is None else tokenizer.decode(r, skip_special_tokens=False) for r in rows]
+
+    return lambda rows: by_pieces(text, pa.string(), rows, size=TOGETHER)
+
+
 def subword_ids(text, path: str) -> Column:
     """All ids of a text, without special tokens."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        tokenizer = load_tokenizer(path)
-        out: list[list[int]] = []
-        for at in range(0, len(texts), TOGETHER):
-            part = [t or "" for t in texts.iloc[at:at + TOGETHER]]
-            out += [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        return pd.Series(out, dtype="object")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        return encoded(path)(texts)
 
     return ids(col_(text))
 
 
 def subword_text(ids, path: str) -> Column:
     """The text that ids stand for."""
-    @F.pandas_udf(T.StringType())
-    def text(rows: pd.Series) -> pd.Series:
-        tokenizer = load_tokenizer(path)
-        return pd.Series([None if r is None else tokenizer.decode(list(map(int, r)), skip_special_tokens=False)
-                          for r in rows], dtype="object")
+    @F.arrow_udf(T.StringType())
+    def text(rows: pa.Array) -> pa.Array:
+        return decoded(path)(rows)
 
     return text(col_(ids))
 
