@@ -73,6 +73,10 @@ def truncate_chars(text, n: int) -> Column:
     return F.substring(col_(text), 1, n)
 
 
-def preview(text, n: int = 200) -> Column:
+#: Characters that a preview shows.
+PREVIEW_CHARS = 200
+
+
+def preview(text, n: int = PREVIEW_CHARS) -> Column:
     """First n characters followed by '...' (always appended)."""
     return F.concat(truncate_chars(text, n), F.lit("..."))

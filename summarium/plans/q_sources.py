@@ -154,16 +154,18 @@ SELECT system, article_id, status, input_length, padded_length, seconds, rouge1,
 FROM scores"""))
 def a7_stream(spark, sf):
     """Two runs on one checkpoint: a third of the pairs stands in two files of the first
-    run, and half of them come again in files of the second."""
+    run, and half of them come again in files of the second.  Files are those of the splits
+    of the predictions, so they grow in number and not in size; a batch takes a quarter of them."""
     base = S.scratch_path(spark, "stream")
     preds = staged(I.predictions(spark, sf), "predictions")
 
     def write(keep):
-        preds.filter(keep).repartition(4, "article_id").write.mode("append").parquet(f"{base}/predictions")
+        preds.filter(keep).write.mode("append").parquet(f"{base}/predictions")
 
     def run():
+        files = len(spark.read.parquet(f"{base}/predictions").inputFiles())
         return score_stream(spark, f"{base}/predictions", f"{base}/scores", f"{base}/_checkpoint",
-                            max_files_per_trigger=2, use_stemmer=False)
+                            max_files_per_trigger=max(2, files // 4), use_stemmer=False)
 
     write(F.col("article_id") % 5 > 0)
     write((F.col("article_id") % 5 > 0) & (F.col("article_id") % 3 == 0))

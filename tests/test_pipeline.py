@@ -142,3 +142,40 @@ def test_stream_with_state_on_disk(spark, sf):
         assert out.count() == 40 * 5
     finally:
         spark.conf.set(STORE_CONF, before)
+
+
+def test_stream_state_gets_no_source_text(spark, sf, monkeypatch):
+    from summarium.streaming import resume as R
+
+    base = tempfile.mkdtemp(prefix="summarium-stream-")
+    preds = _some_predictions(spark, sf)
+    preds.write.parquet(f"{base}/p")
+    seen = []
+
+    def looking(df, use_stemmer=True):
+        if "source" not in df.columns:
+            seen.append(df.agg(F.max(F.length("model_input"))).first()[0])
+        return EV.score_predictions(df, use_stemmer=use_stemmer)
+
+    monkeypatch.setattr(R, "score_predictions", looking)
+    out = score_stream(spark, f"{base}/p", f"{base}/s", f"{base}/c")
+    assert seen == [200] and preds.agg(F.max(F.length("model_input"))).first()[0] > 200
+    assert out.count() == 40 * 5
+
+
+def test_stream_files_grow_in_number(spark, sf):
+    """The predictions are written by as many tasks as they have splits."""
+    import glob
+
+    from summarium.session import ensure_checkpoint_dir
+
+    key, top = "spark.sql.files.maxPartitionBytes", ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = spark.conf.get(key)
+    old = set(glob.glob(f"{top}/scratch/stream-*"))
+    spark.conf.set(key, "10000")
+    try:
+        assert E.queries()["a7_stream"](spark, sf).count() == I.predictions(spark, sf).count()
+    finally:
+        spark.conf.set(key, before)
+    new, = set(glob.glob(f"{top}/scratch/stream-*")) - old
+    assert len(glob.glob(f"{new}/predictions/part-*")) > 12
