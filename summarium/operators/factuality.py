@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.barrier import materialize, staged
 from ..functions.dates import date_match_parts, date_mentions, mentions_from_parts
-from ..functions.kernels import gazetteer_udf, tf_cosine_udf
+from ..functions.kernels import gazetteer_udf, tf_cosine_udf, token_counts_udf
 from ..functions.lexicon import ENTITY_TOKEN, GAZETTEER
 from ..functions.text import all_ngrams, col_, rouge_tokens, truncate_chars
 
@@ -157,17 +157,36 @@ def tf_cosine(a_text, b_text, a_chars: int | None = None, b_chars: int | None =
     return tf_cosine_udf(rouge_tokens(a), rouge_tokens(b))
 
 
+#: Tokens of the idf table that are looked up apart from the others, by document frequency.
+FREQUENT_TOKENS = 100_000
+
+
+def row_terms(pairs: DataFrame, key: str, a_text: str, b_text: str) -> DataFrame:
+    """``(key, terms)``: the distinct tokens of each row's two texts, with how often each
+    stands in them."""
+    def tokens(text):
+        return rouge_tokens(F.coalesce(col_(text), F.lit("")))
+
+    return pairs.select(key, token_counts_udf(tokens(a_text), tokens(b_text)).alias("terms"))
+
+
+def counts_of_rows(rows: DataFrame, key: str, repeated: bool = True) -> DataFrame:
+    """``term_counts`` from ``row_terms``.  The rows of a key stand apart, so only the counts
+    of keys that are ``repeated`` are added up by a shuffle."""
+    if not repeated:
+        each = rows.select(key, F.explode_outer("terms").alias("_t"))
+        return each.select(key, "_t.tok", *[F.coalesce(f"_t.{c}", F.lit(0)).alias(c) for c in ("ta", "tb")])
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_k"))
+    same = rows[key].eqNullSafe(F.col("_k"))
+    once = counts_of_rows(rows.join(many, same, "left_anti"), key, False)
+    again = counts_of_rows(rows.join(many, same, "left_semi"), key, False)
+    return once.unionByName(again.groupBy(key, "tok").agg(F.sum("ta").alias("ta"), F.sum("tb").alias("tb")))
+
+
 def term_counts(pairs: DataFrame, key: str, a_text: str, b_text: str) -> DataFrame:
     """``(key, tok, ta, tb)``: how often each token stands in the two texts of a
     pair.  A pair without tokens keeps one row with a null token."""
-    toks = pairs.select(key, F.explode_outer(F.concat(
-        F.transform(rouge_tokens(F.coalesce(col_(a_text), F.lit(""))),
-                    lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))),
-        F.transform(rouge_tokens(F.coalesce(col_(b_text), F.lit(""))),
-                    lambda t: F.struct(t.alias("tok"), F.lit(2).alias("side")))))
-        .alias("_e")).select(key, "_e.tok", "_e.side")
-    return toks.groupBy(key, "tok").agg(F.count_if(F.col("side") == 1).alias("ta"),
-                                        F.count_if(F.col("side") == 2).alias("tb"))
+    return counts_of_rows(row_terms(pairs, key, a_text, b_text), key)
 
 
 def idf_table(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -180,27 +199,51 @@ def idf_table(counts: DataFrame, n_docs: int) -> DataFrame:
               .select("tok", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
-def tfidf_cosine(pairs: DataFrame, key: str, a_text: str, b_text: str) -> DataFrame:
+def tfidf_cosine(pairs: DataFrame, key: str, a_text: str, b_text: str,
+                 frequent: int = FREQUENT_TOKENS) -> DataFrame:
     """``(key, tfidf_cosine)`` of the two texts of each pair, with the idf of the
     second texts (0 when a side has no tokens of the corpus).
 
-    The pairs are read and tokenised once: the token counts are staged, and both
-    the idf table and the sums come from them.  The idf table is staged too, so
-    the join of the two is a broadcast below the session's threshold and otherwise
-    a join of two plain exchanges, in which a token of very many pairs is split.
+    The pairs are read and tokenised once: the tokens of each row are counted in place and
+    staged, a row for a pair, and both the idf table and the sums come from them.  The idf
+    table is staged in two parts.  That of about ``frequent`` tokens of least idf holds nearly
+    all occurrences; below the session's threshold it is broadcast, so their sums are made in
+    place and a pair leaves as one row.  Only the occurrences of the other tokens are dealt by
+    token.  Where a table is not broadcast, the join is one of two plain exchanges, in which a
+    token of very many pairs is split.
     """
-    counts = staged(term_counts(pairs, key, a_text, b_text), "term-counts")
-    n = counts.select(F.countDistinct(key)).first()[0]
+    rows = staged(row_terms(pairs, key, a_text, b_text), "row-terms")
+    per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    n, most = per_key.agg(F.count(key), F.max("_n")).first()
+    counts = counts_of_rows(rows, key, (most or 0) > 1)
+    if (most or 0) > 1:
+        counts = staged(counts, "term-counts")
     idf = staged(idf_table(counts, n), "idf")
-    w = counts.join(idf, "tok", "left")   # tokens that no second text has weigh nothing
-    x = F.col("idf")
-    sums = w.groupBy(key).agg(
-        F.sum(F.col("ta") * F.col("tb") * x * x).alias("_dot"),
-        F.sum(F.pow(F.col("ta") * x, 2)).alias("_na"),
-        F.sum(F.pow(F.col("tb") * x, 2)).alias("_nb"))
+    parts, known = [idf], idf.count()
+    if known > frequent:
+        # the lightest tokens; those of one idf stay together
+        bound = idf.agg(F.percentile_approx("idf", frequent / known, 10_000)).first()[0]
+        parts = [staged(idf.where(keep), name) for keep, name in (
+            (F.col("idf") < bound, "idf-frequent"), (F.col("idf") >= bound, "idf-others"))]
+
+    def sums(of: DataFrame, table: DataFrame) -> DataFrame:
+        x = F.col("idf")
+        return of.join(table, "tok").groupBy(key).agg(
+            F.sum(F.col("ta") * F.col("tb") * x * x).alias("_dot"),
+            F.sum(F.pow(F.col("ta") * x, 2)).alias("_na"),
+            F.sum(F.pow(F.col("tb") * x, 2)).alias("_nb"))
+
+    # tokens that no second text has weigh nothing, but every key keeps its row
+    none = F.lit(None).cast("double")
+    added = rows.select(key, none.alias("_dot"), none.alias("_na"), none.alias("_nb")).unionByName(
+        sums(counts, parts[0]))
+    if len(parts) > 1:
+        others = counts.where(F.col("tok").isNotNull()).join(parts[0], "tok", "left_anti")
+        added = added.unionByName(sums(others, parts[1]))
+    added = added.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("_dot", "_na", "_nb")])
     cos = F.when((F.coalesce("_na", F.lit(0.0)) > 0) & (F.coalesce("_nb", F.lit(0.0)) > 0),
                  F.col("_dot") / (F.sqrt("_na") * F.sqrt("_nb"))).otherwise(F.lit(0.0))
-    return sums.select(key, cos.alias("tfidf_cosine"))
+    return added.select(key, cos.alias("tfidf_cosine"))
 
 
 # E7 / E8 --------------------------------------------------------------------
