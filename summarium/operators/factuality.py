@@ -175,7 +175,7 @@ def counts_of_rows(rows: DataFrame, key: str, repeated: bool = True) -> DataFram
     of keys that are ``repeated`` are added up by a shuffle."""
     if not repeated:
         each = rows.select(key, F.explode_outer("terms").alias("_t"))
-        return each.select(key, "_t.tok", *[F.coalesce(f"_t.{c}", F.lit(0)).alias(c) for c in ("ta", "tb")])
+        return each.select(key, "_t.tok", *[F.coalesce(F.col(f"_t.{c}").cast("long"), F.lit(0)).alias(c) for c in ("ta", "tb")])
     many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_k"))
     same = rows[key].eqNullSafe(F.col("_k"))
     once = counts_of_rows(rows.join(many, same, "left_anti"), key, False)
