@@ -29,7 +29,8 @@ number of set bits is how many there are: no pair leaves a task.
 
 Scale: texts are read once; a task hands on its counts at ``TALLY_WORDS`` words, so a
 frequent word is one row a task.  A vocabulary word makes four bucket rows; a block holds
-at most three times ``BLOCK`` words, for which a set is some kilobytes a query.
+at most three times ``BLOCK`` words, for which a set is some kilobytes a query, and ``QUERIES``
+words of it are searched at a time, so a task holds no set for every word of a block.
 
 Defined cases: a null text has no words; a null id is the empty string in the seeded slip;
 only ASCII A-Z is lower-cased; letters beyond U+00FF end a run; repeated rows count each;
@@ -58,6 +59,8 @@ FORM_RATIO = 5
 SLIP = 199
 #: Words of a block of the index.
 BLOCK = 4096
+#: Query words of a block that run through the index together.
+QUERIES = 512
 #: Words that a task counts before it hands them on (some 40 MB).
 TALLY_WORDS = 300_000
 
@@ -149,28 +152,38 @@ def near_in_block(words: list[str], m: int, half: int | None, targets: np.ndarra
 
     ``targets`` are the bitsets of the words that a word may meet.  ``half``, unless None,
     leaves out the pairs whose first ``half`` letters are equal."""
+    return _near(*_slots(words, m), m, half, targets, slice(0, len(words)))
+
+
+def _slots(words: list[str], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of a block (0: beyond a word's end), and their numbers by word and position."""
     codes = _letters(words, m + 2)
-    size = np.array([len(w) for w in words])
     known, slot = np.unique(codes, return_inverse=True)
-    slot = slot.reshape(codes.shape)
-    longer = size == m + 1
-    width = targets.shape[1]
+    return known, slot.reshape(codes.shape)
+
+
+def _near(known: np.ndarray, slot: np.ndarray, m: int, half: int | None, targets: np.ndarray,
+          queries: slice) -> np.ndarray:
+    """``near_in_block`` of some words of the block, whose ``targets`` are given."""
+    n_words = len(slot)
+    all_longer = known[slot[:, m]] != 0
+    longer = all_longer[queries]
 
     def position(i: int) -> np.ndarray:
         """The bitset of (i, letter) for every letter of the block."""
-        bits = np.zeros((len(known), len(words)), bool)
-        bits[slot[:, i], np.arange(len(words))] = True
+        bits = np.zeros((len(known), n_words), bool)
+        bits[slot[:, i], np.arange(n_words)] = True
         bits[known == 0] = False
         return _packed(bits)
 
-    zero = np.full((len(words), width), ~np.uint64(0), np.uint64)
+    zero = np.full(targets.shape, ~np.uint64(0), np.uint64)
     replaced = np.zeros_like(zero)
     more = np.zeros_like(zero)
     less = np.zeros_like(zero)
     prefix = None
     last, here, ahead = None, position(0), position(1)
     for i in range(m + 1):
-        letter = slot[:, i]
+        letter = slot[queries, i]
         b = here[letter]
         if i < m:                       # the queries of m letters end here
             more = (more | zero) & ahead[letter]
@@ -185,7 +198,7 @@ def near_in_block(words: list[str], m: int, half: int | None, targets: np.ndarra
             prefix = zero.copy()
         last, here, ahead = here, ahead, position(min(i + 2, m + 1))
     more |= zero
-    short_set, long_set = _packed(~longer), _packed(longer)
+    short_set, long_set = _packed(~all_longer), _packed(all_longer)
     near = np.where(longer[:, None], less & short_set, (replaced & short_set) | (more & long_set))
     if prefix is not None:
         near &= ~prefix
@@ -198,18 +211,24 @@ def _block_rows(m: int, side: int, rows: list[tuple]) -> pa.RecordBatch:
     rows = sorted(rows, key=lambda r: (-r[1], r[0]))
     segment = np.array([r[2] for r in rows])
     met = np.array([r[3] for r in rows])
-    # a chunk of a bucket may meet one that is empty
-    numbers, at = np.unique(met, return_inverse=True)
-    targets = _packed(numbers[:, None] == segment[None, :])[at]
-    near = near_in_block([r[0] for r in rows], m, m // 2 if side else None, targets)
-    n_near = np.bitwise_count(near).sum(1).astype(np.int64)
-    found = np.flatnonzero(n_near)
-    block = (near[found] != 0).argmax(1)
-    low = near[found, block]
-    low = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-    best = block * 64 + low
+    known, slot = _slots([r[0] for r in rows], m)
+    counts, places, bests = [], [], []
+    for lo in range(0, len(rows), QUERIES):
+        queries = slice(lo, min(lo + QUERIES, len(rows)))
+        # a chunk of a bucket may meet one that is empty
+        targets = _packed(met[queries, None] == segment[None, :])
+        near = _near(known, slot, m, m // 2 if side else None, targets, queries)
+        n_near = np.bitwise_count(near).sum(1).astype(np.int64)
+        found = np.flatnonzero(n_near)
+        block = (near[found] != 0).argmax(1)
+        low = near[found, block]
+        low = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        counts.append(n_near[found])
+        places.append(lo + found)
+        bests.append(block * 64 + low)
+    found, best = np.concatenate(places), np.concatenate(bests)
     return pa.RecordBatch.from_arrays(
-        [pa.array([rows[i][0] for i in found], pa.string()), pa.array(n_near[found]),
+        [pa.array([rows[i][0] for i in found], pa.string()), pa.array(np.concatenate(counts)),
          pa.array([rows[i][1] for i in best], pa.int64()),
          pa.array([rows[i][0] for i in best], pa.string())],
         names=["word", "n_near", "best_n", "best"])

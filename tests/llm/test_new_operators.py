@@ -277,6 +277,30 @@ def test_block_counts_each_pair_once():
         assert bits == {x for x in words if near(w, x) and not len(x) == len(w) == 5}
 
 
+def test_block_of_many_buckets_holds_few_sets():
+    """A block of the largest size is searched in parts, with the rows of a whole search."""
+    import tracemalloc
+
+    draw = random.Random(5)
+    words = set()
+    while len(words) < 3 * P.BLOCK:
+        words.add("".join(draw.choices("abcd", k=draw.randrange(9, 11))))
+    rows = [(w, draw.randrange(5, 99), 2 * (i // 2), 2 * (i // 2)) for i, w in enumerate(sorted(words))]
+    tracemalloc.start()
+    try:
+        got = P._block_rows(9, 0, rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+    want = set()
+    for (one, *_), (two, *_) in zip(rows[::2], rows[1::2]):
+        # two words of m + 1 letters meet in the block of m + 1
+        if near(one, two) and not len(one) == len(two) == 10:
+            want |= {one, two}
+    assert sorted(got.column("word").to_pylist()) == sorted(want) and len(want) > 50
+
+
 def test_variants_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
