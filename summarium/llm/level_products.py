@@ -187,7 +187,8 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, lang: str = "lang",
     ``total`` is the count in the language.  One shuffle, by (lang, term)."""
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a)
                          for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
-    of_term = W.partitionBy("lang", "term")
+    # the first column is the one that a sort compares by value before whole rows
+    of_term = W.partitionBy("term", "lang")
     held = (rows.mapInArrow(_tally, _TALLY)
                 .withColumn("held", F.sum("docs").over(of_term)).where(F.col("held") >= min_docs)
                 .select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
@@ -247,8 +248,10 @@ def pair_values(counts: DataFrame, groups: DataFrame, terms: int = TERMS,
                              "lang string, g long, h long, value long"))
     one_way = priced.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
     apart = F.floor(F.col("g") / per_block) != F.floor(F.col("h") / per_block)
-    return one_way.unionByName(one_way.where(apart).select("lang", F.col("h").alias("g"),
-                                                           F.col("g").alias("h"), "value"))
+    there, back = F.struct("g", "h"), F.struct(F.col("h").alias("g"), F.col("g").alias("h"))
+    # both ways from one row, so that the blocks are priced once
+    both = F.explode(F.when(apart, F.array(there, back)).otherwise(F.array(there)))
+    return one_way.select("lang", both.alias("x"), "value").select("lang", "x.g", "x.h", "value")
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, lang: str = "lang",

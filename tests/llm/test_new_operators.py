@@ -107,6 +107,20 @@ def test_tally_hands_on_in_parts(monkeypatch):
     assert n == {("s", "a"): 1, ("s", "b"): 1, ("s", "c"): 2, ("t", "a"): 2, ("s", "d"): 1, ("s", "é"): 1}
 
 
+def test_blocks_are_priced_once(spark):
+    """Both ways of a pair come from one run of the blocks, and a sort by term needs no look at
+    the whole row for every two terms of a language."""
+    df = spark.createDataFrame([(i, t, x, s) for i, (x, s, t) in enumerate(random_rows(3))],
+                               "doc_id long, text string, lang string, source string")
+    counts = V.term_counts(df, 5)
+
+    def plan(d):
+        return d._jdf.queryExecution().executedPlan().toString()
+    pairs = V.pair_values(counts, V.group_table(df, counts), 4, 4)
+    assert len(re.findall("FlatMapCoGroupsInPandas", plan(pairs))) == 1
+    assert not re.search(r"Sort \[lang#", plan(counts)) and re.search(r"Sort \[term#", plan(counts))
+
+
 def test_divergence_odd_rows(odd_docs, no_docs):
     assert {(r.source, r["value"]) for r in V.divergence(odd_docs.drop("n_chars")).collect() if r.part == "pair"} <= {
         ("s", 0), ("", 0)}
