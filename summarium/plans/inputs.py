@@ -26,6 +26,11 @@ def predictions(spark: SparkSession, sf_dir: str, only: DataFrame | None = None)
     a = articles(spark, sf_dir, "article_id", "article", "summary")
     if only is not None:
         a = a.join(only.select("article_id"), "article_id", "left_semi")
+    return predictions_of(spark, a)
+
+
+def predictions_of(spark: SparkSession, a: DataFrame) -> DataFrame:
+    """Candidates of every system for articles (article_id, article, summary)."""
     return evaluate.build_predictions(a, T.systems(spark), T.FAILING_SYSTEM,
                                       T.FAILING_MODULUS)
 

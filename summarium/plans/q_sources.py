@@ -12,7 +12,6 @@ from . import inputs as I
 from .registry import register
 from .sql_inputs import PREDS, RAW, with_
 from .q_corpus import CLEAN
-from ..functions.barrier import staged
 from ..operators import corpus as C
 from ..operators import evaluate as EV
 from ..sources import files as S
@@ -155,12 +154,21 @@ FROM scores"""))
 def a7_stream(spark, sf):
     """Two runs on one checkpoint: a third of the pairs stands in two files of the first
     run, and half of them come again in files of the second.  Files are those of the splits
-    of the predictions, so they grow in number and not in size; a batch takes a quarter of them."""
+    of the stored articles, so they grow in number and not in size; a batch takes a quarter
+    of them.  The predictions are made for every write from the articles and not staged, and
+    their files hold a text that all systems repeat about once: Zstandard looks back over a
+    page, Snappy over 64 KB."""
     base = S.scratch_path(spark, "stream")
-    preds = staged(I.predictions(spark, sf), "predictions")
+
+    def store(df, name):
+        df.write.mode("append").option("compression", "zstd").parquet(f"{base}/{name}")
+
+    articles = I.articles(spark, sf, "article_id", "article", "summary")
+    store(articles, "articles")
+    preds = I.predictions_of(spark, spark.read.schema(articles.schema).parquet(f"{base}/articles"))
 
     def write(keep):
-        preds.filter(keep).write.mode("append").parquet(f"{base}/predictions")
+        store(preds.filter(keep), "predictions")
 
     def run():
         files = len(spark.read.parquet(f"{base}/predictions").inputFiles())

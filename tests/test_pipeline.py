@@ -179,3 +179,25 @@ def test_stream_files_grow_in_number(spark, sf):
         spark.conf.set(key, before)
     new, = set(glob.glob(f"{top}/scratch/stream-*")) - old
     assert len(glob.glob(f"{new}/predictions/part-*")) > 12
+
+
+def test_stream_keeps_texts_about_once_on_disk(spark, sf):
+    """The query stages no copy of the predictions, and its files hold a text that the systems
+    repeat about once: all it writes is less than one plain copy of the predictions."""
+    import glob
+    import os
+
+    from summarium.session import ensure_checkpoint_dir
+
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def written(folder):
+        return sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/*.parquet", recursive=True))
+
+    plain = tempfile.mkdtemp(prefix="summarium-plain-")
+    I.predictions(spark, sf).write.option("compression", "none").parquet(f"{plain}/p")
+    old = set(glob.glob(f"{top}/scratch/*"))
+    E.queries()["a7_stream"](spark, sf)
+    new = set(glob.glob(f"{top}/scratch/*")) - old
+    assert [os.path.basename(f).split("-")[0] for f in new] == ["stream"]
+    assert sum(map(written, new)) < written(f"{plain}/p")
